@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, line_dedup, ngram_join, secrets, token_counts
+from quire.llm import decontaminate, license_scan, line_dedup, ngram_join, secrets, token_counts
 from quire.llm.common import table
 
 
@@ -29,14 +29,18 @@ def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
 
 
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.scan_licenses(table(spark, sf_dir, "documents")))
+
+
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), words=50)
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_deleted").alias("n_deleted"), F.md5("text").alias("text_md5"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_ngram_jaccard_join, op7_token_counts, op8_secret_scans, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_ngram_jaccard_join, op7_token_counts, op8_secret_scans, op9_license_scans, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op9_license_scans": license_scan.oracle_sql(), "op10_line_dedup": line_dedup.ORACLE_SQL}
