@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, license_scan, line_dedup, ngram_join, secrets, token_counts
+from quire.llm import decontaminate, license_scan, line_dedup, mixing, ngram_join, secrets, token_counts
 from quire.llm.common import table
 
 
@@ -19,6 +19,15 @@ def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.ngram_components(table(spark, sf_dir, "documents"), n=5, num=4, den=5)
 
 
+#: Blocks of each source in a round of the mix; all other sources together give one.
+WEIGHTS = {f"src{k}": 1 + k % 3 for k in range(20)}
+
+
+def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mix(docs, WEIGHTS, other=1, block=mixing.BLOCK).drop("source")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,8 +48,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_ngram_jaccard_join, op7_token_counts, op8_secret_scans, op9_license_scans, op10_line_dedup)}
+    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_ngram_jaccard_join, op4_source_mixing, op7_token_counts, op8_secret_scans, op9_license_scans, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_license_scans": license_scan.oracle_sql(), "op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op4_source_mixing": mixing.oracle_sql(WEIGHTS, 1, mixing.BLOCK), "op9_license_scans": license_scan.oracle_sql(), "op10_line_dedup": line_dedup.ORACLE_SQL}
