@@ -7,10 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, license_scan, line_dedup, mixing, ngram_join, secrets, token_counts
+from quire.llm import decontaminate, license_scan, line_dedup, mixing, ngram_join, secrets, token_counts, topk
 from quire.llm.common import table
 
 
+def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024.0)
+
+
 def op2_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -48,8 +52,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_benchmark_decontamination, op3_ngram_jaccard_join, op4_source_mixing, op7_token_counts, op8_secret_scans, op9_license_scans, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_topk_search, op2_benchmark_decontamination, op3_ngram_jaccard_join, op4_source_mixing, op7_token_counts, op8_secret_scans, op9_license_scans, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_source_mixing": mixing.oracle_sql(WEIGHTS, 1, mixing.BLOCK), "op9_license_scans": license_scan.oracle_sql(), "op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {"op1_topk_search": topk.ORACLE_SQL, "op4_source_mixing": mixing.oracle_sql(WEIGHTS, 1, mixing.BLOCK), "op9_license_scans": license_scan.oracle_sql(), "op10_line_dedup": line_dedup.ORACLE_SQL}
