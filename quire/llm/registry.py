@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, license_scan, line_dedup, mixing, ngram_join, secrets, token_counts, topk
-from quire.llm.common import table
+from quire.llm import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, secrets, token_counts, topk
+from quire.llm.common import bucket_of, table
 
 
 def op1_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,13 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(docs, WEIGHTS, other=1, block=mixing.BLOCK).drop("source")
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = bucket_of("doc_id", 3, 1)
+    profiles = language_id.train(docs.where(~held_out))
+    return language_id.predict(docs, profiles, keep={"held_out": held_out})
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -52,7 +59,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_benchmark_decontamination, op3_ngram_jaccard_join, op4_source_mixing, op7_token_counts, op8_secret_scans, op9_license_scans, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_topk_search, op2_benchmark_decontamination, op3_ngram_jaccard_join, op4_source_mixing, op5_language_id, op7_token_counts, op8_secret_scans, op9_license_scans, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
