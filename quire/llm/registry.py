@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, secrets, token_counts, topk
+from quire.llm import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, quality, secrets, token_counts, topk
 from quire.llm.common import bucket_of, table
 
 
@@ -39,6 +39,11 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.predict(docs, profiles, keep={"held_out": held_out})
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    return quality.classify(docs, labels, held_out=bucket_of("doc_id", 5, 0), calibrates=bucket_of("doc_id", 5, 4), threshold=0.3)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -59,7 +64,7 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_benchmark_decontamination, op3_ngram_jaccard_join, op4_source_mixing, op5_language_id, op7_token_counts, op8_secret_scans, op9_license_scans, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_topk_search, op2_benchmark_decontamination, op3_ngram_jaccard_join, op4_source_mixing, op5_language_id, op6_quality_classifier, op7_token_counts, op8_secret_scans, op9_license_scans, op10_line_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
