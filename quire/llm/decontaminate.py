@@ -20,11 +20,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_arrow
+from quire.llm.common import filter_arrow, map_arrow
 from quire.llm.wordhash import LETTER_OR_DIGIT, WordHasher, grams
 from quire.shipping import ship
 
@@ -100,52 +100,90 @@ class Benchmark:
         return k[np.isin(runs[k], self.known)] if len(k) else k
 
 
-def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Pairs of documents and test items: id, item, coverage (share of the item's words), n_tiles, longest_tile (words)."""
-    spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def _blocks(benchmark: DataFrame, item_col: str, text_col: str, seed: int, block_bytes: int) -> Iterator[tuple[Broadcast, pa.DataType]]:
+    """The benchmark in parts of at most about block_bytes, each sent to the workers, with the type of the item's id."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_col).alias("item"), F.col(text_col).alias("text"))
     size = items.agg(F.sum(F.octet_length("text") + 64)).first()[0] or 0
-    blocks = max(1, -(-2 * size // block_bytes)) if size > block_bytes else 1
-    schema = f"id {rows.schema['id'].dataType.simpleString()}, item {items.schema['item'].dataType.simpleString()}, coverage double, n_tiles long, longest_tile long"
-    found = None
+    blocks = -(-2 * size // block_bytes) if size > block_bytes else 1
     for block in range(blocks):
         part = (items if blocks == 1 else items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block)).toArrow()
-        ids = part.column("item").combine_chunks()
-        if not len(ids):
-            continue
-        data = spark.sparkContext.broadcast(cloudpickle.dumps(Benchmark(ids, part.column("text").combine_chunks(), seed)))
-        one = map_arrow(rows, _pairs(data, seed, coverage, ids.type), schema)
+        if part.num_rows:
+            ids = part.column("item").combine_chunks()
+            yield spark.sparkContext.broadcast(cloudpickle.dumps(Benchmark(ids, part.column("text").combine_chunks(), seed))), ids.type
+
+
+def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """Pairs of documents and test items: id, item, coverage (share of the item's words), n_tiles, longest_tile (words)."""
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    schema = f"id {rows.schema['id'].dataType.simpleString()}, item {benchmark.schema[item_col].dataType.simpleString()}, coverage double, n_tiles long, longest_tile long"
+    found = None
+    for data, item_type in _blocks(benchmark, item_col, text_col, seed, block_bytes):
+        one = map_arrow(rows, _pairs(data, seed, coverage, item_type), schema)
         found = one if found is None else found.union(one)
     if found is None:
-        found = spark.createDataFrame([], schema)
+        found = docs.sparkSession.createDataFrame([], schema)
     return found.withColumnsRenamed({"id": id_col, "item": item_col})
 
 
-def _pairs(data, seed: int, coverage: float, item_type: pa.DataType):
+def clean(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """docs without those that leak a test item, with their columns. Each block of the benchmark is one pass without a shuffle."""
+    for data, _ in _blocks(benchmark, item_col, text_col, seed, block_bytes):
+        docs = filter_arrow(docs, text_col, _clean_ones(data, seed, coverage))
+    return docs
+
+
+def _clean_ones(data: Broadcast, seed: int, coverage: float):
+    def keeps():
+        find = _finder(data, seed, coverage)
+
+        def said(texts: pa.Array) -> list[bool]:
+            leaked = {x[0] for x in find(texts)[1]}
+            return [k not in leaked for k in range(len(texts))]
+
+        return said
+
+    return keeps
+
+
+def _finder(data: Broadcast, seed: int, coverage: float):
+    """A function from texts to the block of the benchmark and (row, place of the item, coverage, tiles, longest tile)."""
+    bench: Benchmark = cloudpickle.loads(data.value)
+    hasher = WordHasher(LETTER_OR_DIGIT, np.arange(256, dtype=np.uint8))
+
+    def find(texts: pa.Array) -> tuple[Benchmark, list[tuple[int, int, float, int, int]]]:
+        words, at = hasher.words(pc.utf8_lower(texts))
+        candidates: dict[int, set[int]] = {}
+        for n in (seed, *sorted(bench.short)):
+            runs = grams(words, n)
+            hits = bench.hits(runs)
+            # only runs within one text count
+            row = np.searchsorted(at, hits, "right") - 1
+            inside = hits + n <= at[row + 1]
+            hits, row = hits[inside], row[inside]
+            edges = np.flatnonzero(np.diff(row)) + 1
+            for first, own in zip(row[np.concatenate([[0], edges])] if len(row) else (), np.split(hits, edges), strict=False):
+                candidates.setdefault(int(first), set()).update(bench.owners(runs[own]))
+        out = []
+        for row, owners in sorted(candidates.items()):
+            doc = words[at[row] : at[row + 1]]
+            for k in sorted(owners):
+                item = bench.words[k]
+                least = min(seed, len(item))
+                found = tiles(_near(doc, item, least), item, least)
+                covered = sum(x[2] for x in found)
+                if covered and covered >= coverage * len(item):
+                    out.append((row, k, covered / len(item), len(found), max(x[2] for x in found)))
+        return bench, out
+
+    return find
+
+
+def _pairs(data: Broadcast, seed: int, coverage: float, item_type: pa.DataType):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bench: Benchmark = cloudpickle.loads(data.value)
-        hasher = WordHasher(LETTER_OR_DIGIT, np.arange(256, dtype=np.uint8))
+        find = _finder(data, seed, coverage)
         for batch in batches:
-            words, at = hasher.words(pc.utf8_lower(batch.column(1)))
-            candidates: dict[int, set[int]] = {}
-            for n in (seed, *sorted(bench.short)):
-                runs = grams(words, n)
-                hits = bench.hits(runs)
-                for row in np.unique(np.searchsorted(at, hits, "right") - 1):
-                    own = hits[(hits >= at[row]) & (hits + n <= at[row + 1])]
-                    if len(own):
-                        candidates.setdefault(int(row), set()).update(bench.owners(runs[own]))
-            out: list[tuple] = []
-            for row, owners in sorted(candidates.items()):
-                doc = words[at[row] : at[row + 1]]
-                for k in sorted(owners):
-                    item = bench.words[k]
-                    least = min(seed, len(item))
-                    found = tiles(_near(doc, item, least), item, least)
-                    covered = sum(x[2] for x in found)
-                    if covered and covered >= coverage * len(item):
-                        out.append((row, k, covered / len(item), len(found), max(x[2] for x in found)))
+            bench, out = find(batch.column(1))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(pa.array([x[0] for x in out], pa.int64())), pa.array([bench.ids[x[1]] for x in out], item_type), pa.array([x[2] for x in out], pa.float64()), pa.array([x[3] for x in out], pa.int64()), pa.array([x[4] for x in out], pa.int64())],
                 names=["id", "item", "coverage", "n_tiles", "longest_tile"],
@@ -170,10 +208,4 @@ def _near(doc: np.ndarray, item: np.ndarray, least: int) -> np.ndarray:
     return out[keep | gap]
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
-    """docs without those that leak a test item; rows without an id stay."""
-    found = leaks(docs, benchmark, id_col=id_col, **how).select(id_col).distinct()
-    return docs.join(found, id_col, "left_anti")
-
-
 ship(__name__)

@@ -207,4 +207,15 @@ def ngram_components(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id
     return placed.join(names, "root", "left").select(F.col("id").alias(id_col), F.col("size").cast("long").alias("n_shingles"), F.coalesce("name", "id").alias("component_id"))
 
 
+def representatives(docs: DataFrame, n: int = 5, num: int = 4, den: int = 5, id_col: str = "doc_id", text_col: str = "text", order_bits: int = ORDER_BITS) -> DataFrame:
+    """docs with one document of each component, the one of the smallest id, in their own columns.
+
+    Of several rows of that id one stays. Rows without an id stay: nothing tells them apart.
+    """
+    named = ngram_components(docs, n, num, den, id_col, text_col, order_bits)
+    kept = named.where(F.col(id_col) == F.col("component_id")).select(id_col).distinct()
+    once = docs.where(F.col(id_col).isNotNull()).join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return once.select(*docs.columns).union(docs.where(F.col(id_col).isNull()))
+
+
 ship(__name__)

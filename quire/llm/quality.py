@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_arrow, saved
+from quire.llm.common import filter_arrow, map_arrow, saved
 from quire.llm.wordhash import WordHasher
 from quire.shipping import ship
 
@@ -202,12 +202,28 @@ def fit(labelled: DataFrame, features: int = FEATURES, ridge: float = RIDGE, see
     return model
 
 
-def classify(docs: DataFrame, labels: DataFrame, held_out: Column, calibrates: Column, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", features: int = FEATURES, ridge: float = RIDGE, seed: int = SEED) -> DataFrame:
-    """Per row of docs: id, held_out, score (0 to 1) and predicted (1 from threshold on). Held-out rows' labels are never read."""
+def _learned(docs: DataFrame, labels: DataFrame, held_out: Column, calibrates: Column, id_col: str, text_col: str, label_col: str, features: int, ridge: float, seed: int) -> tuple[DataFrame, Model]:
+    """Every document's statistics, and the model of those that are labelled and not held out."""
     stats = saved(document_statistics(docs, {"held_out": held_out, "calibrates": calibrates}, id_col, text_col))
     known = labels.where(F.col(label_col).isin(0, 1)).select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label"))
     labelled = saved(stats.where("not held_out").join(known, "id").select("label", "calibrates", "stats"))
-    model = fit(labelled, features, ridge, seed)
+    return stats, fit(labelled, features, ridge, seed)
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, held_out: Column, calibrates: Column, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", features: int = FEATURES, ridge: float = RIDGE, seed: int = SEED) -> DataFrame:
+    """The rows of docs that classify() would predict as 1, with their columns."""
+    _, model = _learned(docs, labels, held_out, calibrates, id_col, text_col, label_col, features, ridge, seed)
+
+    def keeps():
+        hasher = WordHasher()
+        return lambda texts: (model.score(statistics(texts, hasher)) >= threshold).tolist() if len(texts) else []
+
+    return filter_arrow(docs, text_col, keeps)
+
+
+def classify(docs: DataFrame, labels: DataFrame, held_out: Column, calibrates: Column, threshold: float = 0.3, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", features: int = FEATURES, ridge: float = RIDGE, seed: int = SEED) -> DataFrame:
+    """Per row of docs: id, held_out, score (0 to 1) and predicted (1 from threshold on). Held-out rows' labels are never read."""
+    stats, model = _learned(docs, labels, held_out, calibrates, id_col, text_col, label_col, features, ridge, seed)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
