@@ -38,6 +38,9 @@ ORDER_BITS = 24
 SEGMENT_BITS = 16
 #: A block's chunk: shingles and sets.
 BLOCK_SHINGLES, BLOCK_SETS = 1 << 20, 2048
+#: Bits of a set's first shingle that go with each prefix shingle, beside the size; larger sizes count as the most there.
+LEAD_BITS = 43
+MOST_SIZE = (1 << 20) - 1
 
 
 def shingle_sets(column: pa.Array, hasher: WordHasher, n: int) -> Iterator[np.ndarray]:
@@ -110,7 +113,7 @@ def _chains(docs: DataFrame, n: int, bits: int, table, num: int, den: int) -> Da
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, order, seen = WordHasher(), np.frombuffer(table.value, np.uint16), set()
         for batch in batches:
-            tokens, nodes, sizes, repeats = [], [], [], []
+            tokens, nodes, packed, repeats = [], [], [], []
             for shingles in shingle_sets(batch.column(0), hasher, n):
                 if not len(shingles) or (node := set_id(shingles)) in seen:
                     continue
@@ -119,27 +122,31 @@ def _chains(docs: DataFrame, n: int, bits: int, table, num: int, den: int) -> Da
                 ranked = (order[(shingles >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (shingles >> np.uint64(16))
                 tokens.append(np.partition(ranked, keep - 1)[:keep] if keep < len(ranked) else ranked)
                 nodes.append(node)
-                sizes.append(len(shingles))
+                # the size, and the set's first shingle: two sets with the same one are chained there, and need not be elsewhere
+                packed.append(min(len(shingles), MOST_SIZE) << LEAD_BITS | int(mixed(tokens[-1].min()[None])[0]) >> (64 - LEAD_BITS))
                 repeats.append(keep)
             if nodes:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), repeats)), pa.array(np.repeat(np.array(sizes, np.int32), repeats))], names=["token", "node", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(tokens).view(np.int64)), pa.array(np.repeat(np.array(nodes, np.int64), repeats)), pa.array(np.repeat(np.array(packed, np.int64), repeats))], names=["token", "node", "packed"])
 
     def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last = None
         for batch in batches:
-            token, node, size = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
+            token, node, packed = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(3))
             if last is not None:
-                token, node, size = (np.concatenate([[x], y]) for x, y in zip(last, (token, node, size), strict=True))
+                token, node, packed = (np.concatenate([[x], y]) for x, y in zip(last, (token, node, packed), strict=True))
             if not len(token):
                 continue
-            last = token[-1], node[-1], size[-1]
-            k = np.flatnonzero((token[1:] == token[:-1]) & (node[1:] != node[:-1]) & (den * size[:-1].astype(np.int64) >= num * size[1:]))
+            last = token[-1], node[-1], packed[-1]
+            size, lead = packed >> LEAD_BITS, packed & ((1 << LEAD_BITS) - 1)
+            here = mixed(token.view(np.uint64)) >> np.uint64(64 - LEAD_BITS) == lead.astype(np.uint64)
+            told = (lead[1:] == lead[:-1]) & ~here[1:]
+            k = np.flatnonzero((token[1:] == token[:-1]) & (node[1:] != node[:-1]) & (den * size[:-1] >= num * size[1:]) & ~told)
             found = np.unique(np.stack([node[k], node[k + 1]], axis=1), axis=0) if len(k) else np.zeros((0, 2), np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(found[:, 0])), pa.array(np.ascontiguousarray(found[:, 1]))], names=["a", "b"])
 
-    rows = map_arrow(docs.select("text"), prefixes, "token long, node long, size int")
+    rows = map_arrow(docs.select("text"), prefixes, "token long, node long, packed long")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ordered = rows.repartition(parts, "token").sortWithinPartitions("token", "size", "node")
+    ordered = rows.repartition(parts, "token").sortWithinPartitions("token", "packed", "node")
     return map_arrow(ordered, pairs, "a long, b long")
 
 
