@@ -1,0 +1,42 @@
+"""Ordered folds: Python code that sees the rows of one key after the other, in order, as the rows stream by.
+
+Only the rows of one key are held at a time. Use it where a row's result depends on decisions about earlier rows.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable, Iterable, Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
+
+from quire.shipping import ship
+
+
+def fold_groups(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[list[dict]], Iterable[dict]], schema: StructType) -> DataFrame:
+    """The rows that fold() makes of each group of rows, given in order. Nulls are a key of their own."""
+    out_schema = to_arrow_schema(schema)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held, made = None, [], []
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = tuple(row[k] for k in keys)
+                if held and own != key:
+                    made += fold(held)
+                    held = []
+                    if len(made) >= 2000:
+                        yield pa.RecordBatch.from_pylist(made, out_schema)
+                        made = []
+                key = own
+                held.append(row)
+        if held:
+            made += fold(held)
+        yield pa.RecordBatch.from_pylist(made, out_schema)
+
+    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, schema)
+
+
+ship(__name__)
