@@ -8,10 +8,13 @@ from pyspark.sql.streaming import StreamingQuery
 
 from quire.sources.files import described
 
+#: What Spark's binaryFile source gives.
+FILES = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def new_files(spark: SparkSession, path: str) -> DataFrame:
     """The described files below path as they appear, without contents seen before. The state is one fingerprint a file."""
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).load(path)
     return described(files).where(F.col("kind").isNotNull()).dropDuplicates(["fingerprint"])
 
 
@@ -31,5 +34,5 @@ def intake(spark: SparkSession, path: str, state: str, checkpoint: str) -> Strea
                 raise
         once.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(state)
 
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(path)
+    files = spark.readStream.format("binaryFile").schema(FILES).option("recursiveFileLookup", True).load(path)
     return described(files).where(F.col("kind").isNotNull()).writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
