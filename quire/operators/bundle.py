@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions.text import page_range, plain_text
+from quire.shipping import ship
 
 #: Fixed values.
 LOW_CONFIDENCE, OVERHEAD, STREAM_ABOVE, UNDO_SECONDS = 70, 200_000, 150 * 1024 * 1024, 9
@@ -202,3 +203,6 @@ def block_kind_set(blocks: DataFrame, doc_id: str, block_no: int, kind: str, lev
 def replaced(table: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
     """table with all rows of the keys in new replaced by new's."""
     return table.join(new.select(*keys).distinct(), keys, "left_anti").unionByName(new, allowMissingColumns=True)
+
+
+ship(__name__)
