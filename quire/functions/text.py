@@ -12,7 +12,8 @@ from pyspark.sql.types import StringType
 from quire.shipping import ship
 
 #: White space as browsers see it; Java's \s is ASCII only.
-WS = r"[\t-\r" + "".join(map(chr, (32, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288, 65279))) + "]"
+SPACES = "".join(map(chr, (*range(9, 14), 32, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288, 65279)))
+WS = f"[{SPACES}]"
 #: A roman numeral below 4000, any case; empty input excluded.
 ROMAN = r"(?i)^(?=[ivxlcdm])m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
 #: How a finished sentence ends.
@@ -26,7 +27,7 @@ IMAGE_EXTENSIONS = "jpe?g|png|webp|gif|bmp|tiff?|hei[cf]"
 
 
 def trimmed(c: Column) -> Column:
-    return F.regexp_replace(c, f"^{WS}+|{WS}+$", "")
+    return F.btrim(c, F.lit(SPACES))
 
 
 def collapsed(c: Column) -> Column:

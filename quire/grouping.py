@@ -36,7 +36,9 @@ def fold_groups(df: DataFrame, keys: list[str], order: list[str], fold: Callable
             made += fold(held)
         yield pa.RecordBatch.from_pylist(made, out_schema)
 
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(work, schema)
+    # a number of partitions of their own: Python costs more than the few bytes by which small ones would be put together
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys).sortWithinPartitions(*keys, *order).mapInArrow(work, schema)
 
 
 ship(__name__)

@@ -210,7 +210,8 @@ def column_stats(items: DataFrame, body: DataFrame) -> DataFrame:
 
 def heading_levels(items: DataFrame) -> DataFrame:
     """items of column_stats() with level: 1 to 3 for headings, null for the rest."""
-    text = trimmed(line_text(F.col("spans")))
+    items = items.withColumn("_text", trimmed(line_text(F.col("spans"))))
+    text = F.col("_text")
     in_col = Window.partitionBy(*PAGE, "col", "kind").orderBy("item_no")
     infinite = F.lit(float("inf"))
     before = F.coalesce(F.col("y0") - F.lag("y0").over(in_col), infinite)
@@ -233,7 +234,7 @@ def heading_levels(items: DataFrame) -> DataFrame:
         & (before >= 1.35 * F.col("pitch"))
         & (after >= 1.3 * F.col("pitch"))
     )
-    return items.withColumn("level", F.when(F.col("kind") == "line", F.coalesce(plain, F.when(centred, 3))).cast("int"))
+    return items.withColumn("level", F.when(F.col("kind") == "line", F.coalesce(plain, F.when(centred, 3))).cast("int")).drop("_text")
 
 
 def inside(x: Column, y: Column, box: Column) -> Column:
