@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -10,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from quire.saving import saved
 from quire.shipping import ship
 
 #: Bytes of one Arrow batch sent to a Python worker.
@@ -25,18 +25,6 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
-def saved(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by checkpoint(), in the folder that the session names.
-
-    Only where spark.checkpoint.dir is unset (single-machine tests) a folder of our own is taken.
-    """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def map_arrow(df: DataFrame, work: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     bounded_batches(df.sparkSession)
     return df.mapInArrow(work, schema)
@@ -61,4 +49,6 @@ def bucket_of(column: str, by: int, remainder: int) -> Column:
     return F.coalesce(F.crc32(F.col(column).cast("string").cast("binary")) % by == remainder, F.lit(False))
 
 
+__all__ = ["bounded_batches", "bucket_of", "filter_arrow", "map_arrow", "saved", "table"]
+
 ship(__name__)
