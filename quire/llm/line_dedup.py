@@ -7,6 +7,9 @@ with their first place in the corpus, in order of id, text hash and line. That g
 distance to the earlier one. Windows start at every line, so a matched run of windows already reaches as far to the left as lines agree;
 to the right it is extended line by line beyond its last window. Each run so matched is deleted; its first place stays.
 
+A window that overlaps its own first place in the same text isn't matched: of one line over and over, a window's worth stays. Every deleted
+line stands at an earlier place that stays.
+
 Single lines below `words` words, however frequent, are never deleted unless they lie in such a run. Blank lines inside a deleted run go
 with it. Null and empty texts stay as they are. Rows with equal id and text are one document and get the same result. Rows without an
 id come first in order. Other columns pass through unchanged; helper columns can't clash, as the text is joined back on its own hash alone.
@@ -54,19 +57,19 @@ def repeated_runs(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", t
     firsts = windows.groupBy("mark", "whole").agg(F.min(F.struct("id", "k", "at")).alias("first"), F.count("*").alias("times")).where("times > 1")
     matched = (
         windows.join(firsts, ["mark", "whole"])
-        .where(~((F.col("k") == F.col("first.k")) & (F.col("at") == F.col("first.at"))))
+        .where(~((F.col("k") == F.col("first.k")) & (F.col("at") - F.col("first.at") <= F.col("end_idx") - F.col("idx"))))
         .select("k", "pos", "idx", "end_pos", "end_idx", F.col("first.k").alias("k0"), (F.col("at") - F.col("first.at")).alias("shift"))
     )
     diagonal = Window.partitionBy("k", "k0", "shift").orderBy("idx")
     matched = saved(matched.withColumn("last", ~(F.lead("idx").over(diagonal).eqNullSafe(F.col("idx") + 1))))
-    tails = matched.where("last").select("k", "k0", "shift", "end_idx", F.explode(F.sequence(F.col("end_idx") + 1, F.col("end_idx") + words)).alias("j"))
+    tails = matched.where("last").select("k", "k0", "shift", "end_idx", "end_pos", F.explode(F.sequence(F.col("end_idx") + 1, F.col("end_idx") + words)).alias("j"))
     own = lines.select("k", F.col("idx").alias("j"), "h", "pos")
     theirs = lines.select(F.col("k").alias("k0"), F.col("idx").alias("j0"), F.col("h").alias("h0"))
     compared = tails.join(own, ["k", "j"], "left").withColumn("j0", F.col("j") - F.col("shift")).join(theirs, ["k0", "j0"], "left")
-    stops = compared.groupBy("k", "k0", "shift", "end_idx").agg(
+    stops = compared.groupBy("k", "k0", "shift", "end_idx", "end_pos").agg(
         F.min(F.when(~F.coalesce(F.col("h") == F.col("h0"), F.lit(False)), F.col("j"))).alias("stop"), F.map_from_entries(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("j", "pos")))).alias("places")
     )
-    more = stops.where(F.col("stop").isNull() | (F.col("stop") > F.col("end_idx") + 1)).select("k", F.col("places")[F.col("end_idx") + 1].alias("first"), F.col("places")[F.coalesce(F.col("stop") - 1, F.col("end_idx") + words)].alias("last"))
+    more = stops.where(F.col("stop").isNull() | (F.col("stop") > F.col("end_idx") + 1)).select("k", (F.col("end_pos") + 1).alias("first"), F.col("places")[F.coalesce(F.col("stop") - 1, F.col("end_idx") + words)].alias("last"))
     ranges = matched.select("k", F.col("pos").alias("first"), F.col("end_pos").alias("last")).union(more)
     order = Window.partitionBy("k").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
@@ -104,12 +107,12 @@ counted AS (SELECT *, len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS w
 lines AS (SELECT doc_id, pos, line, words, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS idx, sum(words) OVER (PARTITION BY doc_id ORDER BY pos) - words AS s FROM counted WHERE words > 0),
 windows AS (SELECT doc_id, pos, idx, list(line) OVER w AS whole, sum(words) OVER w AS held, max(pos) OVER w AS end_pos, max(idx) OVER w AS end_idx FROM lines WINDOW w AS (PARTITION BY doc_id ORDER BY s RANGE BETWEEN CURRENT ROW AND {WORDS - 1} FOLLOWING)),
 placed AS (SELECT *, first_value(doc_id) OVER w AS doc0, first_value(idx) OVER w AS idx0 FROM windows WHERE held >= {WORDS} WINDOW w AS (PARTITION BY whole ORDER BY doc_id, idx)),
-matched AS (SELECT doc_id, pos, end_pos, end_idx, doc0, idx - idx0 AS shift FROM placed WHERE doc_id <> doc0 OR idx <> idx0),
+matched AS (SELECT doc_id, pos, end_pos, end_idx, doc0, idx - idx0 AS shift FROM placed WHERE doc_id <> doc0 OR idx - idx0 > end_idx - idx),
 steps AS (SELECT m.*, a.idx AS j, a.pos AS jpos, a.line = b.line AS same FROM matched m JOIN lines a ON a.doc_id = m.doc_id AND a.idx > m.end_idx AND a.idx <= m.end_idx + {WORDS} LEFT JOIN lines b ON b.doc_id = m.doc0 AND b.idx = a.idx - m.shift),
-tails AS (SELECT doc_id, jpos, bool_and(coalesce(same, false)) OVER (PARTITION BY doc_id, doc0, shift, end_idx, pos ORDER BY j) AS whole FROM steps),
+tails AS (SELECT doc_id, end_pos, jpos, bool_and(coalesce(same, false)) OVER (PARTITION BY doc_id, doc0, shift, end_idx, pos ORDER BY j) AS whole FROM steps),
 gone AS (
   SELECT DISTINCT doc_id, p AS pos FROM (SELECT doc_id, unnest(range(pos, end_pos + 1)) AS p FROM matched)
-  UNION SELECT doc_id, jpos FROM tails WHERE whole),
+  UNION SELECT doc_id, unnest(range(end_pos + 1, jpos + 1)) FROM tails WHERE whole),
 filled AS (SELECT c.doc_id, c.pos, c.line, g.pos IS NOT NULL AS gone FROM counted c LEFT JOIN gone g ON g.doc_id = c.doc_id AND g.pos = c.pos)
 SELECT d.doc_id, coalesce(f.n_lines, 0)::BIGINT AS n_lines, coalesce(f.n_deleted, 0)::BIGINT AS n_deleted, CASE WHEN d.text IS NULL THEN NULL ELSE md5(coalesce(f.text, '')) END AS text_md5
 FROM documents d LEFT JOIN (SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_deleted, string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT gone) AS text FROM filled GROUP BY doc_id) f USING (doc_id)
