@@ -32,12 +32,12 @@ def _key(id_col: str, text_col: str) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """k, id, pos (from 0), h, words, idx (from 1, among lines with words) and s (words before the line) of each line with words."""
+    """k, id, pos (from 0), h, words, idx (from 1, among lines with words), n (how many there are) and s (words before it) of each line with words."""
     parts = docs.where(F.col(text_col).isNotNull()).select(_key(id_col, text_col).alias("k"), F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     rows = parts.select("k", "id", "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("words")).where("words > 0")
     order = Window.partitionBy("k").orderBy("pos")
     once = rows.withColumn("again", F.lag("pos").over(order).eqNullSafe(F.col("pos"))).where("not again").drop("again")
-    return once.withColumns({"idx": F.row_number().over(order).cast("long"), "s": F.sum("words").over(order) - F.col("words")})
+    return once.withColumns({"idx": F.row_number().over(order).cast("long"), "n": F.count("*").over(Window.partitionBy("k")), "s": F.sum("words").over(order) - F.col("words")})
 
 
 def _windows(lines: DataFrame, words: int) -> DataFrame:
@@ -45,9 +45,9 @@ def _windows(lines: DataFrame, words: int) -> DataFrame:
     run = Window.partitionBy("k").orderBy("s").rangeBetween(0, words - 1)
     least = F.min(F.struct("h", (-F.col("idx")).alias("back"))).over(run)
     found = lines.select(
-        "k", "id", "pos", "idx", least.alias("least"), F.xxhash64(F.collect_list("h").over(run)).alias("whole"), F.sum("words").over(run).alias("held"), F.max("pos").over(run).alias("end_pos"), F.max("idx").over(run).alias("end_idx")
+        "k", "id", "pos", "idx", "n", least.alias("least"), F.xxhash64(F.collect_list("h").over(run)).alias("whole"), F.sum("words").over(run).alias("held"), F.max("pos").over(run).alias("end_pos"), F.max("idx").over(run).alias("end_idx")
     )
-    return found.where(F.col("held") >= words).select("k", "id", "pos", "idx", "end_pos", "end_idx", F.col("least.h").alias("mark"), (-F.col("least.back")).alias("at"), "whole")
+    return found.where(F.col("held") >= words).select("k", "id", "pos", "idx", "n", "end_pos", "end_idx", F.col("least.h").alias("mark"), (-F.col("least.back")).alias("at"), "whole")
 
 
 def repeated_runs(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -58,18 +58,20 @@ def repeated_runs(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", t
     matched = (
         windows.join(firsts, ["mark", "whole"])
         .where(~((F.col("k") == F.col("first.k")) & (F.col("at") - F.col("first.at") <= F.col("end_idx") - F.col("idx"))))
-        .select("k", "pos", "idx", "end_pos", "end_idx", F.col("first.k").alias("k0"), (F.col("at") - F.col("first.at")).alias("shift"))
+        .select("k", "pos", "idx", "n", "end_pos", "end_idx", F.col("first.k").alias("k0"), (F.col("at") - F.col("first.at")).alias("shift"))
     )
     diagonal = Window.partitionBy("k", "k0", "shift").orderBy("idx")
     matched = saved(matched.withColumn("last", ~(F.lead("idx").over(diagonal).eqNullSafe(F.col("idx") + 1))))
-    tails = matched.where("last").select("k", "k0", "shift", "end_idx", "end_pos", F.explode(F.sequence(F.col("end_idx") + 1, F.col("end_idx") + words)).alias("j"))
+    until = F.least(F.col("end_idx") + words, "n")
+    tails = matched.where(F.col("last") & (F.col("end_idx") < F.col("n"))).select("k", "k0", "shift", "end_idx", "end_pos", until.alias("until"), F.explode(F.sequence(F.col("end_idx") + 1, until)).alias("j"))
     own = lines.select("k", F.col("idx").alias("j"), "h", "pos")
     theirs = lines.select(F.col("k").alias("k0"), F.col("idx").alias("j0"), F.col("h").alias("h0"))
-    compared = tails.join(own, ["k", "j"], "left").withColumn("j0", F.col("j") - F.col("shift")).join(theirs, ["k0", "j0"], "left")
-    stops = compared.groupBy("k", "k0", "shift", "end_idx", "end_pos").agg(
-        F.min(F.when(~F.coalesce(F.col("h") == F.col("h0"), F.lit(False)), F.col("j"))).alias("stop"), F.map_from_entries(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("j", "pos")))).alias("places")
+    compared = tails.join(own, ["k", "j"]).withColumn("j0", F.col("j") - F.col("shift")).join(theirs, ["k0", "j0"], "left")
+    stops = compared.groupBy("k", "k0", "shift", "end_idx", "end_pos", "until").agg(
+        F.min(F.when(~F.coalesce(F.col("h") == F.col("h0"), F.lit(False)), F.col("j"))).alias("stop"), F.map_from_entries(F.collect_list(F.struct("j", "pos"))).alias("places")
     )
-    more = stops.where(F.col("stop").isNull() | (F.col("stop") > F.col("end_idx") + 1)).select("k", (F.col("end_pos") + 1).alias("first"), F.col("places")[F.coalesce(F.col("stop") - 1, F.col("end_idx") + words)].alias("last"))
+    end = F.coalesce(F.col("stop") - 1, "until")
+    more = stops.where(end > F.col("end_idx")).select("k", (F.col("end_pos") + 1).alias("first"), F.col("places")[end].alias("last"))
     ranges = matched.select("k", F.col("pos").alias("first"), F.col("end_pos").alias("last")).union(more)
     order = Window.partitionBy("k").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
