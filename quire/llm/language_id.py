@@ -165,4 +165,22 @@ def predict(docs: DataFrame, profiles: dict[str, list[int]], n: int = PROFILE, i
     return map_arrow(rows, work, f"{kinds}, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+#: The rows of op5. CRC-32 by its bits: a byte is mixed in, then eight shifts; n-grams of fewer characters sort first, as their numbers do.
+ORACLE_SQL = rf"""
+WITH r AS (SELECT doc_id, lang, lower(text) AS text,
+    xor(list_reduce([4294967295] || flatten([[ascii(c)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1] for c in string_split(doc_id::VARCHAR, '')]), lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, (c & 1) * 3988292384) END), 4294967295) % 3 = 1 AS held_out
+  FROM documents),
+t AS (SELECT *, CASE WHEN regexp_matches(text, '\p{{L}}') THEN ' ' || trim(regexp_replace(text, '[^\p{{L}}]+', ' ', 'g')) || ' ' END AS t FROM r),
+g AS (SELECT doc_id, lang, held_out, unnest(
+    list_filter([substr(t, i, 1) for i in range(1, length(t) + 1)], lambda x: x <> ' ') || [substr(t, i, 2) for i in range(1, length(t))] || list_filter([substr(t, i, 3) for i in range(1, length(t) - 1)], lambda x: substr(x, 2, 1) <> ' ')) AS g
+  FROM t WHERE t IS NOT NULL),
+trained AS (SELECT lang, g, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, length(g), g) - 1 AS place FROM g WHERE NOT held_out AND lang IS NOT NULL GROUP BY lang, g QUALIFY place < {PROFILE}),
+own AS (SELECT doc_id, g, row_number() OVER (PARTITION BY doc_id ORDER BY count(*) DESC, length(g), g) - 1 AS place FROM g GROUP BY doc_id, g QUALIFY place < {PROFILE}),
+k AS (SELECT doc_id, {PROFILE} * count(*) AS most FROM own GROUP BY doc_id),
+met AS (SELECT doc_id, lang, sum({PROFILE} - abs(own.place - trained.place)) AS nearer FROM own JOIN trained USING (g) GROUP BY doc_id, lang),
+d AS (SELECT k.doc_id, l.lang, most, most - coalesce(nearer, 0) AS distance FROM k CROSS JOIN (SELECT DISTINCT lang FROM trained) l LEFT JOIN met ON met.doc_id = k.doc_id AND met.lang = l.lang),
+o AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY distance, lang) AS rank, coalesce(lead(distance) OVER (PARTITION BY doc_id ORDER BY distance, lang), most) AS next FROM d)
+SELECT r.doc_id, r.held_out, coalesce(o.lang, '{UNKNOWN}') AS lang_pred, CASE WHEN o.lang IS NULL OR next = 0 THEN 0.0 ELSE 1.0::DOUBLE - distance::DOUBLE / next::DOUBLE END AS score FROM r LEFT JOIN o ON o.doc_id = r.doc_id AND o.rank = 1
+"""
+
 ship(__name__)

@@ -68,4 +68,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_topk_search": topk.ORACLE_SQL, "op4_source_mixing": mixing.oracle_sql(WEIGHTS, 1, mixing.BLOCK), "op9_license_scans": license_scan.oracle_sql(), "op10_line_dedup": line_dedup.ORACLE_SQL}
+    return {
+        "op1_topk_search": topk.ORACLE_SQL,
+        "op3_ngram_jaccard_join": ngram_join.ORACLE_SQL,
+        "op4_source_mixing": mixing.oracle_sql(WEIGHTS, 1, mixing.BLOCK),
+        "op5_language_id": language_id.ORACLE_SQL,
+        "op9_license_scans": license_scan.oracle_sql(),
+        "op10_line_dedup": line_dedup.ORACLE_SQL,
+    }
