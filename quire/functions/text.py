@@ -157,6 +157,12 @@ def name_list(names: Column) -> Column:
     return F.when(more > 0, F.concat(first, F.format_string(" and %d more", more))).otherwise(first)
 
 
+def cover_list(titles: Column, fit: int) -> Column:
+    """As many titles as fit, and how many more there are."""
+    more = F.size(titles) - fit
+    return F.when(more > 0, F.concat(F.slice(titles, 1, fit), F.array(F.format_string("+ %d more", more)))).otherwise(titles)
+
+
 def friendly_error(message: Column) -> Column:
     return (
         F.when(message.rlike("(?i)password"), "This PDF is protected by a password.")

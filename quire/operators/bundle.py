@@ -114,6 +114,20 @@ def label_lookup(rows: DataFrame, pages: DataFrame) -> DataFrame:
     return found.withColumn("label", F.coalesce(F.when(F.col("_label") != "", F.col("_label")), (F.col("page") + 1).cast("string"))).drop("_label")
 
 
+def next_queued(readings: DataFrame) -> DataFrame:
+    """The first reading that waits."""
+    return readings.where("status = 'queued'").orderBy("seq").limit(1)
+
+
+def selected_between(readings: DataFrame, anchor: int, row: int) -> DataFrame:
+    """The readings from one place to another, whichever comes first."""
+    return readings.where(F.col("seq").between(min(anchor, row), max(anchor, row)))
+
+
+def appended(readings: DataFrame, new: DataFrame) -> DataFrame:
+    return readings.unionByName(new, allowMissingColumns=True)
+
+
 # Edits: each gives the table as it is afterwards.
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions.text import page_label
+from quire.grouping import fold_groups
 from quire.operators.inlines import note_reference, page_break, text_run
 from quire.shipping import ship
 
@@ -62,4 +63,35 @@ def decoded(text: str, before: list[dict], shown: str, notes: list[dict], labels
     return [c for c in out if c["t"] != "text" or c["text"]]
 
 
+def apply_edits(blocks: DataFrame, edits: DataFrame, notes: DataFrame, pages: DataFrame) -> DataFrame:
+    """blocks with the texts of edits (doc_id, block_no, text) in place of what they showed. Only edited blocks pass through Python."""
+    own_notes = notes.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "note_no", "id", "marker"))).alias("_notes"))
+    own_pages = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "label"))).alias("_pages"))
+    markers = F.map_from_entries(F.transform(F.coalesce("_notes", F.array()), lambda n: F.struct(n["id"], n["marker"])))
+    labels = F.map_from_entries(F.transform(F.coalesce("_pages", F.array()), lambda p: F.struct(p["page"], p["label"])))
+    hit = blocks.join(edits.withColumnRenamed("text", "_text"), ["doc_id", "block_no"]).join(own_notes, "doc_id", "left").join(own_pages, "doc_id", "left")
+    shown = hit.withColumn("_shown", editable(F.col("content"), markers, labels)).select(*blocks.columns, "_text", "_shown", "_notes", "_pages")
+
+    def one(rows: list[dict]) -> list[dict]:
+        row = rows[0]
+        text, before, own, known = (row.pop(k) for k in ("_text", "_shown", "_notes", "_pages"))
+        row["content"] = decoded(text or "", row["content"] or [], before, own or [], [p["label"] for p in known or ()])
+        return [row]
+
+    changed = fold_groups(shown, ["doc_id", "block_no"], [], one, blocks.schema)
+    return blocks.join(edits.select("doc_id", "block_no").distinct(), ["doc_id", "block_no"], "left_anti").unionByName(changed)
+
+
+def caption_set(blocks: DataFrame, doc_id: str, block_no: int, caption: str) -> DataFrame:
+    hit = (F.col("doc_id") == doc_id) & (F.col("block_no") == block_no)
+    return blocks.withColumn("caption", F.when(hit, F.nullif(F.trim(F.lit(caption)), F.lit(""))).otherwise(F.col("caption")))
+
+
+def note_set(notes: DataFrame, doc_id: str, note: str, text: str) -> DataFrame:
+    """notes with one's content replaced by plain text."""
+    run = F.struct(F.lit("text").alias("t"), F.lit(" ".join(text.split())).alias("text"), *(F.lit(False).alias(k) for k in ("i", "b", "sup")), F.lit(None).cast("string").alias("note"), F.lit(None).cast("int").alias("page"))
+    hit = (F.col("doc_id") == doc_id) & (F.col("id") == note)
+    return notes.withColumn("content", F.when(hit, F.array(run)).otherwise(F.col("content")))
+
+
 ship(__name__)

@@ -65,6 +65,14 @@ def spread_gutter(gray: np.ndarray) -> int | None:
     return round(at * w / width)
 
 
+def cropped(gray: np.ndarray, box: tuple[float, float, float, float], scale: float = 1.0) -> np.ndarray:
+    """The part of an image in a box of another scale, with a pixel at least."""
+    h, w = gray.shape[:2]
+    x0, y0 = (min(max(0, int(v * scale)), n - 1) for v, n in ((box[0], w), (box[1], h)))
+    x1, y1 = (min(max(lo + 1, int(np.ceil(v * scale))), n) for v, lo, n in ((box[2], x0, w), (box[3], y0, h)))
+    return gray[y0:y1, x0:x1]
+
+
 def halves(gray: np.ndarray) -> list[np.ndarray]:
     at = spread_gutter(gray)
     return [gray] if at is None else [gray[:, :at], gray[:, at:]]
