@@ -33,7 +33,7 @@ from quire.llm.prefix_trie import linked
 from quire.llm.wordhash import WordHasher, grams, mixed
 from quire.shipping import ship
 
-#: Places in the table of counts, as a power of two: a fixed 64 MB in a worker while counting, 32 MB where it is used.
+#: Places in the table of counts, as a power of two: a fixed 64 MB in a worker while counting, 16 MB where it is used.
 ORDER_BITS = 24
 SEGMENT_BITS = 16
 #: A block's chunk: shingles and sets.
@@ -87,7 +87,7 @@ def _scan(docs: DataFrame, n: int, bits: int) -> DataFrame:
 
 
 def _order(scanned: DataFrame, bits: int) -> np.ndarray:
-    """The whole corpus's counts by place, capped at 65535; summed on the executors, 2**bits * 2 bytes on the driver."""
+    """The rank of the whole corpus's counts by place, a byte each, 16 steps to a doubling; summed on the executors, 2**bits bytes on the driver."""
     width = 1 << min(SEGMENT_BITS, bits)
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -98,12 +98,12 @@ def _order(scanned: DataFrame, bits: int) -> np.ndarray:
                 part = np.frombuffer(data, np.uint8 if len(data) == width else np.uint32)
                 sums[k] = sums[k] + part if k in sums else part.astype(np.uint64)
         for k, part in sums.items():
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(part, 65535).astype(np.uint16).tobytes()], pa.binary())], names=["segment", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([np.minimum(16 * np.log2(part + 1.0), 255).astype(np.uint8).tobytes()], pa.binary())], names=["segment", "counts"])
 
     rows = scanned.where("segment is not null").select("segment", "counts").repartition(32, "segment")
-    out = np.zeros(1 << bits, np.uint16)
+    out = np.zeros(1 << bits, np.uint8)
     for row in map_arrow(rows, total, "segment int, counts binary").collect():
-        out[row["segment"] * width : (row["segment"] + 1) * width] = np.frombuffer(row["counts"], np.uint16)
+        out[row["segment"] * width : (row["segment"] + 1) * width] = np.frombuffer(row["counts"], np.uint8)
     return out
 
 
@@ -111,7 +111,7 @@ def _chains(docs: DataFrame, n: int, bits: int, table, num: int, den: int) -> Da
     """Pairs of nodes that follow one another at a prefix shingle, by size."""
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, order, seen = WordHasher(), np.frombuffer(table.value, np.uint16), set()
+        hasher, order, seen = WordHasher(), np.frombuffer(table.value, np.uint8), set()
         for batch in batches:
             tokens, nodes, packed, repeats = [], [], [], []
             for shingles in shingle_sets(batch.column(0), hasher, n):
@@ -119,7 +119,7 @@ def _chains(docs: DataFrame, n: int, bits: int, table, num: int, den: int) -> Da
                     continue
                 seen.add(node)  # at most the documents of one task
                 keep = len(shingles) - -(-num * len(shingles) // den) + 1
-                ranked = (order[(shingles >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(48)) | (shingles >> np.uint64(16))
+                ranked = (order[(shingles >> np.uint64(64 - bits)).astype(np.int64)].astype(np.uint64) << np.uint64(56)) | (shingles >> np.uint64(8))
                 tokens.append(np.partition(ranked, keep - 1)[:keep] if keep < len(ranked) else ranked)
                 nodes.append(node)
                 # the size, and the set's first shingle: two sets with the same one are chained there, and need not be elsewhere
