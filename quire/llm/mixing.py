@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 BLOCK = 16
 OTHER = "(other)"
 #: Rows of a source that are ranked together, about.
-BIN_ROWS = 4096
+BIN_ROWS = 1024
 _DIGITS = 7
 
 
