@@ -81,10 +81,10 @@ class Benchmark:
         self.ids = items.to_pylist()
         self.words = [words[at[k] : at[k + 1]] for k in range(len(self.ids))]
         self.short = {len(x) for x in self.words if 0 < len(x) < seed}
-        pairs = [(x, k) for k, own in enumerate(self.words) if len(own) for x in set(grams(own, min(seed, len(own))).tolist())]
-        pairs.sort()
-        self.keys = np.array([x for x, _ in pairs], np.uint64)
-        self.owner = np.array([k for _, k in pairs], np.int64)
+        seeds = [np.unique(grams(own, min(seed, len(own)))) if len(own) else own for own in self.words]
+        keys, owner = np.concatenate([*seeds, np.zeros(0, np.uint64)]), np.repeat(np.arange(len(seeds)), [len(x) for x in seeds])
+        order = np.argsort(keys, kind="stable")
+        self.keys, self.owner = keys[order], owner[order]
         self.known = np.unique(self.keys)
         self.fine = np.zeros(1 << 20, bool)
         self.fine[(self.known >> np.uint64(44)).astype(np.int64)] = True

@@ -12,7 +12,7 @@ line stands at an earlier place that stays.
 
 Single lines below `words` words, however frequent, are never deleted unless they lie in such a run. Blank lines inside a deleted run go
 with it. Null and empty texts stay as they are. Rows with equal id and text are one document and get the same result. Rows without an
-id come first in order. Other columns pass through unchanged; helper columns can't clash, as the text is joined back on its own hash alone.
+id come first in order. Other columns, whatever their names, pass through unchanged, but for those of the result's names, which are replaced.
 Hashes have 64 bits; two windows must agree in both of theirs.
 """
 
@@ -82,18 +82,15 @@ def repeated_runs(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", t
 
 def dedup_lines(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated runs deleted from the text, and _n_lines, _n_deleted (long; 0 for null texts) and _runs besides."""
-    runs = repeated_runs(docs, words, id_col, text_col).select(F.col("k").alias("_k"), F.col("runs").alias("_runs"))
-    joined = docs.withColumn("_k", _key(id_col, text_col)).join(runs, "_k", "left").drop("_k")
-    lines = F.split(text_col, "\n")
-    kept = F.filter(lines, lambda _, i: ~F.exists("_runs", lambda r: (r["first"] <= i) & (i <= r["last"])))
-    deleted = F.aggregate("_runs", F.lit(0).cast("long"), lambda total, r: total + (r["last"] - r["first"] + 1).cast("long"))
-    return joined.withColumns(
-        {
-            "_n_lines": F.when(F.col(text_col).isNull(), 0).otherwise(F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1).cast("long"),
-            "_n_deleted": F.coalesce(deleted, F.lit(0).cast("long")),
-            text_col: F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n")),
-        }
-    )
+    docs = docs.drop("_n_lines", "_n_deleted", "_runs")
+    runs = repeated_runs(docs, words, id_col, text_col)
+    joined = docs.select(_key(id_col, text_col).alias("k"), F.struct("*").alias("doc")).join(runs, "k", "left")
+    text = F.col("doc").getField(text_col)
+    kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.exists("runs", lambda r: (r["first"] <= i) & (i <= r["last"])))
+    deleted = F.aggregate("runs", F.lit(0).cast("long"), lambda total, r: total + (r["last"] - r["first"] + 1).cast("long"))
+    n_lines = F.when(text.isNull(), 0).otherwise(F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit(""))) + 1).cast("long")
+    own = [F.when(F.col("runs").isNull(), text).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else F.col("doc").getField(c).alias(c) for c in docs.columns]
+    return joined.select(*own, n_lines.alias("_n_lines"), F.coalesce(deleted, F.lit(0).cast("long")).alias("_n_deleted"), F.col("runs").alias("_runs"))
 
 
 def without_emptied(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

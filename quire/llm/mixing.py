@@ -9,7 +9,7 @@ only one round of each kind is scheduled. No document is dropped or repeated.
 
 Sources not in the weights, null included, are pooled as one source with the weight `other`, so the schedule's size depends on the weights
 alone. Documents are ranked in bins of a source, by their md5's first digits, never a whole source in one task. Rows without an id come last
-in their bin; rows of one id stand side by side in any order. Columns named like the result's are replaced. An empty table gives an empty one.
+in their bin; rows of one id stand side by side in any order. Other columns, whatever their names, pass through unchanged, but for those of the result's names, which are replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -82,7 +82,7 @@ def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block: int = B
     bins = max(1, -(-sum(counts.values()) // BIN_ROWS))
     # ascending with the digest, so that bins follow one another in its order
     in_bin = F.coalesce(F.floor(F.conv(F.substring(digest, 1, _DIGITS), 16, 10).cast("long") * bins / 16**_DIGITS), F.lit(bins - 1).cast("long"))
-    rows = docs.withColumns({"mix_source": source, "_digest": digest, "_bin": in_bin})
+    rows = docs.select(source.alias("mix_source"), digest.alias("_digest"), in_bin.alias("_bin"), F.struct("*").alias("_doc"))
     sizes = docs.select(source.alias("mix_source"), in_bin.alias("_bin")).groupBy("mix_source", "_bin").agg(F.count("*").alias("n"))
     before = sizes.select("mix_source", "_bin", (F.sum("n").over(Window.partitionBy("mix_source").orderBy("_bin")) - F.col("n")).alias("_before"))
     ranked = rows.join(before, ["mix_source", "_bin"]).withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("mix_source", "_bin").orderBy(F.col("_digest").asc_nulls_last())) - 1)
@@ -96,7 +96,7 @@ def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block: int = B
     table = schedule(spark, kinds).select(F.col("kind").alias("_kind"), F.get(F.array(*(F.lit(x) for x in names)), F.col("source")).alias("mix_source"), F.col("nth").alias("_nth"), "at")
     joined = placed.join(F.broadcast(table), ["_kind", "mix_source", "_nth"])
     slot = F.get(slots, F.col("_kind")) + (F.col("_round") - F.get(firsts, F.col("_kind"))) * F.get(lengths, F.col("_kind")) + F.col("at")
-    return joined.select(*docs.columns, "mix_source", "mix_block", slot.cast("long").alias("mix_slot"), "mix_place")
+    return joined.select(*(F.col("_doc").getField(c).alias(c) for c in docs.columns), "mix_source", "mix_block", slot.cast("long").alias("mix_slot"), "mix_place")
 
 
 def oracle_sql(weights: dict[str, int], other: int = 1, block: int = BLOCK) -> str:
