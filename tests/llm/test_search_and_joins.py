@@ -232,6 +232,40 @@ def test_tiles_are_greedy_and_disjoint():
     assert decontaminate.tiles(code("a b"), code("c d"), 1) == []
 
 
+def brute_tiles(doc, item, least):
+    """Greedy string tiling by looking at every pair of places."""
+    free_doc, free_item, out = [True] * len(doc), [True] * len(item), []
+    while True:
+        best = (0, 0, 0)
+        for p in range(len(doc)):
+            for q in range(len(item)):
+                n = 0
+                while p + n < len(doc) and q + n < len(item) and free_doc[p + n] and free_item[q + n] and doc[p + n] == item[q + n]:
+                    n += 1
+                if n > best[2]:
+                    best = (p, q, n)
+        if best[2] < least:
+            return out
+        out.append(best)
+        for k in range(best[2]):
+            free_doc[best[0] + k] = free_item[best[1] + k] = False
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 4), max_size=25), st.lists(st.integers(0, 4), max_size=14), st.integers(1, 4))
+def test_tiles_equal_brute_force(doc, item, least):
+    code = lambda x: np.array([k * 7919 + 11 for k in x], np.uint64)
+    assert decontaminate.tiles(code(doc), code(item), least) == brute_tiles(doc, item, least)
+
+
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.integers(0, 6), max_size=30), st.lists(st.integers(0, 6), min_size=1, max_size=14), st.integers(1, 4))
+def test_words_that_no_tile_can_hold_are_left_out(doc, item, least):
+    code = lambda x: np.array([k * 7919 + 11 for k in x], np.uint64)
+    short = decontaminate._near(code(doc), code(item), least)
+    assert [x[1:] for x in decontaminate.tiles(short, code(item), least)] == [x[1:] for x in brute_tiles(doc, item, least)]
+
+
 def test_leaks(spark, documents):
     w = ITEM.split()
     moved = " ".join(w[12:] + ["interlude", "of", "words"] + w[:12])
