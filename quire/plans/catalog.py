@@ -314,7 +314,15 @@ def exact_duplicates(spark, sf):
     return docs.join(first, "key").where("doc_id > first").select("doc_id", "key")
 
 
-@query()
+def _crc_sql(data: str) -> str:
+    """CRC-32 of a list of bytes, by its bits: a byte is mixed in, then eight shifts."""
+    step = "CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, (c & 1) * 3988292384) END"
+    return f"lower(to_hex(xor(list_reduce([4294967295] || flatten([[b, -1, -1, -1, -1, -1, -1, -1, -1] for b in {data}]), lambda c, b: {step}), 4294967295)))"
+
+
+@query(f"""WITH h AS (SELECT doc_id, hex(encode(text)) AS h, octet_length(encode(text)) AS n FROM documents),
+b AS (SELECT doc_id, n, [('0x' || substr(h, 2 * i - 1, 2))::BIGINT for i in range(1, n + 1)] AS b FROM h)
+SELECT doc_id, n || ':' || {_crc_sql("b[1:65536]")} || ':' || {_crc_sql("b[greatest(65536, n - 65536) + 1 :]")} AS fingerprint FROM b""")
 def content_fingerprint(spark, sf):
     return table(spark, sf, "documents").select("doc_id", hashing.fingerprint(F.encode("text", "UTF-8")).alias("fingerprint"))
 
