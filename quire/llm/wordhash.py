@@ -13,8 +13,8 @@ from quire.shipping import ship
 
 BASE = 0x9E3779B97F4A7C15
 INVERSE = pow(BASE, -1, 1 << 64)
-#: Bytes that are hashed at once; a longer text is cut between two words.
-PIECE = 1 << 21
+#: Bytes that are hashed at once, so that the arrays stay in a core's cache; a longer text is cut between two words.
+PIECE = 1 << 17
 
 _ALL = np.arange(256)
 #: Lower case for A-Z only.
