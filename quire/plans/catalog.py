@@ -292,6 +292,12 @@ def header_normalise(spark, sf):
     return table(spark, sf, "benchmark").where(plain).select("item_id", text.norm_header(F.substring("text", 1, 80)).alias("norm"))
 
 
+@query()
+def header_normalise_whole(spark, sf):
+    """header_normalise of every row and its whole text; its SQL leaves rows beyond ASCII and all after 80 characters out."""
+    return table(spark, sf, "benchmark").select("item_id", text.norm_header(F.col("text")).alias("norm"))
+
+
 @query("SELECT conv_id, turn, CASE WHEN length(t) > 120 THEN left(t, 117) || '…' ELSE t END AS label FROM (SELECT conv_id, turn, regexp_replace(trim(text), '\\s+', ' ', 'g') AS t FROM conversations)")
 def toc_labels(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", text.toc_label(F.col("text")).alias("label"))
