@@ -97,6 +97,14 @@ def dice_similarity(spark, sf):
     return items.join(last, "item_id").select("item_id", text.dice(F.col("a"), F.col("b")).cast("double").alias("similarity"))
 
 
+@query()
+def dice_similarity_whole(spark, sf):
+    """dice_similarity of whole texts, which its SQL cuts to 40 characters."""
+    items = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("a"))
+    last = items.select((F.col("item_id") + 1).alias("item_id"), F.col("a").alias("b"))
+    return items.join(last, "item_id").select("item_id", text.dice(F.col("a"), F.col("b")).cast("double").alias("similarity"))
+
+
 @query(f"""WITH {LINES_SQL}, told AS (SELECT doc_id, size, least(80, ceil(n / 10.0))::INT AS w FROM lines), every AS (SELECT doc_id, size, unnest(range(w)) FROM told)
 SELECT d.doc_id, coalesce(median(size), 0.0)::DOUBLE AS body FROM (SELECT DISTINCT doc_id FROM lines) d LEFT JOIN every USING (doc_id) GROUP BY d.doc_id""")
 def body_size(spark, sf):
@@ -274,6 +282,12 @@ def safe_file_base(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", text.safe_file_base(F.concat(F.substring("text", 1, 90), F.lit(" : *x?"))).alias("base"))
 
 
+@query()
+def safe_file_base_whole(spark, sf):
+    """safe_file_base of whole texts, which its SQL cuts to 90 characters."""
+    return table(spark, sf, "benchmark").select("item_id", text.safe_file_base(F.concat("text", F.lit(" : *x?"))).alias("base"))
+
+
 @query(r"""SELECT page_id, array_to_string([CASE WHEN regexp_matches(p, '^[0-9]') THEN lpad(length(regexp_replace(p, '^0+([0-9])', '\1'))::VARCHAR, 4, '0') || regexp_replace(p, '^0+([0-9])', '\1') ELSE p END for p in regexp_extract_all(lower(url), '[0-9]+|[^0-9]+')], '') AS sort_key FROM pages""")
 def natural_sort(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.natural_key(F.col("url")).alias("sort_key"))

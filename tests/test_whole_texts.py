@@ -1,5 +1,6 @@
 import re
 import unicodedata
+from collections import Counter
 from pathlib import Path
 
 import pytest
@@ -33,9 +34,27 @@ def norm(text):
     return " ".join("".join(c if unicodedata.category(c).startswith("L") else " " for c in bare).split())
 
 
+def similarity(a, b):
+    x, y = (Counter(t[i : i + 2] for i in range(len(t) - 1)) for t in (a.lower(), b.lower()))
+    return 1.0 if a.lower() == b.lower() else 2 * (x & y).total() / (x.total() + y.total())
+
+
 def test_headers_are_normalised_whole(spark, run, items):
     long = "word " * 30
     got = run("header_normalise_whole", "ÉTUDES XII Größe 47", long + "Ende iv 9", "Überblick über Ökonomie", None)
     assert got == {0: "études größe", 1: long + "ende", 2: "überblick über ökonomie", 3: None}
     whole = catalog.queries()["header_normalise_whole"](spark, SF).collect()
     assert {r["item_id"]: r["norm"] for r in whole} == {k: norm(t) for k, t in items.items()} and len(whole) == len(items)
+
+
+def test_similarity_of_whole_texts(spark, run, items):
+    head = "a long beginning that both of the texts have in common, "
+    got = run("dice_similarity_whole", head + "and then the first", head + "but not this other ending", head + "BUT not this other ending")
+    assert got[1] == pytest.approx(similarity(head + "and then the first", head + "but not this other ending")) and got[1] < 1 == got[2]
+    whole = {r["item_id"]: r["similarity"] for r in catalog.queries()["dice_similarity_whole"](spark, SF).collect()}
+    assert whole == pytest.approx({k: similarity(items[k], items[k - 1]) for k in items if k - 1 in items})
+
+
+def test_file_names_of_whole_texts(run):
+    got = run("safe_file_base_whole", "n" * 200, "ab " * 60, "x" * 100 + " é: end")
+    assert got == {0: "n" * 120, 1: ("ab " * 40).strip(), 2: "x" * 100 + " e end x"}
