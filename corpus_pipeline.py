@@ -18,7 +18,7 @@ def good_ones(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Runs of lines of 50 words or more that stand earlier in the corpus are cut out; documents of nothing else go."""
-    left = line_dedup.without_emptied(docs, words=50)
+    left = line_dedup.without_emptied(docs, words=50, every_place=True)
     return left.withColumn("n_chars", F.length("text").cast("long"))
 
 

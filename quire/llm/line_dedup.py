@@ -7,6 +7,9 @@ with their first place in the corpus, in order of id, text hash and line. That g
 distance to the earlier one. Windows start at every line, so a matched run of windows already reaches as far to the left as lines agree;
 to the right it is extended line by line beyond its last window. Each run so matched is deleted; its first place stays.
 
+A window's first place need not be where the run goes on alike. With every_place, windows that end at each line (the shortest run backwards with
+`words` words) are matched as well, so every line of a run that stands at any earlier place lies in a matched window.
+
 A window that overlaps its own first place in the same text isn't matched: of one line over and over, a window's worth stays. Every deleted
 line stands at an earlier place that stays.
 
@@ -18,7 +21,7 @@ Hashes have 64 bits; two windows must agree in both of theirs.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from quire.llm.common import saved
@@ -40,28 +43,37 @@ def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return once.withColumns({"idx": F.row_number().over(order).cast("long"), "n": F.count("*").over(Window.partitionBy("k")), "s": F.sum("words").over(order) - F.col("words")})
 
 
-def _windows(lines: DataFrame, words: int) -> DataFrame:
-    """Each whole window: first and last line, its fingerprint's hash and place, and its own hash."""
-    run = Window.partitionBy("k").orderBy("s").rangeBetween(0, words - 1)
+def _windows(lines: DataFrame, words: int, closing: bool) -> DataFrame:
+    """Each whole window: first and last line, its fingerprint's hash and place, and its own hash. With closing, also those that end at each line
+    (closes), but for those that are their first line's window: the same lines are never both."""
+    lines = lines.withColumn("e", F.col("s") + F.col("words"))
+    opens = _window(Window.partitionBy("k").orderBy("s").rangeBetween(0, words - 1), F.lit(0), F.lit(False))
+    closes = _window(Window.partitionBy("k").orderBy("e").rangeBetween(1 - words, 0), F.col("words"), F.lit(True))
+    kinds = [opens, closes] if closing else [opens]
+    found = lines.select("k", "id", "n", *(w.alias(f"w{i}") for i, w in enumerate(kinds))).select("k", "id", "n", F.explode(F.array(*(f"w{i}" for i in range(len(kinds))))).alias("w"))
+    whole = found.where(F.col("w.held") >= words)
+    return whole.select("k", "id", "w.pos", "w.idx", "n", "w.end_pos", "w.end_idx", F.col("w.least.h").alias("mark"), (-F.col("w.least.back")).alias("at"), "w.whole", "w.closes")
+
+
+def _window(run: WindowSpec, less: Column, closes: Column) -> Column:
+    """A struct of the run of lines; its words are counted without so many."""
     least = F.min(F.struct("h", (-F.col("idx")).alias("back"))).over(run)
-    found = lines.select(
-        "k", "id", "pos", "idx", "n", least.alias("least"), F.xxhash64(F.collect_list("h").over(run)).alias("whole"), F.sum("words").over(run).alias("held"), F.max("pos").over(run).alias("end_pos"), F.max("idx").over(run).alias("end_idx")
-    )
-    return found.where(F.col("held") >= words).select("k", "id", "pos", "idx", "n", "end_pos", "end_idx", F.col("least.h").alias("mark"), (-F.col("least.back")).alias("at"), "whole")
+    ends = [f("pos").over(run).alias(p + "pos") for f, p in ((F.min, ""), (F.max, "end_"))] + [f("idx").over(run).alias(p + "idx") for f, p in ((F.min, ""), (F.max, "end_"))]
+    return F.struct(*ends, least.alias("least"), F.xxhash64(F.collect_list("h").over(run)).alias("whole"), (F.sum("words").over(run) - less).alias("held"), closes.alias("closes"))
 
 
-def repeated_runs(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_runs(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", every_place: bool = False) -> DataFrame:
     """k (hash of id and text) and runs, an ascending array of disjoint structs (first, last) of line numbers to delete."""
     lines = saved(_lines(docs, id_col, text_col))
-    windows = _windows(lines, words)
+    windows = _windows(lines, words, every_place)
     firsts = windows.groupBy("mark", "whole").agg(F.min(F.struct("id", "k", "at")).alias("first"), F.count("*").alias("times")).where("times > 1")
     matched = (
         windows.join(firsts, ["mark", "whole"])
         .where(~((F.col("k") == F.col("first.k")) & (F.col("at") - F.col("first.at") <= F.col("end_idx") - F.col("idx"))))
-        .select("k", "pos", "idx", "n", "end_pos", "end_idx", F.col("first.k").alias("k0"), (F.col("at") - F.col("first.at")).alias("shift"))
+        .select("k", "pos", "idx", "n", "end_pos", "end_idx", "closes", F.col("first.k").alias("k0"), (F.col("at") - F.col("first.at")).alias("shift"))
     )
-    diagonal = Window.partitionBy("k", "k0", "shift").orderBy("idx")
-    matched = saved(matched.withColumn("last", ~(F.lead("idx").over(diagonal).eqNullSafe(F.col("idx") + 1))))
+    diagonal = Window.partitionBy("k", "k0", "shift", "closes").orderBy("idx")
+    matched = saved(matched.withColumn("last", ~F.col("closes") & ~(F.lead("idx").over(diagonal).eqNullSafe(F.col("idx") + 1))))
     until = F.least(F.col("end_idx") + words, "n")
     tails = matched.where(F.col("last") & (F.col("end_idx") < F.col("n"))).select("k", "k0", "shift", "end_idx", "end_pos", until.alias("until"), F.explode(F.sequence(F.col("end_idx") + 1, until)).alias("j"))
     own = lines.select("k", F.col("idx").alias("j"), "h", "pos")
@@ -80,10 +92,10 @@ def repeated_runs(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", t
     return merged.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", every_place: bool = False) -> DataFrame:
     """docs with the repeated runs deleted from the text, and _n_lines, _n_deleted (long; 0 for null texts) and _runs besides."""
     docs = docs.drop("_n_lines", "_n_deleted", "_runs")
-    runs = repeated_runs(docs, words, id_col, text_col)
+    runs = repeated_runs(docs, words, id_col, text_col, every_place)
     joined = docs.select(_key(id_col, text_col).alias("k"), F.struct("*").alias("doc")).join(runs, "k", "left")
     text = F.col("doc").getField(text_col)
     kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.exists("runs", lambda r: (r["first"] <= i) & (i <= r["last"])))
@@ -93,9 +105,9 @@ def dedup_lines(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", tex
     return joined.select(*own, n_lines.alias("_n_lines"), F.coalesce(deleted, F.lit(0).cast("long")).alias("_n_deleted"), F.col("runs").alias("_runs"))
 
 
-def without_emptied(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def without_emptied(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", every_place: bool = False) -> DataFrame:
     """docs after the deletion, in their own columns; those of which nothing but blank lines is left go, as their text stands elsewhere."""
-    out = dedup_lines(docs, words, id_col, text_col)
+    out = dedup_lines(docs, words, id_col, text_col, every_place)
     return out.where((F.col("_n_deleted") == 0) | F.col(text_col).rlike(WORD)).select(*docs.columns)
 
 

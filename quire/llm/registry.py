@@ -59,7 +59,7 @@ def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), words=50)
+    done = line_dedup.dedup_lines(table(spark, sf_dir, "documents"), words=50, every_place=True)
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_deleted").alias("n_deleted"), F.md5("text").alias("text_md5"))
 
 
