@@ -1,6 +1,6 @@
 """License scans: exact containment join of text blocks with license templates, in DataFrame operations only.
 
-A block is a line of a text. Template and block are sets of words (runs of letters and digits after lower-casing A-Z). A block
+A block is a line of a text, or, for notices that wrap over lines, any run of words as long as the template. Template and block are sets of words (runs of letters and digits after lower-casing A-Z). A block
 meets a template if it holds at least `containment` of the template's words. The templates' words are ordered by the number of
 documents that hold them, counted over the whole corpus. A block can only meet a template of n words, o of which are needed,
 if it holds one of the template's n - o + 1 rarest words (prefix filter), has at least o words (length filter),
@@ -58,14 +58,18 @@ def document_counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_words, places (array of word places of phrases), phrase_labels, blocks (array<struct<block, label, share>>)."""
+    """Per row: id, n_words, places (array of word places of phrases), blocks (lines: array<struct<block, label, share>>), runs (array<struct<label, share>>:
+    of the templates that some run of as many words meets, wherever lines end, the best run)."""
     rows = docs.select(F.col(id_col).alias("id"), F.translate(F.coalesce(text_col, F.lit("")), *_LOWER).alias("text"))
     sets = [(label, sorted(set(text.split()))) for label, texts in templates.items() for text in texts]
+    lengths = [len(text.split()) for texts in templates.values() for text in texts]
     counts = document_counts(rows, sorted({w for _, words in sets for w in words}))
     ordered = [(label, sorted(words, key=lambda w: (counts.get(w, 0), w)), _needed(len(words), containment)) for label, words in sets]
     prefix = sorted({w for _, words, needed in ordered for w in words[: len(words) - needed + 1]})
-    counted = rows.withColumn("words", _words("text")).select(
-        "id", "text", F.size("words").cast("long").alias("n_words"), F.arrays_overlap("words", _array(prefix)).alias("candidate"), F.when(F.col("text").rlike(_any_phrase()), F.col("words")).alias("words")
+    worded = rows.withColumn("words", _words("text"))
+    worded = worded.withColumn("runs", F.when(F.arrays_overlap("words", _array(prefix)), _runs(F.col("words"), ordered, lengths)))
+    counted = worded.select(
+        "id", "text", F.size("words").cast("long").alias("n_words"), F.arrays_overlap("words", _array(prefix)).alias("candidate"), F.when(F.col("text").rlike(_any_phrase()), F.col("words")).alias("words"), "runs"
     )
     lines = F.when(F.col("candidate"), F.filter(F.split("text", "\n"), lambda line: F.arrays_overlap(_words(line), _array(prefix))))
     blocks = F.flatten(F.transform(lines, lambda line: _met(line, ordered)))
@@ -74,7 +78,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES,
     found = F.when(F.col("words").isNull(), F.array().cast("array<struct<place:long,label:string>>")).otherwise(
         F.concat(*(F.transform(p, _labelled(label)) for label, p in places))
     )
-    return counted.select(F.col("id").alias(id_col), "n_words", found.alias("places"), F.coalesce(blocks, empty).alias("blocks"))
+    no_runs = F.array().cast("array<struct<label:string,share:double>>")
+    return counted.select(F.col("id").alias(id_col), "n_words", found.alias("places"), F.coalesce(blocks, empty).alias("blocks"), F.coalesce("runs", no_runs).alias("runs"))
 
 
 def _any_phrase() -> str:
@@ -111,10 +116,26 @@ def _met(line: Column, ordered: list[tuple[str, list[str], int]]) -> Column:
     return F.filter(F.array(*(one(*x) for x in ordered)), lambda x: x.isNotNull())
 
 
+def _runs(words: Column, ordered: list[tuple[str, list[str], int]], lengths: list[int]) -> Column:
+    """The templates that a run of as many words as the template has meets, with the greatest share. Such a run may begin with a template's word."""
+
+    def one(label: str, own: list[str], needed: int, length: int) -> Column:
+        template = _array(own)
+        starts = F.filter(F.transform(words, lambda w, i: F.when(w.isin(own), i + 1)), lambda i: i.isNotNull())
+        most = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(template, F.slice(words, i, F.lit(length))))))
+        # only where the whole text holds enough of the template's words
+        best = F.when(F.size(F.array_intersect(template, words)) >= needed, most)
+        share = best / F.lit(float(len(own)))
+        return F.when(best >= needed, F.struct(F.lit(label).alias("label"), share.alias("share")))
+
+    return F.filter(F.array(*(one(*x, length) for x, length in zip(ordered, lengths, strict=True))), lambda x: x.isNotNull())
+
+
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts, places and labels from scan_licenses()."""
     labels = F.transform("places", lambda x: x["label"])
-    more = F.transform("blocks", lambda x: x["label"])
+    more = F.concat(F.transform("blocks", lambda x: x["label"]), F.transform("runs", lambda x: x["label"]))
+    shares = F.concat(F.transform("blocks", lambda x: x["share"]), F.transform("runs", lambda x: x["share"]))
     place = F.transform("places", lambda x: x["place"])
     return found.select(
         id_col,
@@ -124,7 +145,7 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
         F.array_max(place).alias("last_word"),
         F.array_join(F.array_sort(F.array_distinct(labels)), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_distinct(F.concat(labels, more))), ",").alias("labels"),
-        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max(F.transform("blocks", lambda x: x["share"])), F.lit(0.0))).alias("score"),
+        F.when(F.size("places") > 0, 1.0).otherwise(F.coalesce(F.array_max(shares), F.lit(0.0))).alias("score"),
     )
 
 
