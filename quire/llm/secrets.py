@@ -28,8 +28,9 @@ HEX = r"[0-9a-f]{16,}"
 ASSIGN_LEAST, ACCESS_LEAST = 12, 18
 KINDS = ("assign", "access", "hex", "cred")
 
-#: Credential contexts beyond the assign pattern's own; the value is any run without space or quote.
-CONTEXT = r"""(?:pass(?:word|wd|phrase)|pwd|secret|token|api_?key|credentials?|auth_?key|private_?key)["']?\x20*[:=]\x20*["']?([^\s"'<>,;]+)"""
+#: Credential contexts beyond the assign pattern's own. The value goes up to the matching quote in its line; else it is any run without space or quote.
+KEY = r"(?:pass(?:word|wd|phrase)|pwd|secret|token|credentials?|(?:api|auth|private|access|secret|encryption|master|signing)[_-]?key)(?:[_-]?(?:access|secret|key|token|value)){0,3}"
+CONTEXT = KEY + r"""["']?\x20*[:=]\x20*(?:"((?:[^"\\\r\n]|\\.)+)"|'((?:[^'\\\r\n]|\\.)+)'|["']?([^\s"'<>,;]+))"""
 #: log10 of the guesses from which a value is taken for a real secret.
 STRONG = 8.0
 #: Shorter values are no secrets.
@@ -111,13 +112,16 @@ def cred_spans(text: str, strong: float) -> tuple[list[tuple[int, int, int]], fl
     """Spans of values whose guess cost is at least strong; the highest cost of any value."""
     if "=" not in text and ":" not in text:
         return [], None
-    out, most = [], None
-    for m in _CONTEXT.finditer(text):
-        if m.end(1) - m.start(1) >= CRED_LEAST:
-            cost = guess_cost(m[1])
+    out, most, at = [], None, 0
+    while m := _CONTEXT.search(text, at):
+        start, end = m.span(m.lastindex)
+        # what stands in quotes may itself hold keys, if a quote was left open
+        at = end if m.lastindex == 3 else start
+        if end - start >= CRED_LEAST:
+            cost = guess_cost(text[start:end])
             most = cost if most is None else max(most, cost)
             if cost >= strong:
-                out.append((m.start(1), 3, m.end(1)))
+                out.append((start, 3, end))
     return out, most
 
 
