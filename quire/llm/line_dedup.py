@@ -1,22 +1,26 @@
 """Line dedup by winnowing, in DataFrame operations only.
 
-A window is the shortest run of lines from some line on that holds `words` words; blank lines don't count. In each window the
-line with the smallest hash (the last of equal ones) is its fingerprint. Every run of at least `words` words that
-stands elsewhere too has a window, so it has a fingerprint there as well. Fingerprints are joined on the line's hash and the window's own hash
-with their first place in the corpus, in order of id, text hash and line. That gives matched windows, each with the
-distance to the earlier one. Windows start at every line, so a matched run of windows already reaches as far to the left as lines agree;
-to the right it is extended line by line beyond its last window. Each run so matched is deleted; its first place stays.
-
-A window's first place need not be where the run goes on alike. With every_place, windows that end at each line (the shortest run backwards with
-`words` words) are matched as well, so every line of a run that stands at any earlier place lies in a matched window.
-
-A window that overlaps its own first place in the same text isn't matched: of one line over and over, a window's worth stays. Every deleted
+1. A window is a run of lines that holds `words` words and would not without its first or without its last line; blank lines don't count.
+   In each window the line with the smallest hash (the last of equal ones) is selected; it is a fingerprint once, however many windows select it.
+   No other line goes further. Every run of at least `words` words is a union of windows, so wherever it stands again the same lines are selected.
+2. Fingerprints are counted by their line's hash. Those whose line is selected nowhere else are done with.
+3. The others are joined with the first place of their line (in order of id, text hash and line) and extended both ways by comparing
+   line hashes, as far as the fingerprint's windows go. What lies in a window that the extension covers is repeated.
+4. A window that goes on differently at the line's first place may stand at another earlier one: such windows, and they alone, are joined
+   with the first place of their line's hash and their own hash, so no earlier place is left out, and none is met twice.
+5. Each document's repeated windows are merged into runs, which are deleted; the first place stays.
+
+A window that overlaps its own first place in the same text isn't repeated: of one line over and over, a window's worth stays. Every deleted
 line stands at an earlier place that stays.
 
+A line that a third of all documents hold is one hash: its counts are summed before they are shuffled, and joins meet one first place a key, so
+they can be split. No two of its places are paired.
+
 Single lines below `words` words, however frequent, are never deleted unless they lie in such a run. Blank lines inside a deleted run go
-with it. Null and empty texts stay as they are. Rows with equal id and text are one document and get the same result. Rows without an
-id come first in order. Other columns, whatever their names, pass through unchanged, but for those of the result's names, which are replaced.
-Hashes have 64 bits; two windows must agree in both of theirs.
+with it. Null and empty texts stay as they are, and an empty table gives an empty one. Rows with equal id and text are one document and get the same
+result. Of places of equal id the smaller text hash comes first; rows without an id come first of all. A very long text is one row, whose lines are sorted and
+may spill. Other columns, whatever their names, pass through unchanged, but for those of the result's names, which are replaced.
+Hashes have 64 bits; two windows that meet in step 4 agree in both of theirs.
 """
 
 from __future__ import annotations
@@ -35,56 +39,80 @@ def _key(id_col: str, text_col: str) -> Column:
 
 
 def _lines(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """k, id, pos (from 0), h, words, idx (from 1, among lines with words), n (how many there are) and s (words before it) of each line with words."""
+    """k, id, pos (from 0), h, words, idx (from 1, among lines with words), s and e (words before and after it) of each line with words."""
     parts = docs.where(F.col(text_col).isNotNull()).select(_key(id_col, text_col).alias("k"), F.col(id_col).alias("id"), F.posexplode(F.split(text_col, "\n")).alias("pos", "line"))
     rows = parts.select("k", "id", "pos", F.xxhash64("line").alias("h"), F.regexp_count("line", F.lit(WORD)).cast("long").alias("words")).where("words > 0")
     order = Window.partitionBy("k").orderBy("pos")
     once = rows.withColumn("again", F.lag("pos").over(order).eqNullSafe(F.col("pos"))).where("not again").drop("again")
-    return once.withColumns({"idx": F.row_number().over(order).cast("long"), "n": F.count("*").over(Window.partitionBy("k")), "s": F.sum("words").over(order) - F.col("words")})
+    return once.withColumns({"idx": F.row_number().over(order).cast("long"), "e": F.sum("words").over(order)}).withColumn("s", F.col("e") - F.col("words"))
 
 
-def _windows(lines: DataFrame, words: int, closing: bool) -> DataFrame:
-    """Each whole window: first and last line, its fingerprint's hash and place, and its own hash. With closing, also those that end at each line
-    (closes), but for those that are their first line's window: the same lines are never both."""
-    lines = lines.withColumn("e", F.col("s") + F.col("words"))
-    opens = _window(Window.partitionBy("k").orderBy("s").rangeBetween(0, words - 1), F.lit(0), F.lit(False))
-    closes = _window(Window.partitionBy("k").orderBy("e").rangeBetween(1 - words, 0), F.col("words"), F.lit(True))
-    kinds = [opens, closes] if closing else [opens]
-    found = lines.select("k", "id", "n", *(w.alias(f"w{i}") for i, w in enumerate(kinds))).select("k", "id", "n", F.explode(F.array(*(f"w{i}" for i in range(len(kinds))))).alias("w"))
-    whole = found.where(F.col("w.held") >= words)
-    return whole.select("k", "id", "w.pos", "w.idx", "n", "w.end_pos", "w.end_idx", F.col("w.least.h").alias("mark"), (-F.col("w.least.back")).alias("at"), "w.whole", "w.closes")
+def _windows(lines: DataFrame, words: int) -> DataFrame:
+    """k, id, first and last line (pos, end_pos, idx, end_idx), selected line (at, h) and all line hashes (lines) of each window."""
+    opens = _window(Window.partitionBy("k").orderBy("s").rangeBetween(0, words - 1), F.lit(0))
+    # a run that its first line opens is no window of its last line's once more
+    closes = _window(Window.partitionBy("k").orderBy("e").rangeBetween(1 - words, 0), F.col("words"))
+    found = lines.select("k", "id", opens.alias("opens"), closes.alias("closes")).select("k", "id", F.explode(F.array("opens", "closes")).alias("w"))
+    return found.where(F.col("w.held") >= words).select("k", "id", "w.pos", "w.end_pos", "w.idx", "w.end_idx", F.col("w.least.h").alias("h"), (-F.col("w.least.back")).alias("at"), "w.lines")
 
 
-def _window(run: WindowSpec, less: Column, closes: Column) -> Column:
+def _window(run: WindowSpec, less: Column) -> Column:
     """A struct of the run of lines; its words are counted without so many."""
     least = F.min(F.struct("h", (-F.col("idx")).alias("back"))).over(run)
-    ends = [f("pos").over(run).alias(p + "pos") for f, p in ((F.min, ""), (F.max, "end_"))] + [f("idx").over(run).alias(p + "idx") for f, p in ((F.min, ""), (F.max, "end_"))]
-    return F.struct(*ends, least.alias("least"), F.xxhash64(F.collect_list("h").over(run)).alias("whole"), (F.sum("words").over(run) - less).alias("held"), closes.alias("closes"))
+    ends = [f(c).over(run).alias(p + c) for c in ("pos", "idx") for f, p in ((F.min, ""), (F.max, "end_"))]
+    return F.struct(*ends, least.alias("least"), F.collect_list("h").over(run).alias("lines"), (F.sum("words").over(run) - less).alias("held"))
 
 
-def repeated_runs(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", every_place: bool = False) -> DataFrame:
-    """k (hash of id and text) and runs, an ascending array of disjoint structs (first, last) of line numbers to delete."""
-    lines = saved(_lines(docs, id_col, text_col))
-    windows = _windows(lines, words, every_place)
-    firsts = windows.groupBy("mark", "whole").agg(F.min(F.struct("id", "k", "at")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    matched = (
-        windows.join(firsts, ["mark", "whole"])
-        .where(~((F.col("k") == F.col("first.k")) & (F.col("at") - F.col("first.at") <= F.col("end_idx") - F.col("idx"))))
-        .select("k", "pos", "idx", "n", "end_pos", "end_idx", "closes", F.col("first.k").alias("k0"), (F.col("at") - F.col("first.at")).alias("shift"))
+def fingerprints(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """k, id, at (line, from 1 among lines with words), h (its hash), before and after (hashes of the lines around it, as far as its
+    windows reach) and windows of every selected line."""
+    before = F.col("at") - F.col("idx")
+    found = _windows(_lines(docs, id_col, text_col), words).select(
+        "k", "id", "at", "h", "idx", "end_idx", F.slice("lines", F.lit(1), before).alias("before"), F.slice("lines", before + 2, F.size("lines")).alias("after"), F.struct("idx", "end_idx", "pos", "end_pos").alias("window")
     )
-    diagonal = Window.partitionBy("k", "k0", "shift", "closes").orderBy("idx")
-    matched = saved(matched.withColumn("last", ~F.col("closes") & ~(F.lead("idx").over(diagonal).eqNullSafe(F.col("idx") + 1))))
-    until = F.least(F.col("end_idx") + words, "n")
-    tails = matched.where(F.col("last") & (F.col("end_idx") < F.col("n"))).select("k", "k0", "shift", "end_idx", "end_pos", until.alias("until"), F.explode(F.sequence(F.col("end_idx") + 1, until)).alias("j"))
-    own = lines.select("k", F.col("idx").alias("j"), "h", "pos")
-    theirs = lines.select(F.col("k").alias("k0"), F.col("idx").alias("j0"), F.col("h").alias("h0"))
-    compared = tails.join(own, ["k", "j"]).withColumn("j0", F.col("j") - F.col("shift")).join(theirs, ["k0", "j0"], "left")
-    stops = compared.groupBy("k", "k0", "shift", "end_idx", "end_pos", "until").agg(
-        F.min(F.when(~F.coalesce(F.col("h") == F.col("h0"), F.lit(False)), F.col("j"))).alias("stop"), F.map_from_entries(F.collect_list(F.struct("j", "pos"))).alias("places")
+    return found.groupBy("k", "id", "at").agg(F.min("h").alias("h"), F.min_by("before", "idx").alias("before"), F.max_by("after", "end_idx").alias("after"), F.collect_list("window").alias("windows"))
+
+
+def _agree(a: Column, b: Column) -> Column:
+    """How many leading values of two arrays are equal."""
+    same = F.zip_with(a, b, lambda x, y: x.eqNullSafe(y))
+    stop = F.array_position(same, False)
+    return F.when(stop == 0, F.size(same)).otherwise(stop - 1)
+
+
+def _overlaps(window: Column | None = None) -> Column:
+    """Whether a window overlaps its first place."""
+    end, start = (F.col("end_idx"), F.col("idx")) if window is None else (window["end_idx"], window["idx"])
+    return (F.col("k") == F.col("first.k")) & (F.col("at") - F.col("first.at") <= end - start)
+
+
+def repeated_windows(marks: DataFrame) -> DataFrame:
+    """k, first and last (line numbers from 0) of what stands at an earlier place too, from fingerprints()."""
+    place = F.struct("id", "k", "at")
+    shared = marks.groupBy("h").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").select("h", "first")
+    met = saved(marks.join(shared, "h"))
+    is_first = (F.col("k") == F.col("first.k")) & (F.col("at") == F.col("first.at"))
+    firsts = met.where(is_first).select("h", F.col("before").alias("before0"), F.col("after").alias("after0"))
+    low = F.col("at") - _agree(F.reverse("before"), F.reverse("before0"))
+    high = F.col("at") + _agree(F.col("after"), F.col("after0"))
+    extended = met.where(~is_first).join(firsts, "h").withColumns({"low": low, "high": high})
+    inside = lambda w: (w["idx"] >= F.col("low")) & (w["end_idx"] <= F.col("high"))
+    parted = extended.select(
+        "h", "k", "id", "at", "before", "after", F.filter("windows", lambda w: inside(w) & ~_overlaps(w)).alias("along"), F.filter("windows", lambda w: ~inside(w)).alias("other")
     )
-    end = F.coalesce(F.col("stop") - 1, "until")
-    more = stops.where(end > F.col("end_idx")).select("k", (F.col("end_pos") + 1).alias("first"), F.col("places")[end].alias("last"))
-    ranges = matched.select("k", F.col("pos").alias("first"), F.col("end_pos").alias("last")).union(more)
+    parted = saved(parted.where((F.size("along") > 0) | (F.size("other") > 0)))
+    along = parted.where(F.size("along") > 0).select("k", F.array_min("along.pos").alias("first"), F.array_max("along.end_pos").alias("last"))
+    around = F.concat("before", F.array("h"), "after")
+    others = parted.select("h", "k", "id", "at", around.alias("around"), (F.col("at") - F.size("before")).alias("from"), F.inline("other"))
+    others = others.select("h", "k", "id", "at", "idx", "end_idx", "pos", "end_pos", F.xxhash64(F.slice("around", F.col("idx") - F.col("from") + 1, F.col("end_idx") - F.col("idx") + 1)).alias("whole"))
+    again = others.groupBy("h", "whole").agg(F.count("*").alias("times"), F.min(place).alias("first")).where("times > 1").select("h", "whole", "first")
+    elsewhere = others.join(again, ["h", "whole"]).where(~_overlaps()).select("k", F.col("pos").alias("first"), F.col("end_pos").alias("last"))
+    return along.union(elsewhere)
+
+
+def repeated_runs(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """k (hash of id and text) and runs, an ascending array of disjoint structs (first, last) of line numbers to delete."""
+    ranges = repeated_windows(saved(fingerprints(docs, words, id_col, text_col)))
     order = Window.partitionBy("k").orderBy("first", "last")
     reach = F.max("last").over(order.rowsBetween(Window.unboundedPreceding, -1))
     islands = ranges.withColumn("opens", F.when(F.coalesce(F.col("first") > reach + 1, F.lit(True)), 1).otherwise(0)).withColumn("island", F.sum("opens").over(order))
@@ -92,10 +120,10 @@ def repeated_runs(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", t
     return merged.groupBy("k").agg(F.sort_array(F.collect_list(F.struct("first", "last"))).alias("runs"))
 
 
-def dedup_lines(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", every_place: bool = False) -> DataFrame:
+def dedup_lines(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs with the repeated runs deleted from the text, and _n_lines, _n_deleted (long; 0 for null texts) and _runs besides."""
     docs = docs.drop("_n_lines", "_n_deleted", "_runs")
-    runs = repeated_runs(docs, words, id_col, text_col, every_place)
+    runs = repeated_runs(docs, words, id_col, text_col)
     joined = docs.select(_key(id_col, text_col).alias("k"), F.struct("*").alias("doc")).join(runs, "k", "left")
     text = F.col("doc").getField(text_col)
     kept = F.filter(F.split(text, "\n"), lambda _, i: ~F.exists("runs", lambda r: (r["first"] <= i) & (i <= r["last"])))
@@ -105,9 +133,9 @@ def dedup_lines(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", tex
     return joined.select(*own, n_lines.alias("_n_lines"), F.coalesce(deleted, F.lit(0).cast("long")).alias("_n_deleted"), F.col("runs").alias("_runs"))
 
 
-def without_emptied(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text", every_place: bool = False) -> DataFrame:
+def without_emptied(docs: DataFrame, words: int = WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs after the deletion, in their own columns; those of which nothing but blank lines is left go, as their text stands elsewhere."""
-    out = dedup_lines(docs, words, id_col, text_col, every_place)
+    out = dedup_lines(docs, words, id_col, text_col)
     return out.where((F.col("_n_deleted") == 0) | F.col(text_col).rlike(WORD)).select(*docs.columns)
 
 

@@ -211,52 +211,6 @@ def test_filters_lose_no_block(documents):
 # lines
 
 
-def brute_deleted(rows, words=50):
-    """Lines of each document that lie in a run, of at least so many words, that begins an earlier equal one's maximal run."""
-    docs = [(k, [(p, line, len(line.split())) for p, line in enumerate((t or "").split("\n")) if line.split()]) for k, t in sorted(rows)]
-    seen, out = {}, {}
-    for k, lines in docs:
-        for i in range(len(lines)):
-            held, j = 0, i
-            while j < len(lines) and held < words:
-                held += lines[j][2]
-                j += 1
-            if held < words:
-                continue
-            key = tuple(x[1] for x in lines[i:j])
-            if key not in seen:
-                seen[key] = (k, i)
-                continue
-            k0, i0 = seen[key]
-            if k == k0 and i - i0 < j - i:
-                continue
-            first = dict(docs)[k0]
-            while j < len(lines) and i0 + j - i < len(first) and lines[j][1] == first[i0 + j - i][1]:
-                j += 1
-            out.setdefault(k, set()).update(range(lines[i][0], lines[j - 1][0] + 1))
-    return out
-
-
-@pytest.mark.parametrize("seed", [1, 2, 3, 4])
-def test_line_dedup_equals_brute_force(documents, seed):
-    rng = random.Random(seed)
-    pool = [" ".join(f"w{rng.randrange(50)}" for _ in range(rng.choice((1, 2, 8, 20, 30, 55)))) for _ in range(25)]
-    rows = []
-    for k in range(40):
-        lines = [rng.choice(["", *pool]) for _ in range(rng.randint(1, 8))]
-        if rows and rng.random() < 0.6:
-            other = rng.choice(rows)[1].split("\n")
-            lines[rng.randint(0, len(lines)) : 0] = other[rng.randint(0, 2) :]
-        rows.append((k, "\n".join(lines)))
-    want = brute_deleted(rows)
-    got = {r["doc_id"]: r for r in line_dedup.dedup_lines(documents(*rows)).collect()}
-    for k, text in rows:
-        lines = text.split("\n")
-        gone = want.get(k, set())
-        assert got[k]["text"] == "\n".join(x for p, x in enumerate(lines) if p not in gone)
-        assert (got[k]["_n_lines"], got[k]["_n_deleted"]) == (len(lines), len(gone))
-
-
 def test_line_dedup_of_odd_rows(documents, odd):
     passage = " ".join(f"p{k}" for k in range(60))
     docs = odd.union(documents((20, passage), (21, f"start\n{passage}\n\nend"), (22, f"{passage}\n{passage}"), (22, f"{passage}\n{passage}"), (23, "of\n" * 300 + "of")))
