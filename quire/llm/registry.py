@@ -51,7 +51,9 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents")))
+    import public_tokenizers
+
+    return secrets.digest(secrets.scan_secrets(table(spark, sf_dir, "documents"), dictionary=public_tokenizers.path("byte_bpe_50k.json")))
 
 
 def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

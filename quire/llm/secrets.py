@@ -1,19 +1,32 @@
 """Secret scans: fixed patterns, and guess costs of the values that stand where credentials do.
 
 A value's guess cost is the smallest total over all ways to cut it into dictionary words, dates, repeats, keyboard
-walks and brute-force spans, by dynamic programming over its characters, as log10 of the guesses. Values above
-a threshold are reported as spans of kind `cred`, besides the pattern's own spans.
-
-Null texts count as empty: no spans. Texts are scanned whole. Repeated rows stay repeated rows.
+walks and brute-force spans, by dynamic programming over its characters, as log10 of the guesses:
+- word: its rank in the dictionary, doubled if characters stand for letters; a little more if its case isn't lower;
+- date: any of its usual spellings, or a year;
+- repeat: a unit, of any length, three times or more: the unit by brute force, times the repeats;
+- walk: three neighbours or more on a keyboard row, either way;
+- brute force: each character by its class.
+Every span of every kind, wherever it starts and ends, is a candidate. Walks and repeats are kept as the stretches in which all their spans lie,
+and the program looks at these; a value of n characters takes about n log n steps to find them. Values above a threshold are reported as
+spans of kind `cred`, besides the pattern's own spans.
+
+The dictionary is the fixed list of words that guessers try first, and then the words of a vocabulary file, in its order, which is by frequency.
+It goes to the workers once; its size is the file's.
+
+Null texts count as empty: no spans. Texts are scanned whole, and so are values, however long. Of two ways to cut a value at equal cost either gives the same
+result. Repeated rows stay repeated rows; rows without an id keep their null. An empty table gives an empty one. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-import hashlib
+import json
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,54 +61,114 @@ KEYBOARD = ("1234567890", "qwertyuiop", "asdfghjkl", "zxcvbnm", "abcdefghijklmno
 #: Letters that other characters stand for.
 LEET = str.maketrans("4@310$57", "aaeiosst")
 
-_RANK = {w: k + 1 for k, w in enumerate(WORDS)}
-_LONGEST = max(map(len, WORDS))
 _STEPS = {x for row in KEYBOARD for line in (row, row[::-1]) for x in zip(line, line[1:], strict=False)}
 _DATE = re.compile(r"(?:19|20)\d\d[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:0[1-9]|[12]\d|3[01])|(?:0[1-9]|[12]\d|3[01])[-/.]?(?:0[1-9]|1[0-2])[-/.]?(?:19|20)\d\d|(?:19|20)\d\d")
-_REPEAT = re.compile(r"(.{1,8}?)\1{2,}", re.S)
+_DATE_LENGTHS = (4, 8, 9, 10)
 _SEGMENT = math.log10(2)
+#: Least repeats of a unit, and steps of a walk.
+REPEATS, WALK = 3, 3
+#: Least letters of a word from a vocabulary file: shorter ones are as cheap by brute force.
+WORD_LEAST = 3
 
 
 def _char_cost(c: str) -> float:
     return 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33)
 
 
-def segments(value: str) -> Iterator[tuple[int, int, float]]:
-    """Guessable spans of value: start, end, cost. Their number is linear in the value's length."""
-    low = value.lower()
-    plain = low.translate(LEET)
-    for i in range(len(value)):
-        for n in range(2, min(_LONGEST, len(value) - i) + 1):
-            word = low[i : i + n]
-            rank = _RANK.get(word) or 2 * _RANK.get(plain[i : i + n], 0)
-            if rank:
-                yield i, i + n, math.log10(rank + 1) + (0 if value[i : i + n] == word else _SEGMENT)
-    for at in range(len(value)):
-        if value[at] in "0123" and (m := _DATE.match(value, at)) or value[at] in "12" and (m := _DATE.match(value, at)):
-            yield at, m.end(), math.log10(365 * 120) if m.end() - at > 4 else math.log10(120)
-    for m in _REPEAT.finditer(value):
-        unit = m[1]
-        yield m.start(), m.end(), sum(map(_char_cost, unit)) + math.log10((m.end() - m.start()) // len(unit))
-    start = 0
-    for at in range(1, len(low) + 1):
-        if at == len(low) or (low[at - 1], low[at]) not in _STEPS:
-            if at - start >= 3:
-                for i in range(start, min(at - 2, start + 3)):
-                    yield i, at, math.log10(40) + math.log10(at - i) + _SEGMENT
-            start = at
-
-
-def guess_cost(value: str) -> float:
-    """log10 of the guesses for value by its cheapest segmentation; 0 for an empty one."""
-    ending: dict[int, list[tuple[int, float]]] = {}
-    for i, j, cost in segments(value):
-        ending.setdefault(j, []).append((i, cost))
-    best, brute = [0.0], [math.inf]  # brute: the cheapest that ends within a brute-force span
-    for j in range(1, len(value) + 1):
-        c = _char_cost(value[j - 1])
-        brute.append(min(brute[-1] + c, best[j - 1] + c + (_SEGMENT if j > 1 else 0)))
-        best.append(min([brute[-1], *(best[i] + cost + (_SEGMENT if i else 0) for i, cost in ending.get(j, ()))]))
-    return best[-1]
+def vocabulary(path: str) -> list[str]:
+    """The whole words of a tokenizer's vocabulary file (.json), lower-cased, in its order."""
+    known = json.loads(Path(path).read_text())["model"]["vocab"]
+    words = (k[1:].lower() for k in sorted(known, key=known.get) if k[:1] == "\u0120")
+    return [w for w in words if len(w) >= WORD_LEAST and w.isascii() and w.isalpha()]
+
+
+class Guesser:
+    """Guess costs with the fixed words and those of a dictionary, most frequent first."""
+
+    def __init__(self, words: list[str] | tuple[str, ...] = ()):
+        self.rank: dict[str, int] = {}
+        for w in (*WORDS, *words):
+            self.rank.setdefault(w, len(self.rank) + 1)
+        self.longest = max(map(len, self.rank))
+
+    def word_cost(self, word: str, low: str, plain: str) -> float | None:
+        """The cost of a word as it stands, lower-cased, and with letters for what stands for them; None if it is none."""
+        rank = min(self.rank.get(low, math.inf), 2 * self.rank.get(plain, math.inf))
+        return math.log10(rank + 1) + (0 if word == low else _SEGMENT) if rank < math.inf else None
+
+    def cost(self, value: str) -> float:
+        """log10 of the guesses for value by its cheapest segmentation; 0 for an empty one."""
+        n, low = len(value), value.lower()
+        if len(low) != n:  # letters whose lower case is longer
+            low = "".join(c.lower() if len(c.lower()) == 1 else c for c in value)
+        plain = low.translate(LEET)
+        chars = np.array([_char_cost(c) for c in value])
+        sums = np.concatenate([[0.0], np.cumsum(chars)])
+        walk = walk_starts(low)
+        repeats: dict[int, list[tuple[int, int]]] = {}
+        for a, b, u in periodic(value):
+            for j in range(a + REPEATS * u, b + 1):
+                repeats.setdefault(j, []).append((a, u))
+        best = np.zeros(n + 1)  # and from place 1 on, what a further segment costs there
+        brute = math.inf  # the cheapest that ends within a brute-force span
+        onward = np.zeros(n + 1)
+        for j in range(1, n + 1):
+            brute = least = min(brute, onward[j - 1]) + chars[j - 1]
+            for k in range(2, min(self.longest, j) + 1):
+                c = self.word_cost(value[j - k : j], low[j - k : j], plain[j - k : j])
+                if c is not None:
+                    least = min(least, onward[j - k] + c)
+            if value[j - 1].isdigit():
+                for k in _DATE_LENGTHS:
+                    if k <= j and value[j - k] in "0123" and _DATE.fullmatch(value, j - k, j):
+                        least = min(least, onward[j - k] + math.log10(365 * 120 if k > 4 else 120))
+            if j - walk[j] >= WALK:
+                i = np.arange(walk[j], j - WALK + 1)
+                least = min(least, float((onward[i] + np.log10(j - i)).min()) + math.log10(40) + _SEGMENT)
+            for a, u in repeats.get(j, ()):
+                times = np.arange(REPEATS, (j - a) // u + 1)
+                least = min(least, float((onward[j - u * times] + np.log10(times)).min()) + sums[j] - sums[j - u])
+            best[j], onward[j] = least, least + _SEGMENT
+        return float(best[n])
+
+
+def walk_starts(low: str) -> list[int]:
+    """For each end (from 0) the first place from which all characters up to it follow one another on a keyboard."""
+    out, start = [0], 0
+    for j in range(1, len(low) + 1):
+        if j > 1 and (low[j - 2], low[j - 1]) not in _STEPS:
+            start = j - 1
+        out.append(start)
+    return out
+
+
+def periodic(value: str) -> Iterator[tuple[int, int, int]]:
+    """All longest stretches (start, end, u) of value that repeat a unit of u characters REPEATS times or more.
+
+    In such a stretch each character equals the one u places on, REPEATS - 1 times u in a row; so one of them stands at a multiple of u. Only these are
+    compared, and followed both ways where equal. A unit that itself repeats a shorter one is left out: the shorter one never costs more.
+    """
+    codes = np.frombuffer(value.encode("utf-32-le", "surrogatepass"), np.uint32)
+    n = len(codes)
+    found: list[tuple[int, int, int]] = []
+    for u in range(1, n // REPEATS + 1):
+        at = np.arange(0, n - u, u)
+        done = -1
+        for m in at[codes[at] == codes[at + u]].tolist():
+            if m < done:
+                continue
+            if inner := next((b for a, b, d in found if u % d == 0 and a <= m and m + u < b), None):
+                done = inner - u
+                continue
+            a = m
+            while a > 0 and codes[a - 1] == codes[a - 1 + u]:
+                a -= 1
+            done = m + 1
+            while done < n - u and codes[done] == codes[done + u]:
+                done += 1
+            if done - a >= (REPEATS - 1) * u:
+                found.append((a, done + u, u))
+    yield from found
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:
@@ -108,7 +181,7 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def cred_spans(text: str, strong: float) -> tuple[list[tuple[int, int, int]], float | None]:
+def cred_spans(text: str, strong: float, cost_of: Callable[[str], float]) -> tuple[list[tuple[int, int, int]], float | None]:
     """Spans of values whose guess cost is at least strong; the highest cost of any value."""
     if "=" not in text and ":" not in text:
         return [], None
@@ -118,7 +191,7 @@ def cred_spans(text: str, strong: float) -> tuple[list[tuple[int, int, int]], fl
         # what stands in quotes may itself hold keys, if a quote was left open
         at = end if m.lastindex == 3 else start
         if end - start >= CRED_LEAST:
-            cost = guess_cost(text[start:end])
+            cost = cost_of(text[start:end])
             most = cost if most is None else max(most, cost)
             if cost >= strong:
                 out.append((start, 3, end))
@@ -129,17 +202,22 @@ _ASSIGN, _CONTEXT = (re.compile(x, re.I | re.A) for x in (ASSIGN, CONTEXT.replac
 _ACCESS, _HEX = re.compile(ACCESS), re.compile(HEX)
 
 
-def scan_secrets(docs: DataFrame, strong: float = STRONG, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, spans array<struct<kind, start, end>> in order of start, and max_guess_log10."""
+def scan_secrets(docs: DataFrame, dictionary: str | None = None, strong: float = STRONG, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, spans array<struct<kind, start, end>> in order of start, and max_guess_log10.
+
+    dictionary: a vocabulary file, read by the driver.
+    """
+    words = docs.sparkSession.sparkContext.broadcast(vocabulary(dictionary) if dictionary else [])
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cost_of = Guesser(words.value).cost
         kind = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())])
         for batch in batches:
             found, costs = [], []
             for value in batch.column(1):
                 raw = value.as_buffer()
                 text = raw.to_pybytes().decode() if raw is not None else ""
-                more, most = cred_spans(text, strong)
+                more, most = cred_spans(text, strong, cost_of)
                 found.append([{"kind": KINDS[k], "start": s, "end": e} for s, k, e in sorted(base_spans(text) + more)])
                 costs.append(most)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(kind)), pa.array(costs, pa.float64())], names=["id", "spans", "max_guess_log10"])

@@ -3,8 +3,11 @@ import pytest
 from quire.llm import secrets
 
 
+COST = secrets.Guesser().cost
+
+
 def values(text):
-    return [text[s:e] for s, _, e in secrets.cred_spans(text, secrets.STRONG)[0]]
+    return [text[s:e] for s, _, e in secrets.cred_spans(text, secrets.STRONG, COST)[0]]
 
 
 @pytest.mark.parametrize("key", ["AWS_SECRET_ACCESS_KEY=", "SECRET_KEY = ", "access_key: ", "encryption-key=", "secretAccessKey: ", "api_key=", "token_value="])

@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -159,24 +160,49 @@ def test_secret_rows(documents, odd):
 
 
 def test_guess_costs():
-    cost = secrets.guess_cost
+    cost = secrets.Guesser().cost
     assert cost("") == 0
     assert cost("password") < 1 < cost("passw0rd1998") < cost("Xk9$vQ2!zR")
     assert cost("aaaaaaaaaaaaaaaa") < 3 and cost("qwertyuiop") < 4 and cost("20240115") < 5.5 and cost("changeme") < 2.5
     assert cost("f0ddae3b09ae356cbefecdd3232fa5489bb400d6") > 20
-    for text in ("abc", "admin2020", "zxcvbnm!!"):
-        n = len(text)
-        parts = {(i, j): c for i, j, c in sorted(secrets.segments(text), key=lambda x: -x[2])}
-
-        def best(j, parts=parts, text=text):
-            """By every way to cut text[:j]."""
-            if j == 0:
-                return 0.0
-            ways = [best(i) + c + (secrets._SEGMENT if i else 0) for (i, e), c in parts.items() if e == j]
-            ways += [best(i) + sum(map(secrets._char_cost, text[i:j])) + (secrets._SEGMENT if i else 0) for i in range(j)]
-            return min(ways)
-
-        assert abs(cost(text) - best(n)) < 1e-9
+    known = {"abcdefootball": 4.16, "zxcvbnmonkey12": 6.36, "qwertyuiopassword": 3.46, "correcthorse" * 3: 17.46}
+    assert {x: round(cost(x), 2) for x in known} == known
+    large = secrets.Guesser(secrets.vocabulary(public_tokenizers.path("byte_bpe_50k.json")))
+    assert len(large.rank) > 20_000 and large.cost("correcthorse") < secrets.STRONG < cost("correcthorse")
+
+
+def brute_cost(value, words):
+    """By every span of value and every way to cut it; spans are told one by one, from what they hold."""
+    char = lambda c: 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33)
+    rows = [x for row in secrets.KEYBOARD for x in (row, row[::-1])]
+    dates = {"year": r"(19|20)\d\d", "ymd": r"(19|20)\d\d[-/.]?(0[1-9]|1[0-2])[-/.]?(0[1-9]|[12]\d|3[01])", "dmy": r"(0[1-9]|[12]\d|3[01])[-/.]?(0[1-9]|1[0-2])[-/.]?(19|20)\d\d"}
+
+    def span(x):
+        low, costs = x.lower(), [sum(map(char, x))]
+        for word, rank in ((low, words.get(low)), (None, 2 * words.get(low.translate(secrets.LEET), 0))):
+            if rank:
+                costs.append(math.log10(rank + 1) + (0 if x == word or x == low and word is None else math.log10(2)))
+        for kind, pattern in dates.items():
+            if re.fullmatch(pattern, x):
+                costs.append(math.log10(120 if kind == "year" else 365 * 120))
+        for u in range(1, len(x) // 3 + 1):
+            if len(x) % u == 0 and x[:u] * (len(x) // u) == x:
+                costs.append(sum(map(char, x[:u])) + math.log10(len(x) // u))
+        if len(x) >= 3 and all(any(a + b in row for row in rows) for a, b in zip(low, low[1:])):
+            costs.append(math.log10(40) + math.log10(len(x)) + math.log10(2))
+        return min(costs)
+
+    best = [0.0]
+    for j in range(1, len(value) + 1):
+        best.append(min(best[i] + span(value[i:j]) + (math.log10(2) if i else 0) for i in range(j)))
+    return best[-1]
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from(["abcde", "football", "zxcvb", "monkey", "2024-01-15", "1998", "aab", "qwe", "P4ss", "love", "x", "9", "$", "abab", "ewq", "31122001", "Z"]), max_size=7).map("".join))
+def test_guess_cost_is_the_least_of_all_cuts(value):
+    words = {w: k + 1 for k, w in enumerate(secrets.WORDS)}
+    assert abs(secrets.Guesser().cost(value) - brute_cost(value, words)) < 1e-9
 
 
 # licenses
