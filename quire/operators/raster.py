@@ -1,17 +1,20 @@
 """Page images as arrays of gray values (Python: array arithmetic has no built-in columns). Functions of numpy arrays, and columns made of them.
 
-Decoding is Spark's image source; encoding, HEIC and EXIF rotation would need a codec that is not part of this library.
+Decoding is Spark's image source; images are written as PNG, which needs no codec. JPEG, HEIC and EXIF rotation would need one that is not part of this library.
 """
 
 from __future__ import annotations
 
+import struct as packing
+import zlib
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, IntegerType, StructType
 
-from quire.schemas import struct
+from quire.schemas import IMAGES, struct
 from quire.shipping import ship
 
 #: Sizes and thresholds.
@@ -19,7 +22,7 @@ LONG_EDGE, MOST_EDGE, MOST_SCALE = 2200, 3600, 2.5
 SPREAD_RATIO, SPREAD_WIDTH, TRANSITION = 1.15, 400, 20
 CELL_PART, PAPER_QUANTILE, DARK_PAPER = 60, 0.9, 40
 STRETCH_PART, STRETCH_STEP = 0.01, 3
-FIGURE_CELLS, INK, TONE = 70, 0.03, 0.25
+FIGURE_CELLS, INK, TONE, EDGE, CLOSED = 70, 0.03, 0.25, 0.04, 6
 
 
 def luma(bgr: np.ndarray) -> np.ndarray:
@@ -73,6 +76,18 @@ def cropped(gray: np.ndarray, box: tuple[float, float, float, float], scale: flo
     return gray[y0:y1, x0:x1]
 
 
+def png(gray: np.ndarray) -> bytes:
+    """A gray image as a PNG file."""
+    h, w = gray.shape
+
+    def chunk(kind: bytes, data: bytes) -> bytes:
+        return packing.pack(">I", len(data)) + kind + data + packing.pack(">I", zlib.crc32(kind + data))
+
+    rows = np.concatenate([np.zeros((h, 1), np.uint8), gray.astype(np.uint8)], axis=1)  # each row says that it isn't filtered
+    head = packing.pack(">IIBBBBB", w, h, 8, 0, 0, 0, 0)
+    return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", head) + chunk(b"IDAT", zlib.compress(rows.tobytes(), 6)) + chunk(b"IEND", b"")
+
+
 def halves(gray: np.ndarray) -> list[np.ndarray]:
     at = spread_gutter(gray)
     return [gray] if at is None else [gray[:, :at], gray[:, at:]]
@@ -83,59 +98,101 @@ def turned(gray: np.ndarray, quarters: int) -> np.ndarray:
     return np.rot90(gray, -quarters)
 
 
+def cell_edges(length: int, cell: int) -> np.ndarray:
+    """Where cells begin; the last one may be smaller."""
+    return np.arange(0, length, cell)
+
+
+def _sampled_places(length: int, cell: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every second pixel of each cell, from its first on, and where each cell's begin among them."""
+    at = np.arange(length)
+    at = at[(at % cell) % 2 == 0]
+    return at, np.searchsorted(at, cell_edges(length, cell))
+
+
+def _sums(values: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(np.add.reduceat(values.astype(np.int64), rows, axis=0), columns, axis=1)
+
+
+def _interpolated(grid: np.ndarray, cell: int, height: int, width: int) -> np.ndarray:
+    """A value for each pixel between those of the cells' middles."""
+    out = grid
+    for axis, length in ((0, height), (1, width)):
+        at = np.clip((np.arange(length) + 0.5) / cell - 0.5, 0, grid.shape[axis] - 1)
+        low = np.floor(at).astype(int)
+        high = np.minimum(low + 1, grid.shape[axis] - 1)
+        part = (at - low).reshape((-1, 1) if axis == 0 else (1, -1))
+        out = np.take(out, low, axis) * (1 - part) + np.take(out, high, axis) * part
+    return out
+
+
+def paper_brightness(gray: np.ndarray, cell: int) -> np.ndarray:
+    """For each cell the least value that PAPER_QUANTILE of its sampled pixels don't exceed."""
+    h, w = gray.shape
+    ys, xs = cell_edges(h, cell), cell_edges(w, cell)
+    out = np.empty((len(ys), len(xs)))
+    for r, y in enumerate(ys):
+        for c, x in enumerate(xs):
+            values = np.sort(gray[y : y + cell : 2, x : x + cell : 2], axis=None)
+            out[r, c] = values[max(0, int(np.ceil(len(values) * PAPER_QUANTILE)) - 1)]
+    return out
+
+
 def flattened(gray: np.ndarray) -> np.ndarray:
     """The page with even paper: brightness is divided by that of the paper around."""
     h, w = gray.shape
-    cell = max(16, round(max(h, w) / CELL_PART))
-    rows, columns = -(-h // cell), -(-w // cell)
-    paper = np.empty((rows, columns))
-    for r in range(rows):
-        for c in range(columns):
-            values = np.sort(gray[r * cell : (r + 1) * cell : 2, c * cell : (c + 1) * cell : 2], axis=None)
-            paper[r, c] = values[min(len(values) - 1, int(PAPER_QUANTILE * len(values)))]
+    cell = max(16, int(max(h, w) / CELL_PART + 0.5))
+    paper = paper_brightness(gray, cell)
+    rows, columns = paper.shape
+
+    def around(values: np.ndarray) -> np.ndarray:
+        return np.stack([np.pad(values, 1)[a : a + rows, b : b + columns] for a in range(3) for b in range(3)])
+
+    neighbours = around(np.ones_like(paper)).sum(axis=0)
     for _ in range(2):
-        near = np.stack([np.pad(paper, 1, "edge")[a : a + rows, b : b + columns] for a in range(3) for b in range(3)])
-        paper = 0.5 * near.max(axis=0) + 0.5 * near.mean(axis=0)
-    around = resized(paper, w, h)
-    even = np.minimum(255, np.round(gray * 255.0 / np.maximum(around, 1)))
-    return np.where(around < DARK_PAPER, gray, even).astype(np.uint8)
+        near = around(paper)
+        paper = 0.5 * near.max(axis=0) + 0.5 * near.sum(axis=0) / neighbours
+    paper = _interpolated(paper, cell, h, w)
+    even = np.minimum(255, np.round(gray * 255.0 / np.maximum(paper, 1)))
+    return np.where(paper < DARK_PAPER, gray, even).astype(np.uint8)
 
 
 def stretched(gray: np.ndarray) -> np.ndarray:
     """Darkest ink drawn down to black, unless it is black already or nothing is dark."""
     sample = np.sort(gray.reshape(-1)[::STRETCH_STEP])
-    low = int(sample[int(STRETCH_PART * len(sample))]) if len(sample) else 0
+    low = int(sample[max(0, int(np.ceil(STRETCH_PART * len(sample))) - 1)]) if len(sample) else 0
     if low <= 5 or low >= 200:
         return gray
-    return np.clip(np.round((gray.astype(np.float64) - low) * 255 / (255 - low)), 0, 255).astype(np.uint8)
+    return np.clip(np.round((gray.astype(np.float64) - low) * (255 / (255 - low))), 0, 255).astype(np.uint8)
 
 
-def figure_boxes(gray: np.ndarray, text: list[tuple[float, float, float, float]], line_height: float) -> list[tuple[int, int, int, int]]:
-    """Boxes (x0, y0, x1, y1) of connected areas with ink or tone that no text explains, as large as figures are."""
+def figure_boxes(gray: np.ndarray, text: list[tuple[float, float, float, float]], line_height: float) -> list[tuple[float, float, float, float]]:
+    """Boxes (x0, y0, x1, y1) of connected areas with ink or tone that no text explains, as large as figures are, with half a cell of margin."""
     h, w = gray.shape
-    cell = max(8, min(h, w) // FIGURE_CELLS)
-    rows, columns = h // cell, w // cell
-    if not rows or not columns:
+    if not h or not w:
         return []
-    cells = gray[: rows * cell, : columns * cell].reshape(rows, cell, columns, cell)
-    dark, mid = (cells < 128).mean(axis=(1, 3)), ((cells >= 128) & (cells < 215)).mean(axis=(1, 3))
+    cell = max(8, int(min(h, w) / FIGURE_CELLS + 0.5))
+    (ys, row_starts), (xs, column_starts) = _sampled_places(h, cell), _sampled_places(w, cell)
+    seen = gray[np.ix_(ys, xs)]
+    n = _sums(np.ones_like(seen), row_starts, column_starts)
+    dark, mid = _sums(seen < 128, row_starts, column_starts) / n, _sums((seen >= 128) & (seen < 215), row_starts, column_starts) / n
+    rows, columns = n.shape
+    covered = np.zeros((rows, columns), bool)
     pad = 0.4 * line_height
     for x0, y0, x1, y1 in text:
         a, b = (slice(max(0, int((lo - pad) // cell)), max(0, int((hi + pad) // cell) + 1)) for lo, hi in ((y0, y1), (x0, x1)))
-        dark[a, b] = mid[a, b] = 0
-    full = (dark > INK) | (mid > TONE)
-    edge_y, edge_x = int(0.04 * rows), int(0.04 * columns)
-    full[:edge_y] = full[rows - edge_y :] = False
-    full[:, :edge_x] = full[:, columns - edge_x :] = False
-    around = sum(np.pad(full.astype(int), 2)[a : a + rows, b : b + columns] for a in range(5) for b in range(5))
-    full |= around >= 6
+        covered[a, b] = True
+    apart = [(k < EDGE * size) | (k > size * (1 - EDGE)) for k, size in ((np.arange(rows), rows), (np.arange(columns), columns))]
+    found = ((dark > INK) | (mid > TONE)) & ~covered & ~apart[0][:, None] & ~apart[1][None, :]
+    near = sum(np.pad(found.astype(int), 2)[a : a + rows, b : b + columns] for a in range(5) for b in range(5))
+    full = found | ((near >= CLOSED) & ~covered)
     out = []
     for area in _connected(full):
         y0, x0 = area.min(axis=0)
         y1, x1 = area.max(axis=0) + 1
-        wide, high = (x1 - x0) / columns, (y1 - y0) / rows
-        if wide >= 0.12 and high >= 0.06 and wide * high >= 0.025 and len(area) >= 0.3 * (x1 - x0) * (y1 - y0):
-            out.append((int(x0 * cell), int(y0 * cell), int(x1 * cell), int(y1 * cell)))
+        wide, high = int(x1 - x0), int(y1 - y0)
+        if wide >= 0.12 * columns and high >= 0.06 * rows and wide * high >= 0.025 * columns * rows and len(area) >= 0.3 * wide * high:
+            out.append((max(0.0, (x0 - 0.5) * cell), max(0.0, (y0 - 0.5) * cell), min(float(w), (x1 + 0.5) * cell), min(float(h), (y1 + 0.5) * cell)))
     return out
 
 
@@ -229,4 +286,20 @@ def split_spreads(photos: DataFrame) -> DataFrame:
     return photos.select("source_id", "gray").mapInPandas(work, schema)
 
 
+def figure_images(pages: DataFrame, boxes: DataFrame, scale: float = 1.0) -> DataFrame:
+    """The parts of page images that figures show, as rows of IMAGES with id "doc_id:page:fig_no". pages: doc_id, page, gray; boxes: doc_id, page, fig_no, x0, y0, x1, y1, in
+    pixels of an image of another scale."""
+
+    def work(frames):
+        for frame in frames:
+            rows = []
+            for r in frame.itertuples(index=False):
+                x = np.frombuffer(r.gray["data"], np.uint8).reshape(r.gray["height"], r.gray["width"])
+                part = cropped(x, (r.x0, r.y0, r.x1, r.y1), scale)
+                rows.append((f"{r.doc_id}:{r.page}:{r.fig_no}", png(part), "image/png", part.shape[1], part.shape[0]))
+            yield pd.DataFrame(rows, columns=["id", "data", "mime", "width", "height"])
+
+    return pages.select("doc_id", "page", "gray").join(boxes.select("doc_id", "page", "fig_no", "x0", "y0", "x1", "y1"), ["doc_id", "page"]).mapInPandas(work, struct(IMAGES))
+
+
 ship(__name__)
