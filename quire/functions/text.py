@@ -232,20 +232,28 @@ def epub_file_name(chosen: Column, title: Column, kepub: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def tidy_heading(titles: pd.Series) -> pd.Series:
-    """A heading fit for a list (Python: words are capitalized by what stands before them)."""
+    """A heading fit for a list (Python: words are capitalized by what stands before them).
+
+    What isn't an ASCII letter or digit goes at the start; a roman numeral after "chapter" and its like is mended and set in capitals; a heading all in capitals
+    gets capitals at words' starts only, and in words that look like short roman numerals.
+    """
     import re
 
-    part = re.compile(r"^(chapter|part|book|section|lecture)\s+((?:[IVXLCDM1l|]\s?)+)(?=[\s.:,—–-]|$)", re.I)
+    counted = re.compile(r"(chapter|part|book|section|lecture)\s+([IVXLCDM1l|](?:\s?[IVXLCDM1l|])*)(?=[\s.:]|$)", re.I)
+    starts = re.compile(r"(?:^|(?<=[\s(“\"'-]))[^\W\d_]")
+    roman = re.compile(r"\b[ivxlcdm]{1,5}\b", re.I | re.A)
 
     def one(title: str | None) -> str | None:
         if title is None:
             return None
-        text = " ".join(re.sub(r"^[^\w(“‘\"']+|^\((?=[^)]*$)", "", title).split())
-        if (m := part.match(text)) and not m[2].replace(" ", "").isdigit():
-            text = f"{m[1]} {re.sub('[1l|]', 'I', m[2].replace(' ', '')).upper()}{text[m.end():]}"
-        if sum(c.isalpha() for c in text) > 3 and text == text.upper():
-            text = re.sub(r"(?<![^\W\d_])(?<!['’])[^\W\d_]+", lambda w: w[0][0] + w[0][1:].lower(), text)
-            text = re.sub(r"\b(?=[ivxlcdm]{1,5}\b)m{0,3}(?:cm|cd|d?c{0,3})(?:xc|xl|l?x{0,3})(?:ix|iv|v?i{0,3})\b", lambda w: w[0].upper(), text, flags=re.I)
+        text = re.sub(r"^\W+", "", title, flags=re.A).strip()
+        if m := counted.match(text):
+            number = re.sub("[1l|]", "I", "".join(m[2].split())).upper()
+            text = f"{m[1]} {number}{text[m.end():]}"
+        letters = "".join(c for c in text if c.isalpha())
+        if len(letters) > 3 and letters == letters.upper():
+            text = starts.sub(lambda w: w[0].upper(), text.lower())
+            text = roman.sub(lambda w: w[0].upper(), text)
         return text
 
     return titles.map(one)

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.functions.text import clean_title, tidy_heading, title_from_file_name
+from quire.functions.text import clean_title, title_from_file_name
 from quire.operators import blocks as block_ops
 from quire.operators import layout
 from quire.schemas import BLOCKS, IMAGES, NOTES, PAGES, struct
@@ -143,7 +143,7 @@ def all_of(parts: list[Structured]) -> Structured:
 
 def titles(made: Structured, metadata: DataFrame | None = None) -> DataFrame:
     """doc_id, title, author: the file's own if they are sound, else the first heading."""
-    headings = block_ops.first_heading(made.blocks).withColumn("title", tidy_heading("title"))
+    headings = block_ops.first_heading(made.blocks)
     if metadata is None:
         return headings.select("doc_id", "title", F.lit(None).cast("string").alias("author"))
     author = F.trim("author")

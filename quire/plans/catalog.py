@@ -87,19 +87,10 @@ def dehyphenate(spark, sf):
     return halves.select("item_id", F.md5(text.joined(F.col("prev"), F.col("following"))).alias("digest"))
 
 
-@query(r"""WITH heads AS (SELECT item_id, lower(left(text, 40)) AS a, lag(lower(left(text, 40))) OVER (ORDER BY item_id) AS b FROM benchmark),
+@query(r"""WITH heads AS (SELECT item_id, lower(text) AS a, lag(lower(text)) OVER (ORDER BY item_id) AS b FROM benchmark),
 grams AS (SELECT item_id, a, b, [substr(a, i, 2) for i in range(1, length(a))] AS ga, [substr(b, i, 2) for i in range(1, length(b))] AS gb FROM heads WHERE b IS NOT NULL)
 SELECT item_id, CASE WHEN a = b THEN 1.0 WHEN length(a) < 2 OR length(b) < 2 THEN 0.0 ELSE 2.0 * list_sum([least(len(list_filter(ga, lambda h: h = g)), len(list_filter(gb, lambda h: h = g))) for g in list_distinct(ga)]) / (length(a) + length(b) - 2) END::DOUBLE AS similarity FROM grams""")
 def dice_similarity(spark, sf):
-    head = F.lower(F.substring("text", 1, 40))
-    items = table(spark, sf, "benchmark").select("item_id", head.alias("a"))
-    last = items.select((F.col("item_id") + 1).alias("item_id"), F.col("a").alias("b"))
-    return items.join(last, "item_id").select("item_id", text.dice(F.col("a"), F.col("b")).cast("double").alias("similarity"))
-
-
-@query()
-def dice_similarity_whole(spark, sf):
-    """dice_similarity of whole texts, which its SQL cuts to 40 characters."""
     items = table(spark, sf, "benchmark").select("item_id", F.lower("text").alias("a"))
     last = items.select((F.col("item_id") + 1).alias("item_id"), F.col("a").alias("b"))
     return items.join(last, "item_id").select("item_id", text.dice(F.col("a"), F.col("b")).cast("double").alias("similarity"))
@@ -157,13 +148,13 @@ def page_labels(spark, sf):
 _NUMBER_SQL = "(CASE WHEN regexp_full_match({0}, '[0-9]+') THEN ({0})::INT::VARCHAR WHEN {0} <> '' AND regexp_full_match({0}, '(?i)m{{0,3}}(cm|cd|d?c{{0,3}})(xc|xl|l?x{{0,3}})(ix|iv|v?i{{0,3}})') AND (length(t) <= 4 OR length(regexp_replace(regexp_replace(t, '[^A-Za-z]', '', 'g'), '(?i)[ivxlcdm]', '', 'g')) > 0) THEN lower({0}) END)"
 
 
-@query(f"""WITH {LINES_SQL}, told AS (SELECT doc_id, idx, CASE WHEN idx % 3 = 0 THEN '— ' || idx || ' —' WHEN idx % 3 = 1 THEN left(text, 20) || ' ' || idx ELSE left(text, 12) END AS raw_text FROM lines),
+@query(f"""WITH {LINES_SQL}, told AS (SELECT doc_id, idx, CASE WHEN idx % 3 = 0 THEN '— ' || idx || ' —' WHEN idx % 3 = 1 THEN text || ' ' || idx ELSE text END AS raw_text FROM lines),
 t AS (SELECT *, regexp_replace(regexp_replace(raw_text, '^[\\s–—-]+', ''), '[\\s–—-]+$', '') AS t FROM told),
 found AS (SELECT *, regexp_extract(t, '(?i)^(?:page\\s+)?([0-9]{{1,4}}|[ivxlcdm]{{1,7}})(?:\\s|$)', 1) AS head, regexp_extract(t, '(?i)(?:^|\\s)([0-9]{{1,4}}|[ivxlcdm]{{1,7}})$', 1) AS tail FROM t)
 SELECT doc_id, idx, coalesce({_NUMBER_SQL.format('head')}, {_NUMBER_SQL.format('tail')}) AS number FROM found""")
 def page_numbers(spark, sf):
     idx, t = F.col("idx"), F.col("text")
-    shown = F.when(idx % 3 == 0, F.concat(F.lit("— "), idx, F.lit(" —"))).when(idx % 3 == 1, F.concat(F.substring(t, 1, 20), F.lit(" "), idx)).otherwise(F.substring(t, 1, 12))
+    shown = F.when(idx % 3 == 0, F.concat(F.lit("— "), idx, F.lit(" —"))).when(idx % 3 == 1, F.concat(t, F.lit(" "), idx)).otherwise(t)
     return adapter.text_lines(table(spark, sf, "documents")).select("doc_id", "idx", text.page_number(shown).alias("number"))
 
 
@@ -277,14 +268,8 @@ def title_from_file_name(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.title_from_file_name(name).alias("title"))
 
 
-@query(r"""SELECT item_id, trim(left(trim(trim(regexp_replace(regexp_replace(strip_accents(left(text, 90) || ' : *x?'), '[\x00-\x1F<>:/\\|?*"]', ' ', 'g'), ' +', ' ', 'g')), '. '), 120), '. ') AS base FROM benchmark""")
+@query(r"""SELECT item_id, trim(left(trim(trim(regexp_replace(regexp_replace(strip_accents(text || ' : *x?'), '[\x00-\x1F<>:/\\|?*"]', ' ', 'g'), ' +', ' ', 'g')), '. '), 120), '. ') AS base FROM benchmark""")
 def safe_file_base(spark, sf):
-    return table(spark, sf, "benchmark").select("item_id", text.safe_file_base(F.concat(F.substring("text", 1, 90), F.lit(" : *x?"))).alias("base"))
-
-
-@query()
-def safe_file_base_whole(spark, sf):
-    """safe_file_base of whole texts, which its SQL cuts to 90 characters."""
     return table(spark, sf, "benchmark").select("item_id", text.safe_file_base(F.concat("text", F.lit(" : *x?"))).alias("base"))
 
 
@@ -300,15 +285,8 @@ def kind_sniff(spark, sf):
     return table(spark, sf, "pages").select("page_id", text.kind_of(F.concat("url", ending)).alias("kind"))
 
 
-@query(r"""SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(left(text, 80)), '[0-9]+', '', 'g'), '\b[ivxlcdm]+\b', '', 'g'), '[^\p{L}]+', ' ', 'g')) AS norm FROM benchmark WHERE NOT regexp_matches(text, '[^\x00-\x7F]')""")
+@query(r"""SELECT item_id, trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+', '', 'g'), '\b[ivxlcdm]+\b', '', 'g'), '[^\p{L}]+', ' ', 'g')) AS norm FROM benchmark""")
 def header_normalise(spark, sf):
-    plain = ~F.col("text").rlike(r"[^\x00-\x7F]")
-    return table(spark, sf, "benchmark").where(plain).select("item_id", text.norm_header(F.substring("text", 1, 80)).alias("norm"))
-
-
-@query()
-def header_normalise_whole(spark, sf):
-    """header_normalise of every row and its whole text; its SQL leaves rows beyond ASCII and all after 80 characters out."""
     return table(spark, sf, "benchmark").select("item_id", text.norm_header(F.col("text")).alias("norm"))
 
 

@@ -21,7 +21,7 @@ IMAGES = "id string, data binary, mime string, width int, height int"
 SOURCES = "source_id string, name string, content binary, length bigint, fingerprint string"
 OCR_WORDS = "doc_id string, page int, para bigint, line_no int, word_no int, text string, confidence double, symbols array<struct<text:string,is_superscript:boolean>>"
 PDF_ITEMS = "doc_id string, page int, item_no int, str string, x double, y double, w double, size double, b boolean, i boolean"
-BUNDLE_FILES = "path string, id string, data binary, store boolean, seq int"
+BUNDLE_FILES = "path string, id string, data binary, store boolean, seq bigint"
 TOC = "doc_id string, node_id int, parent_id int, level int, label string, href string"
 PAGE_TARGETS = "doc_id string, seq int, label string, href string"
 

@@ -6,7 +6,7 @@ from pathlib import Path
 import pytest
 from against_sql import SF
 
-from quire.plans import catalog
+from quire.plans import catalog, registry
 
 BENCHMARK = "item_id long, text string"
 
@@ -17,7 +17,7 @@ def run(spark, tmp_path):
 
     def rows(name, *texts):
         spark.createDataFrame(list(enumerate(texts)), BENCHMARK).write.parquet(str(tmp_path / "benchmark.parquet"))
-        return {r[0]: r[1] for r in catalog.queries()[name](spark, str(tmp_path)).collect()}
+        return {r[0]: r[1] for r in registry.queries()[name](spark, str(tmp_path)).collect()}
 
     return rows
 
@@ -41,20 +41,20 @@ def similarity(a, b):
 
 def test_headers_are_normalised_whole(spark, run, items):
     long = "word " * 30
-    got = run("header_normalise_whole", "ÉTUDES XII Größe 47", long + "Ende iv 9", "Überblick über Ökonomie", None)
+    got = run("header_normalise", "ÉTUDES XII Größe 47", long + "Ende iv 9", "Überblick über Ökonomie", None)
     assert got == {0: "études größe", 1: long + "ende", 2: "überblick über ökonomie", 3: None}
-    whole = catalog.queries()["header_normalise_whole"](spark, SF).collect()
+    whole = registry.queries()["header_normalise"](spark, SF).collect()
     assert {r["item_id"]: r["norm"] for r in whole} == {k: norm(t) for k, t in items.items()} and len(whole) == len(items)
 
 
 def test_similarity_of_whole_texts(spark, run, items):
     head = "a long beginning that both of the texts have in common, "
-    got = run("dice_similarity_whole", head + "and then the first", head + "but not this other ending", head + "BUT not this other ending")
+    got = run("dice_similarity", head + "and then the first", head + "but not this other ending", head + "BUT not this other ending")
     assert got[1] == pytest.approx(similarity(head + "and then the first", head + "but not this other ending")) and got[1] < 1 == got[2]
-    whole = {r["item_id"]: r["similarity"] for r in catalog.queries()["dice_similarity_whole"](spark, SF).collect()}
+    whole = {r["item_id"]: r["similarity"] for r in registry.queries()["dice_similarity"](spark, SF).collect()}
     assert whole == pytest.approx({k: similarity(items[k], items[k - 1]) for k in items if k - 1 in items})
 
 
 def test_file_names_of_whole_texts(run):
-    got = run("safe_file_base_whole", "n" * 200, "ab " * 60, "x" * 100 + " é: end")
+    got = run("safe_file_base", "n" * 200, "ab " * 60, "x" * 100 + " é: end")
     assert got == {0: "n" * 120, 1: ("ab " * 40).strip(), 2: "x" * 100 + " e end x"}
