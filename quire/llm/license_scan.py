@@ -1,27 +1,40 @@
 """License scans: exact containment join of text blocks with license templates, in DataFrame operations only.
 
-A block is a line of a text, or, for notices that wrap over lines, any run of words as long as the template. Template and block are sets of words (runs of letters and digits after lower-casing A-Z). A block
-meets a template if it holds at least `containment` of the template's words. The templates' words are ordered by the number of
-documents that hold them, counted over the whole corpus. A block can only meet a template of n words, o of which are needed,
-if it holds one of the template's n - o + 1 rarest words (prefix filter), has at least o words (length filter),
-and, with its first shared word at place p of the template, if n - p words are still enough (positional filter). What is left is verified.
-
-Besides, fixed phrases are looked for anywhere in a text, also across lines. Null texts count as empty. Texts are scanned whole.
-Repeated rows stay repeated rows. Other columns are ignored.
+Template and block are sets of words (runs of letters and digits after lower-casing A-Z). A block meets a template of n words if it holds at
+least `containment` of them, that is `needed` words; counts are compared, so nothing is lost to rounding. Blocks are the lines of a text, and, for notices
+that wrap over lines, its runs of as many words as the template's text has.
+
+1. One pass over the texts keeps, of each, the places of words that templates or phrases have, and each line's set of them. Everything
+   below works on these; no text is read again.
+2. Template words are ordered by the number of documents that hold them, the rarest first, counted over the whole corpus.
+3. Each line's set and each run around a word is exploded to (block, word, place in its block's own order). The rows of prefix words are joined with the table
+   of the templates' prefixes, their n - needed + 1 first words, on the word.
+4. Length filter: a block has `needed` words of the vocabulary at least. Positional filter: with the first shared word at place i of the
+   template and j of the block's m, at most min(n - i, m - j) words are shared, which must be enough.
+5. What is left is verified by intersection. Of the runs that hold a word, the best one counts.
+
+Besides, fixed phrases are looked for anywhere in a text, also across lines.
+
+Null and empty texts have no words. Texts are scanned whole, whatever their length; a very long one is one row. Repeated rows stay repeated rows, rows without an id keep
+their null. Words of equal counts are ordered by themselves; of equal shares one stands for all. An empty table gives an empty one. Other columns, whatever
+their names, are ignored.
 """
 
 from __future__ import annotations
 
+import json
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A word, and phrases with their labels.
-WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+from quire.llm.common import saved
+
+#: Phrases with their labels.
 PHRASES = {"gnu general public license": "gpl", "apache license": "apache", "cc by": "cc-by", "mit license": "mit"}
 
 CONTAINMENT = 0.8
-#: Notices by which licenses are commonly referred to.
+#: Notices by which licenses are commonly referred to, and the texts of short ones.
 TEMPLATES = {
     "apache": ["licensed under the apache license version 2 0"],
     "gpl": ["licensed under the gnu general public license", "you can redistribute it and or modify it under the terms of the gnu general public license"],
@@ -33,8 +46,28 @@ TEMPLATES = {
     "cc-by-nc": ["licensed under cc by nc 4 0"],
     "all-rights-reserved": ["all rights reserved"],
 }
-
-_LOWER = ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+#: Full notices, as they stand in files of source code.
+TEMPLATES["apache"].append(
+    "licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at "
+    "http www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis "
+    "without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license"
+)
+TEMPLATES["mit"].append(
+    "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without "
+    "restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the "
+    "software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions "
+    "of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a "
+    "particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract "
+    "tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software"
+)
+TEMPLATES["isc"] = [
+    "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission "
+    "notice appear in all copies the software is provided as is and the author disclaims all warranties with regard to this software"
+]
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: What stands between words: ASCII but letters and digits, and of these the line feed last.
+_BETWEEN = "".join(chr(c) for c in range(128) if not chr(c).isalnum() and c != 10)
 
 
 def _needed(n: int, containment: float) -> int:
@@ -43,99 +76,152 @@ def _needed(n: int, containment: float) -> int:
     return whole if whole >= containment * n else whole + 1
 
 
-def _words(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
+def _numbers(values: list[int]) -> Column:
+    return F.from_json(F.lit(json.dumps(values)), "array<int>")
+
+
+def _no(kind: str) -> Column:
+    return F.array().cast(f"array<{kind}>")
+
+
+def _hit(place: Column, w: Column) -> Column:
+    """A word's place in its text and its number in the vocabulary, as one long."""
+    return F.shiftleft(place.cast("long"), 16).bitwiseOR(w.cast("long"))
+
 
+def _place(hit: Column) -> Column:
+    return F.shiftright(hit, 16)
 
-def _array(values) -> Column:
-    return F.array(*(F.lit(x) for x in values)) if values else F.array().cast("array<string>")
 
+def _word(hit: Column) -> Column:
+    return hit.bitwiseAND(F.lit(0xFFFF)).cast("int")
 
-def document_counts(docs: DataFrame, vocabulary: list[str]) -> dict[str, int]:
-    """Documents that hold each of the templates' words. At most as many rows as the templates have words come to the driver."""
-    held = docs.select(F.explode(F.array_intersect(_words("text"), _array(vocabulary))).alias("word"))
-    return {r["word"]: r["n"] for r in held.groupBy("word").agg(F.count("*").alias("n")).collect()}
+
+def hits(docs: DataFrame, vocabulary: list[str], least: int) -> DataFrame:
+    """docs: id, text. Per row: row (a number), id, n_words, hits (the words of the vocabulary, in order, see _hit) and lines (array of (line, ws): the
+    numbers of the vocabulary's words, from 1, of each line that holds `least` of them)."""
+    plain = F.translate(F.coalesce("text", F.lit("")), _UPPER + _BETWEEN, _LOWER + " " * len(_BETWEEN))
+    known = F.split(F.lit(" ".join(vocabulary)), " ")
+    number = lambda w: F.array_position(known, w).cast("int")
+    split = docs.select(F.monotonically_increasing_id().alias("row"), "id", F.transform(F.split(plain, "\n"), lambda line: F.array_remove(F.split(line, " "), "")).alias("lines"))
+    worded = split.select("row", "id", F.flatten("lines").alias("words"), "lines")
+    found = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("place"), w.alias("w"))), lambda x: x["w"].isin(vocabulary))
+    held = F.filter(F.transform("lines", lambda ws, i: F.struct(i.alias("line"), F.array_intersect(ws, known).alias("ws"))), lambda x: F.size(x["ws"]) >= least)
+    return worded.select(
+        "row",
+        "id",
+        F.size("words").cast("long").alias("n_words"),
+        F.transform(found, lambda x: _hit(x["place"], number(x["w"]))).alias("hits"),
+        F.transform(held, lambda x: F.struct(x["line"].alias("line"), F.transform(x["ws"], number).alias("ws"))).alias("lines"),
+    )
+
+
+def document_counts(found: DataFrame) -> dict[int, int]:
+    """Documents that hold each word of the vocabulary. At most as many rows as it has words come to the driver."""
+    held = found.select(F.explode(F.array_distinct(F.transform("hits", _word))).alias("w"))
+    return {r["w"]: r["n"] for r in held.groupBy("w").agg(F.count("*").alias("n")).collect()}
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, list[str]] = TEMPLATES, containment: float = CONTAINMENT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row: id, n_words, places (array of word places of phrases), blocks (lines: array<struct<block, label, share>>), runs (array<struct<label, share>>:
-    of the templates that some run of as many words meets, wherever lines end, the best run)."""
-    rows = docs.select(F.col(id_col).alias("id"), F.translate(F.coalesce(text_col, F.lit("")), *_LOWER).alias("text"))
-    sets = [(label, sorted(set(text.split()))) for label, texts in templates.items() for text in texts]
-    lengths = [len(text.split()) for texts in templates.values() for text in texts]
-    counts = document_counts(rows, sorted({w for _, words in sets for w in words}))
-    ordered = [(label, sorted(words, key=lambda w: (counts.get(w, 0), w)), _needed(len(words), containment)) for label, words in sets]
-    prefix = sorted({w for _, words, needed in ordered for w in words[: len(words) - needed + 1]})
-    worded = rows.withColumn("words", _words("text"))
-    worded = worded.withColumn("runs", F.when(F.arrays_overlap("words", _array(prefix)), _runs(F.col("words"), ordered, lengths)))
-    counted = worded.select(
-        "id", "text", F.size("words").cast("long").alias("n_words"), F.arrays_overlap("words", _array(prefix)).alias("candidate"), F.when(F.col("text").rlike(_any_phrase()), F.col("words")).alias("words"), "runs"
+    """Per row: id, n_words, places (array of word places of phrases), blocks (array<struct<line, label, share>>: lines, from 0, that meet a template) and
+    runs (array<struct<label, share, place>>: the templates that some run of as many words meets, wherever lines end, with the best run's share and first word)."""
+    every = [(label, text.split()) for label, texts in templates.items() for text in texts]
+    vocabulary = sorted({w for _, words in every for w in words} | {w for phrase in PHRASES for w in phrase.split()})
+    number = {w: k for k, w in enumerate(vocabulary, 1)}
+    needed = [_needed(len(set(words)), containment) for _, words in every]
+    found = saved(hits(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), vocabulary, min(needed)))
+    counts = document_counts(found)
+    rank = {k: place for place, k in enumerate(sorted(number.values(), key=lambda k: (counts.get(k, 0), vocabulary[k - 1])))}
+    ordered = [sorted((number[w] for w in set(words)), key=rank.__getitem__) for _, words in every]
+    rows = [
+        {"w": own[i], "template": t, "label": label, "i": i, "n": len(own), "needed": least, "length": len(words), "own": own}
+        for t, ((label, words), own, least) in enumerate(zip(every, ordered, needed, strict=True))
+        for i in range(len(own) - least + 1)
+    ]
+    kinds = "array<struct<w:int,template:int,label:string,i:int,n:int,needed:int,length:int,own:array<int>>>"
+    # as many rows as all templates have words at most, whatever the documents
+    prefixes = F.broadcast(docs.sparkSession.range(1).select(F.inline(F.from_json(F.lit(json.dumps(rows)), kinds))))
+    first = _numbers(sorted({r["w"] for r in rows}))
+    ranks = _numbers([rank[k] for k in sorted(number.values())])
+    rank_of = lambda w: F.get(ranks, w - 1)
+    met = _met_lines(found, prefixes, first, rank_of).unionByName(_met_runs(found, prefixes, first, rank_of, max((len(w) for _, w in every), default=1)))
+    by_row = met.groupBy("row").agg(
+        F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("line", "label", "share")))).alias("blocks"),
+        F.array_sort(F.collect_list(F.when(F.col("line").isNull(), F.struct("label", "share", "place")))).alias("runs"),
     )
-    lines = F.when(F.col("candidate"), F.filter(F.split("text", "\n"), lambda line: F.arrays_overlap(_words(line), _array(prefix))))
-    blocks = F.flatten(F.transform(lines, lambda line: _met(line, ordered)))
-    empty = F.array().cast("array<struct<block:string,label:string,share:double>>")
-    places = [(label, _places(F.col("words"), phrase.split())) for phrase, label in PHRASES.items()]
-    found = F.when(F.col("words").isNull(), F.array().cast("array<struct<place:long,label:string>>")).otherwise(
-        F.concat(*(F.transform(p, _labelled(label)) for label, p in places))
+    places = F.concat(*(F.transform(_places(F.col("hits"), [number[w] for w in phrase.split()]), _labelled(label)) for phrase, label in PHRASES.items()))
+    based = found.select("row", "id", "n_words", places.alias("places"))
+    return based.join(by_row, "row", "left").select(
+        F.col("id").alias(id_col), "n_words", "places", F.coalesce("blocks", _no("struct<line:int,label:string,share:double>")).alias("blocks"), F.coalesce("runs", _no("struct<label:string,share:double,place:long>")).alias("runs")
     )
-    no_runs = F.array().cast("array<struct<label:string,share:double>>")
-    return counted.select(F.col("id").alias(id_col), "n_words", found.alias("places"), F.coalesce(blocks, empty).alias("blocks"), F.coalesce("runs", no_runs).alias("runs"))
 
 
-def _any_phrase() -> str:
-    """A pattern that a text must match to hold a phrase; words that merely contain a phrase's ends may match too."""
-    return "|".join(GAP.join(phrase.split()) for phrase in PHRASES)
+def _filtered(blocks: DataFrame, prefixes: DataFrame, rank_of: Callable[[Column], Column]) -> DataFrame:
+    """blocks: ws (the vocabulary's words of a block), w (one of them) and what tells them apart. Pairs with templates that have w in their prefix,
+    by the length and the positional filter. The latter holds for a pair's first shared word, if it meets; rows of others need not stay."""
+    order = F.array_sort(F.transform("ws", rank_of))
+    placed = blocks.withColumns({"m": F.size("ws"), "j": F.array_position(order, rank_of(F.col("w"))).cast("int") - 1})
+    joined = placed.join(prefixes, "w")
+    return joined.where((F.col("m") >= F.col("needed")) & (F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j")) >= F.col("needed")))
 
 
-def _labelled(label: str):
-    return lambda x: F.struct(x.cast("long").alias("place"), F.lit(label).alias("label"))
+def _met_lines(found: DataFrame, prefixes: DataFrame, first: Column, rank_of: Callable[[Column], Column]) -> DataFrame:
+    """Lines that meet a template: row, line, label, share, place (null)."""
+    blocks = found.select("row", F.inline("lines")).select("row", "line", "ws", F.explode(F.array_intersect("ws", first)).alias("w"))
+    shared = F.size(F.array_intersect("own", "ws"))
+    pairs = _filtered(blocks, prefixes, rank_of).where(shared >= F.col("needed"))
+    checked = pairs.select("row", "line", "template", "label", (shared / F.col("n").cast("double")).alias("share")).distinct()
+    return checked.select("row", "line", "label", "share", F.lit(None).cast("long").alias("place"))
 
 
-def _is_at(words: Column, k: int, word: str):
-    return lambda i: F.get(words, i + k) == word
+def _met_runs(found: DataFrame, prefixes: DataFrame, first: Column, rank_of: Callable[[Column], Column], longest: int) -> DataFrame:
+    """Templates that a run meets: row, line (null), label, share, place (of the best run's first word)."""
+    heads = F.filter(F.transform("hits", lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda h: F.array_contains(first, _word(h["x"])))
 
+    def near(h: Column) -> Column:
+        # as many hits as any run with this word can hold, before and after it
+        start = F.greatest(h["i"] - longest + 2, F.lit(1))
+        return F.struct(_word(h["x"]).alias("w"), _place(h["x"]).alias("here"), F.slice("hits", start, h["i"] + longest - start + 1).alias("near"))
 
-def _places(words: Column, phrase: list[str]) -> Column:
-    starts = F.when(F.size(words) >= len(phrase), F.sequence(F.lit(0), F.size(words) - len(phrase)))
-    at = F.filter(starts, lambda i: F.get(words, i) == phrase[0])
-    for k, word in enumerate(phrase[1:], 1):
-        at = F.filter(at, _is_at(words, k, word))
-    return F.coalesce(at, F.array().cast("array<int>"))
+    around = found.select("row", F.inline(F.transform(heads, near)))
+    within = F.filter("near", lambda x: (_place(x) > F.col("here") - longest) & (_place(x) < F.col("here") + longest))
+    # the stretch holds every run with this word, so what is bound for it is bound for them
+    blocks = around.withColumn("near", within).withColumn("ws", F.array_distinct(F.transform("near", _word)))
+    pairs = _filtered(blocks, prefixes, rank_of).where(F.size(F.array_intersect("own", "ws")) >= F.col("needed"))
+    mine = F.filter("near", lambda x: F.array_contains("own", _word(x)))
+    starts = F.filter("mine", lambda x: (_place(x) <= F.col("here")) & (_place(x) > F.col("here") - F.col("length")))
 
+    def run(x: Column) -> Column:
+        held = F.filter("mine", lambda y: (y >= x) & (_place(y) < _place(x) + F.col("length")))
+        return F.struct(F.size(F.array_distinct(F.transform(held, _word))).alias("shared"), (-_place(x)).alias("back"))
 
-def _met(line: Column, ordered: list[tuple[str, list[str], int]]) -> Column:
-    """The templates that a line meets."""
+    best = F.array_max(F.transform(starts, run))
+    runs = pairs.withColumn("mine", mine).select("row", "template", "label", "n", "needed", best.alias("best")).where(F.col("best.shared") >= F.col("needed"))
+    most = runs.groupBy("row", "template", "label", "n").agg(F.max("best").alias("best"))
+    return most.select("row", F.lit(None).cast("int").alias("line"), "label", (F.col("best.shared") / F.col("n").cast("double")).alias("share"), (-F.col("best.back")).alias("place"))
 
-    def one(label: str, words: list[str], needed: int) -> Column:
-        n = len(words)
-        # place of the first shared word, in the template's order; it must leave enough words behind it
-        enough = F.arrays_overlap(_words(line), _array(words[: n - needed + 1])) & (F.size(F.array_distinct(_words(line))) >= needed)
-        share = F.size(F.array_intersect(_array(words), _words(line))) / F.lit(float(n))
-        return F.when(enough & (share * n >= needed), F.struct(line.alias("block"), F.lit(label).alias("label"), share.alias("share")))
 
-    return F.filter(F.array(*(one(*x) for x in ordered)), lambda x: x.isNotNull())
+def _labelled(label: str):
+    return lambda x: F.struct(x.cast("long").alias("place"), F.lit(label).alias("label"))
 
 
-def _runs(words: Column, ordered: list[tuple[str, list[str], int]], lengths: list[int]) -> Column:
-    """The templates that a run of as many words as the template has meets, with the greatest share. Such a run may begin with a template's word."""
+def _places(hits: Column, phrase: list[int]) -> Column:
+    """Where the words of a phrase stand one after the other."""
+    at = F.filter(F.transform(hits, lambda x, i: F.struct(x.alias("x"), i.alias("i"))), lambda h: _word(h["x"]) == phrase[0])
+    for k, w in enumerate(phrase[1:], 1):
+        at = F.filter(at, _follows(hits, k, w))
+    return F.transform(at, lambda h: _place(h["x"]))
 
-    def one(label: str, own: list[str], needed: int, length: int) -> Column:
-        template = _array(own)
-        starts = F.filter(F.transform(words, lambda w, i: F.when(w.isin(own), i + 1)), lambda i: i.isNotNull())
-        most = F.array_max(F.transform(starts, lambda i: F.size(F.array_intersect(template, F.slice(words, i, F.lit(length))))))
-        # only where the whole text holds enough of the template's words
-        best = F.when(F.size(F.array_intersect(template, words)) >= needed, most)
-        share = best / F.lit(float(len(own)))
-        return F.when(best >= needed, F.struct(F.lit(label).alias("label"), share.alias("share")))
 
-    return F.filter(F.array(*(one(*x, length) for x, length in zip(ordered, lengths, strict=True))), lambda x: x.isNotNull())
+def _follows(hits: Column, k: int, w: int):
+    return lambda h: F.get(hits, h["i"] + k) == _hit(_place(h["x"]) + k, F.lit(w))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Counts, places and labels from scan_licenses()."""
     labels = F.transform("places", lambda x: x["label"])
-    more = F.concat(F.transform("blocks", lambda x: x["label"]), F.transform("runs", lambda x: x["label"]))
-    shares = F.concat(F.transform("blocks", lambda x: x["share"]), F.transform("runs", lambda x: x["share"]))
+    more = F.concat("blocks.label", "runs.label")
+    shares = F.concat("blocks.share", "runs.share")
     place = F.transform("places", lambda x: x["place"])
     return found.select(
         id_col,
@@ -156,7 +242,7 @@ def oracle_sql(containment: float = CONTAINMENT) -> str:
     met = ", ".join(f"('{label}', {words!r}, {_needed(len(words), containment)}, {len(words)})" for label, words in sets)
     phrases = ", ".join(f"({p.split()!r}, {len(p.split())}, '{label}')" for p, label in PHRASES.items())
     return f"""
-WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{_LOWER[0]}', '{_LOWER[1]}') AS text FROM documents),
+WITH d AS (SELECT doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') AS text FROM documents),
 w AS (SELECT doc_id, text, regexp_extract_all(text, '{word}') AS words FROM d),
 phrase(parts, n, label) AS (VALUES {phrases}),
 template(label, words, needed, n) AS (VALUES {met}),

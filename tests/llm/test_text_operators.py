@@ -228,7 +228,7 @@ def test_filters_lose_no_block(documents):
     words = "a b c d e f g h".split()
     rows = [(k, "\n".join(" ".join(rng.choices([*words, "x", "y"], k=rng.randint(0, 8))) for _ in range(3))) for k in range(120)]
     templates = {"p": ["a b c d e"], "q": ["c d e f g h"], "r": ["h"]}
-    got = {r["doc_id"]: Counter((b["block"], b["label"]) for b in r["blocks"]) for r in license_scan.scan_licenses(documents(*rows), templates, 0.7).collect()}
+    got = {r["doc_id"]: Counter((dict(rows)[r["doc_id"]].split("\n")[b["line"]], b["label"]) for b in r["blocks"]) for r in license_scan.scan_licenses(documents(*rows), templates, 0.7).collect()}
     for k, text in rows:
         want = Counter((line, label) for line in text.split("\n") for label, (t,) in templates.items() if len(set(line.split()) & set(t.split())) >= 0.7 * len(set(t.split())))
         assert got[k] == want
