@@ -6,11 +6,12 @@ sides, and so on down to `seed` words. Tiles may lie in any order, so a passage
 like one in place. The pair counts if the tiles cover at least `coverage` of the item's words.
 
 Words are runs of letters and digits after lower-casing. The benchmark goes to the workers in blocks of at most BLOCK_BYTES of
-text, one pass over the documents for each block, so a large one costs passes, not memory.
+text, one pass over the documents for each block, so a large one costs passes, not memory; where documents are filtered, what one of several blocks leaves is saved
+before the next one. A pair's tiles take memory in proportion to its two texts, also if one word is repeated throughout.
 
-Null or empty documents match nothing. Items without words match nothing; an item shorter than a seed is
-matched as a whole. Items with equal texts are separate items. Rows without an id take part and keep their null. Further columns
-are ignored.
+Null or empty documents match nothing. Very long texts are compared whole. Equal documents match alike. Items without words match nothing; an item shorter than a seed is
+matched as a whole. Items with equal texts are separate items. Without documents or items there are no rows. Rows without an id take part and keep their null. Further columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import Broadcast, cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import filter_arrow, map_arrow
+from quire.llm.common import filter_arrow, map_arrow, saved
 from quire.llm.wordhash import LETTER_OR_DIGIT, WordHasher, grams
 from quire.shipping import ship
 
@@ -40,36 +41,47 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
     free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
     out = []
 
-    def common(length: int) -> list[tuple[int, int]]:
-        """Starts of unmarked common runs of this length, in order."""
-        if length > min(len(doc), len(item)):
-            return []
-        runs, sides = [], []
+    def unmarked(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of doc and of item: places where unmarked runs of this length begin, and the runs' hashes."""
+        out = []
         for words, free in ((doc, free_doc), (item, free_item)):
-            runs.append(grams(words, length))
-            sides.append(np.flatnonzero(np.convolve(~free, np.ones(length, int))[length - 1 : len(words)] == 0))
-        at = sides[1][np.argsort(runs[1][sides[1]], kind="stable")]
-        keys = runs[1][at]
-        probe = runs[0][sides[0]]
-        low, high = np.searchsorted(keys, probe, "left"), np.searchsorted(keys, probe, "right")
-        k = np.flatnonzero(high > low)
-        return [(int(sides[0][i]), int(at[j])) for i in k for j in range(low[i], high[i])]
+            taken = np.concatenate([[0], np.cumsum(~free)])
+            at = np.flatnonzero(taken[length:] == taken[:-length]) if length <= len(words) else np.zeros(0, np.int64)
+            out += [at, grams(words, length)[at]]
+        return tuple(out)
+
+    def common(length: int) -> bool:
+        _, a, _, b = unmarked(length)
+        return bool(np.isin(a, b).any())
+
+    def mark(length: int) -> bool:
+        """Mark common runs of this length, in order; no list of pairs is made. Whether there was any."""
+        at, runs, item_at, item_runs = unmarked(length)
+        order = np.argsort(item_runs, kind="stable")
+        keys, item_at = item_runs[order], item_at[order]
+        low, high = np.searchsorted(keys, runs, "left"), np.searchsorted(keys, runs, "right")
+        before, left = len(out), int(free_item.sum())
+        for i in np.flatnonzero(high > low).tolist():
+            if left < length:
+                break
+            p = int(at[i])
+            if not free_doc[p] or not free_doc[p + length - 1]:  # what is marked here is at least as long
+                continue
+            for q in item_at[low[i] : high[i]].tolist():
+                if free_item[q] and free_item[q + length - 1] and (doc[p : p + length] == item[q : q + length]).all():
+                    free_doc[p : p + length] = free_item[q : q + length] = False
+                    out.append((p, q, length))
+                    left -= length
+                    break
+        return len(out) > before
 
     longest = min(len(doc), len(item))
-    while longest >= least:
+    while longest >= least and common(least):
         low, high = least, longest  # the longest length that still has a common run
-        if not common(least):
-            break
         while low < high:
             middle = (low + high + 1) // 2
             low, high = (middle, high) if common(middle) else (low, middle - 1)
-        for p, q in common(low):
-            if free_doc[p : p + low].all() and free_item[q : q + low].all() and (doc[p : p + low] == item[q : q + low]).all():
-                free_doc[p : p + low] = free_item[q : q + low] = False
-                out.append((p, q, low))
-        longest = low
-        if not out or out[-1][2] != low:  # only hash collisions at this length
-            longest = low - 1
+        longest = low if mark(low) else low - 1  # else only hashes collided
     return out
 
 
@@ -128,9 +140,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: flo
 
 def clean(docs: DataFrame, benchmark: DataFrame, seed: int = SEED, coverage: float = COVERAGE, text_col: str = "text", item_col: str = "item_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs without those that leak a test item, with their columns. Each block of the benchmark is one pass without a shuffle."""
+    left = None
     for data, _ in _blocks(benchmark, item_col, text_col, seed, block_bytes):
-        docs = filter_arrow(docs, text_col, _clean_ones(data, seed, coverage))
-    return docs
+        # a worker holds one block at a time
+        left = filter_arrow(docs if left is None else saved(left), text_col, _clean_ones(data, seed, coverage))
+    return docs if left is None else left
 
 
 def _clean_ones(data: Broadcast, seed: int, coverage: float):
