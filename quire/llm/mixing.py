@@ -9,7 +9,8 @@ only one round of each kind is scheduled. No document is dropped or repeated.
 
 Sources not in the weights, null included, are pooled as one source with the weight `other`, so the schedule's size depends on the weights
 alone. Documents are ranked in bins of a source, by their md5's first digits, never a whole source in one task. Rows without an id come last
-in their bin; rows of one id stand side by side in any order. Other columns, whatever their names, pass through unchanged, but for those of the result's names, which are replaced. An empty table gives an empty one.
+in their bin; rows of one id stand side by side in the order of a hash of the whole row, so that a task that is run again deals the same places. Weights below 1 are
+refused: a source without a weight would have no place. A very long text is carried along as it is. Other columns, whatever their names, pass through unchanged, but for those of the result's names, which are replaced. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ OTHER = "(other)"
 #: Rows of a source that are ranked together, about.
 BIN_ROWS = 1024
 _DIGITS = 7
+#: Bins of a source whose sizes are added up in one task.
+BIN_GROUP = 1024
 
 
 def round_kinds(blocks: dict[str, int], weights: dict[str, int]) -> list[tuple[int, int, list[int]]]:
@@ -65,10 +68,17 @@ def schedule(spark: SparkSession, kinds: list[tuple[int, int, list[int]]]) -> Da
     return slots.withColumn("nth", F.row_number().over(Window.partitionBy("kind", "source").orderBy("at")) - 1)
 
 
+def _tie(docs: DataFrame) -> Column:
+    """A hash of the row, of all columns that can be hashed."""
+    return F.xxhash64(*(F.col(f"`{f.name.replace('`', '``')}`") for f in docs.schema.fields if "map<" not in f.dataType.simpleString() and "variant" not in f.dataType.simpleString()))
+
+
 def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block: int = BLOCK, id_col: str = "doc_id", source_col: str = "source") -> DataFrame:
     """docs with mix_source, mix_block (from 0, in its source), mix_slot (the block's place in the mix, from 0) and mix_place (in its block)."""
     spark = docs.sparkSession
     weights = weights | {OTHER: other}
+    if bad := {s: w for s, w in weights.items() if w < 1}:
+        raise ValueError(f"weights must be whole numbers from 1 on: {bad}")
     names = list(weights)
     docs = docs.drop("mix_source", "mix_block", "mix_slot", "mix_place")
     source = F.when(F.col(source_col).isin(*(x for x in names if x != OTHER)), F.col(source_col)).otherwise(F.lit(OTHER))
@@ -82,10 +92,16 @@ def mix(docs: DataFrame, weights: dict[str, int], other: int = 1, block: int = B
     bins = max(1, -(-sum(counts.values()) // BIN_ROWS))
     # ascending with the digest, so that bins follow one another in its order
     in_bin = F.coalesce(F.floor(F.conv(F.substring(digest, 1, _DIGITS), 16, 10).cast("long") * bins / 16**_DIGITS), F.lit(bins - 1).cast("long"))
-    rows = docs.select(source.alias("mix_source"), digest.alias("_digest"), in_bin.alias("_bin"), F.struct("*").alias("_doc"))
+    rows = docs.select(source.alias("mix_source"), digest.alias("_digest"), in_bin.alias("_bin"), _tie(docs).alias("_tie"), F.struct("*").alias("_doc"))
     sizes = docs.select(source.alias("mix_source"), in_bin.alias("_bin")).groupBy("mix_source", "_bin").agg(F.count("*").alias("n"))
-    before = sizes.select("mix_source", "_bin", (F.sum("n").over(Window.partitionBy("mix_source").orderBy("_bin")) - F.col("n")).alias("_before"))
-    ranked = rows.join(before, ["mix_source", "_bin"]).withColumn("_rank", F.col("_before") + F.row_number().over(Window.partitionBy("mix_source", "_bin").orderBy(F.col("_digest").asc_nulls_last())) - 1)
+    # running sums over groups of bins, then within each: no task has all bins of a source
+    sizes = sizes.withColumn("_group", F.floor(F.col("_bin") / BIN_GROUP))
+    sums = sizes.groupBy("mix_source", "_group").agg(F.sum("n").alias("n"))
+    starts = sums.select("mix_source", "_group", (F.sum("n").over(Window.partitionBy("mix_source").orderBy("_group")) - F.col("n")).alias("_start"))
+    within = sizes.withColumn("_within", F.sum("n").over(Window.partitionBy("mix_source", "_group").orderBy("_bin")) - F.col("n"))
+    before = within.join(starts, ["mix_source", "_group"]).select("mix_source", "_bin", (F.col("_start") + F.col("_within")).alias("_before"))
+    in_order = Window.partitionBy("mix_source", "_bin").orderBy(F.col("_digest").asc_nulls_last(), "_tie")
+    ranked = rows.join(before, ["mix_source", "_bin"]).withColumn("_rank", F.col("_before") + F.row_number().over(in_order) - 1)
     weight = F.coalesce(*(F.when(F.col("mix_source") == s, F.lit(w)) for s, w in weights.items()))
     firsts, slots, lengths = (F.array(*(F.lit(x).cast("long") for x in column)) for column in ([x[0] for x in kinds], [x[1] for x in kinds], [sum(x[2]) for x in kinds]))
     number = F.floor(F.col("_rank") / block)
