@@ -5,11 +5,13 @@ first PROFILE of them; ties go to the smaller n-gram. A text is put down to the
 out-of-place distance: the sum, over the text's profile, of how far each n-gram's rank is from its rank there, or PROFILE if it isn't there.
 
 Language profiles count every n-gram of every training text; each task adds up its own counts before they are shuffled by language and n-gram.
-Per language only the profile itself (PROFILE rows) comes to the driver; the number of languages is bounded by MAX_LANGUAGES.
+Profiles (PROFILE n-grams a language) go to the workers in blocks of BLOCK_LANGUAGES languages, and every text is compared with block after block, so any number of
+languages is told apart and neither the driver nor a worker holds more than a block's.
 
 Null texts and texts without a letter get the language `und` and score 0. The score is 1 - best / second distance, with a
 single language 1 - best / largest possible distance. Ties between languages go to the first by name. Without any training text all are `und`.
-Texts are read whole. Repeated rows stay repeated rows. Other columns are ignored.
+Texts are read whole, very long ones too. Repeated rows stay repeated rows; rows without an id keep their null. An empty table gives an empty one. Other columns, whatever their names,
+are ignored.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -26,7 +29,8 @@ from quire.shipping import ship
 
 ORDERS = 3
 PROFILE = 300
-MAX_LANGUAGES = 4096
+#: Languages whose profiles a worker compares at once: some 10 MB.
+BLOCK_LANGUAGES = 4096
 UNKNOWN = "und"
 _BITS = 21  # of a code point
 _SPACE = 32
@@ -81,20 +85,25 @@ class Profiles:
         for k, name in enumerate(self.names):
             self.ranks[np.searchsorted(self.grams, np.array(ranked[name], np.int64)), k] = np.arange(len(ranked[name]))
 
-    def nearest(self, own: np.ndarray) -> tuple[str, float]:
+    def two_nearest(self, own: np.ndarray) -> list[tuple[int, str]]:
+        """Distance and name of the nearest language, and of the next one if there are two."""
         at = np.minimum(np.searchsorted(self.grams, own), max(len(self.grams) - 1, 0))
         at = np.where(self.grams[at] == own, at, len(self.grams))
         ranks = self.ranks[at]
         places = np.arange(len(own), dtype=np.int32)[:, None]
         distance = np.where(ranks >= 0, np.abs(ranks - places), self.n).sum(axis=0)
-        order = np.argsort(distance, kind="stable")
-        best = distance[order[0]]
-        other = distance[order[1]] if len(order) > 1 else self.n * len(own)
-        return self.names[order[0]], 1.0 - float(best) / float(other) if other else 0.0
+        return [(int(distance[k]), self.names[k]) for k in np.argsort(distance, kind="stable")[:2]]
 
 
-def train(docs: DataFrame, n: int = PROFILE, text_col: str = "text", lang_col: str = "lang") -> dict[str, list[int]]:
-    """The profile of each non-null language of docs."""
+def decided(found: list[tuple[int, str]], most: int) -> tuple[str, float]:
+    """The language and its score, from the nearest ones of all blocks and the largest possible distance."""
+    (best, name), *others = sorted(found)
+    other = others[0][0] if others else most
+    return name, 1.0 - best / other if other else 0.0
+
+
+def train(docs: DataFrame, n: int = PROFILE, text_col: str = "text", lang_col: str = "lang", block: int = BLOCK_LANGUAGES) -> list[Broadcast]:
+    """The profile of each non-null language of docs, in blocks of languages: name to n-grams, most frequent first."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = letter_table()
@@ -127,12 +136,13 @@ def train(docs: DataFrame, n: int = PROFILE, text_col: str = "text", lang_col: s
     rows = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
     counted = map_arrow(rows, count, "lang string, gram long, n long").groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     ranked = counted.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "gram"))).where(F.col("rank") <= n)
-    out: dict[str, list[int]] = {}
-    for row in ranked.orderBy("lang", "rank").limit(n * (MAX_LANGUAGES + 1)).collect():
-        out.setdefault(row["lang"], []).append(row["gram"])
-    if len(out) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    return out
+    spark, blocks, held = docs.sparkSession, [], {}
+    for row in ranked.orderBy("lang", "rank").toLocalIterator():
+        if row["lang"] not in held and len(held) == block:
+            blocks.append(spark.sparkContext.broadcast(held))
+            held = {}
+        held.setdefault(row["lang"], []).append(row["gram"])
+    return [*blocks, spark.sparkContext.broadcast(held)] if held else blocks
 
 
 def _add(totals: dict, lang: str, parts: list[np.ndarray]) -> None:
@@ -144,20 +154,27 @@ def _add(totals: dict, lang: str, parts: list[np.ndarray]) -> None:
     totals[lang] = values, counts.astype(np.int64)
 
 
-def predict(docs: DataFrame, profiles: dict[str, list[int]], n: int = PROFILE, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
+def predict(docs: DataFrame, profiles: list[Broadcast], n: int = PROFILE, id_col: str = "doc_id", text_col: str = "text", keep: dict[str, Column] | None = None) -> DataFrame:
     """Per row: id, the columns of keep, lang_pred, score."""
-    ranked = dict(profiles)
     keep = keep or {}
     extra = list(keep)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, known = letter_table(), Profiles(ranked, n)
+        table = letter_table()
+        only = Profiles(profiles[0].value, n) if len(profiles) == 1 else None
         for batch in batches:
-            found = []
+            own: list[np.ndarray | None] = []
             for value in batch.column(batch.num_columns - 1):
                 raw = value.as_buffer()
                 codes = letters(raw.to_pybytes().decode(), table) if raw is not None else ()
-                found.append(known.nearest(profile(ngrams(codes), n)) if len(codes) and known.names else (UNKNOWN, 0.0))
+                own.append(profile(ngrams(codes), n) if len(codes) and profiles else None)
+            near: list[list[tuple[int, str]]] = [[] for _ in own]
+            for block in profiles:
+                known = only or Profiles(block.value, n)
+                for k, grams in enumerate(own):
+                    if grams is not None:
+                        near[k] += known.two_nearest(grams)
+            found = [decided(x, n * len(grams)) if x else (UNKNOWN, 0.0) for x, grams in zip(near, own, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], names=["id", *extra, "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).alias("id"), *(c.alias(k) for k, c in keep.items()), F.col(text_col).alias("text"))
