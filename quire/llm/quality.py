@@ -7,14 +7,14 @@
 3. The ridge scores of calibration rows (a part of the training rows that the fit has not seen) are summed in SCORE_BINS bins of equal width,
    and pooled into a non-decreasing function of the score. Prediction interpolates in it.
 
-Null and empty texts have all-zero statistics and are scored like any other. Labels other than 0 and 1, null labels and labels without a
+Null and empty texts have all-zero statistics and are scored like any other; very long ones are read whole, one at a time. Equal texts have equal scores. An empty table gives an empty one. Labels other than 0 and 1, null labels and labels without a
 document are passed over; a document with several labels counts once for each. Without training rows of both kinds every score is the share
-of label 1, or 0.5 without any. Rows without an id are scored, never trained on. Repeated rows stay repeated rows. Other columns are ignored.
+of label 1, or 0.5 without any. Rows without an id are scored, never trained on. Repeated rows stay repeated rows. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -140,8 +140,12 @@ def document_statistics(docs: DataFrame, keep: dict[str, Column], id_col: str =
     return map_arrow(rows, work, f"{kinds}, stats binary")
 
 
-def _sums(rows: DataFrame, one: callable, parts: int = 8) -> np.ndarray:
-    """The sum over all rows of one(labels, statistics), a vector of fixed size; added up in each task, then by `parts` tasks, then here."""
+#: Vectors that one task of a round adds up, and that the driver does.
+MERGED = 16
+
+
+def _sums(rows: DataFrame, one: Callable[[np.ndarray, np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over all rows of one(labels, statistics), a vector of fixed size; added up in each task, then MERGED at a time in rounds, and the last of them here."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
@@ -161,7 +165,10 @@ def _sums(rows: DataFrame, one: callable, parts: int = 8) -> np.ndarray:
         if total is not None:
             yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
-    merged = map_arrow(map_arrow(rows.select("label", "stats"), add, "sums binary").repartition(parts), merge, "sums binary")
+    merged, left = map_arrow(rows.select("label", "stats"), add, "sums binary"), rows.rdd.getNumPartitions()
+    while left > MERGED:
+        left = -(-left // MERGED)
+        merged = map_arrow(merged.repartition(left), merge, "sums binary")
     got = [_array(r["sums"]) for r in merged.collect()]
     return sum(got) if got else one(np.zeros(0), np.zeros((0, STATISTICS)))
 
