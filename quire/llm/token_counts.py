@@ -1,10 +1,12 @@
 """Token counts: batch encoding in Arrow functions that return lengths only.
 
 Texts are gathered until a batch holds ENCODE_BYTES, whatever their number, so that batches cost alike. A text
-over SPLIT_CHARS is cut in front of single spaces between two other characters. Byte-level pre-tokenizers without a
-prefix space never put such a space behind another character into one token, so the parts' counts add up to the whole's.
+over SPLIT_CHARS is cut in front of single spaces between two other characters. Byte-level pre-tokenizers that split by pattern, without a
+prefix space, never put such a space behind another character into one token, so the parts' counts add up to the whole's. Other tokenizers, and those with an added
+token that holds or strips spaces, get every text whole.
 
-Null and empty texts have 0 bytes and 0 tokens. Repeated rows stay repeated rows. Columns besides id and text are ignored.
+Null and empty texts have 0 bytes and 0 tokens. Repeated rows stay repeated rows; rows without an id keep their null. An empty table gives an empty one. Columns besides id and
+text, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -46,7 +48,8 @@ def lengths_with(kind: str, model: bytes):
         tokenizer.no_truncation()
         tokenizer.no_padding()
         state = (tokenizer.pre_tokenizer, tokenizer.normalizer)
-        cut = type(state[0]).__name__ == "ByteLevel" and not state[0].add_prefix_space and state[1] is None
+        spaced = any(x.lstrip or x.rstrip or any(c.isspace() for c in x.content) for x in tokenizer.get_added_tokens_decoder().values())
+        cut = type(state[0]).__name__ == "ByteLevel" and not state[0].add_prefix_space and state[0].use_regex and state[1] is None and not spaced
         return lambda texts: [len(x) for x in tokenizer.encode_batch_fast(texts, add_special_tokens=False)], cut
     from sentencepiece import SentencePieceProcessor
 
