@@ -114,21 +114,6 @@ def page_extents(spark, sf):
     return layout.page_extents(adapter.lines(table(spark, sf, "documents")))
 
 
-@query()
-def running_lines(spark, sf):
-    """Running heads and feet of the pages, with heads and page numbers put in."""
-    docs = table(spark, sf, "documents")
-    pages = adapter.layouts(docs)
-    span = lambda t: F.array(F.struct(t.alias("text"), F.lit(False).alias("sup"), F.lit(False).alias("i"), F.lit(False).alias("b")))
-    base = pages.select("doc_id", "page")
-
-    def put(no: int, y: float, t) -> DataFrame:
-        return base.select("doc_id", "page", F.lit(no).alias("line_no"), span(t).alias("spans"), F.lit(72.0).alias("x0"), F.lit(y).alias("y0"), F.lit(540.0).alias("x1"), F.lit(y + 9).alias("y1"), F.lit(9.0).alias("size"), F.lit(90.0).alias("conf"), F.lit(None).cast("bigint").alias("para"))
-
-    lines = adapter.lines(docs).unionByName(put(1000, 40.0, F.lit("THE RUNNING HEAD"))).unionByName(put(1001, 770.0, (F.col("page") + 17).cast("string")))
-    return layout.running_lines(lines, pages).select("doc_id", "page", "line_no", "number")
-
-
 @query(f"""WITH {LINES_SQL}, d AS (SELECT doc_id, idx AS page, CASE WHEN n % 5 = 0 THEN NULL WHEN n % 7 = 0 THEN 'iv' WHEN n % 4 = 0 THEN (idx * 3)::VARCHAR ELSE (idx + 16)::VARCHAR END AS shown FROM lines),
 o AS (SELECT doc_id, page, shown::INT - page AS off FROM d WHERE regexp_full_match(shown, '[0-9]+')),
 c AS (SELECT doc_id, off, count(*) AS times, min(page) AS first FROM o GROUP BY doc_id, off),

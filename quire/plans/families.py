@@ -9,7 +9,7 @@ from quire.functions import hashing, text
 from quire.operators import blocks, bundle, layout
 from quire.plans import adapter
 from quire.plans.adapter import LINES_SQL
-from quire.plans.catalog import query, table
+from quire.plans.catalog import _NUMBER_SQL, query, table
 from quire.schemas import BLOCKS, struct
 from quire.sources import files, ocr, pdf_items, state
 
@@ -500,3 +500,38 @@ def stripped_prefixes(spark, sf):
     span = lambda a, n: F.struct(F.substring("text", F.lit(a), n if not isinstance(n, int) else F.lit(n)).alias("text"), F.lit(False).alias("sup"), F.lit(False).alias("i"), F.lit(False).alias("b"))
     cut = layout.strip_prefix(F.array(span(1, 2), span(3, 2), span(5, F.length("text"))), F.lit(3))
     return rows.select("doc_id", "page", "line_no", text.line_text(cut).alias("rest"))
+
+
+_BIGRAMS_SQL = "[substr({0}, i, 2) for i in range(1, length({0}))]"
+
+
+@query(rf"""WITH {LINES_SQL}, pages AS (SELECT DISTINCT doc_id, page FROM lines),
+every AS (SELECT doc_id, page, line_no, text, y0, y1, size FROM lines UNION ALL SELECT doc_id, page, 1000, 'THE RUNNING HEAD', 40.0, 49.0, 9.0 FROM pages UNION ALL SELECT doc_id, page, 1001, (page + 17)::VARCHAR, 770.0, 779.0, 9.0 FROM pages),
+placed AS (SELECT *, row_number() OVER down AS place, row_number() OVER up AS from_end, count(*) OVER p AS n, min(y0) OVER p AS top_edge, max(y1) OVER p AS bottom_edge, median(size) OVER p AS page_size, lead(y0) OVER down - y1 AS below, y0 - lag(y1) OVER down AS above,
+  regexp_replace(regexp_replace(text, '^[\s–—-]+', ''), '[\s–—-]+$', '') AS t FROM every
+  WINDOW p AS (PARTITION BY doc_id, page), down AS (PARTITION BY doc_id, page ORDER BY y0, line_no), up AS (PARTITION BY doc_id, page ORDER BY y0 DESC, line_no DESC)),
+ends AS (SELECT *, place <= 2 AS top, (y0 + y1) / 2 AS centre, greatest(0.10 * 792, 0.07 * greatest(1.0, bottom_edge - top_edge)) AS zone FROM placed WHERE place <= 2 OR from_end <= 2),
+c AS (SELECT *, coalesce(CASE WHEN top THEN below ELSE above END, 'inf'::DOUBLE) AS gap,
+  trim(regexp_replace(regexp_replace(regexp_replace(lower(text), '[0-9]+', '', 'g'), '\b[ivxlcdm]+\b', '', 'g'), '[^\p{{L}}]+', ' ', 'g')) AS norm,
+  regexp_extract(t, '(?i)^(?:page\s+)?([0-9]{{1,4}}|[ivxlcdm]{{1,7}})(?:\s|$)', 1) AS head, regexp_extract(t, '(?i)(?:^|\s)([0-9]{{1,4}}|[ivxlcdm]{{1,7}})$', 1) AS tail
+  FROM ends WHERE length(text) <= 120 AND CASE WHEN top THEN centre - top_edge < zone AND centre < 0.25 * 792 ELSE bottom_edge - centre < zone AND centre > 0.75 * 792 END),
+told AS (SELECT *, coalesce({_NUMBER_SQL.format('head')}, {_NUMBER_SQL.format('tail')}) AS number,
+  (CASE WHEN top THEN place = 1 ELSE from_end = 1 AND NOT regexp_matches(text, '^\s*[~_=·•''`"]?\s*([0-9]{{1,3}}|[*†‡§¶])([.)]\s*\S|\s+\S)') END) AND n >= 6 AND size <= 0.9 * page_size AND length(trim(text)) < 70 AND gap >= 1.2 * size AS apart FROM c),
+norms AS (SELECT DISTINCT doc_id, top, norm FROM told), others AS (SELECT DISTINCT doc_id, top, norm AS other, page FROM told),
+alike AS (SELECT a.doc_id, a.top, a.norm, b.other FROM norms a JOIN (SELECT DISTINCT doc_id, top, other FROM others) b USING (doc_id, top) WHERE length(a.norm) >= 3 AND (a.norm = b.other OR (length(b.other) >= 2 AND
+  2.0 * list_sum([least(len(list_filter({_BIGRAMS_SQL.format('a.norm')}, lambda h: h = g)), len(list_filter({_BIGRAMS_SQL.format('b.other')}, lambda h: h = g))) for g in list_distinct({_BIGRAMS_SQL.format('a.norm')})]) / (length(a.norm) + length(b.other) - 2) >= 0.75))),
+often AS (SELECT doc_id, top, norm, count(DISTINCT page) AS times FROM alike JOIN others USING (doc_id, top, other) GROUP BY doc_id, top, norm),
+needed AS (SELECT doc_id, greatest(2, ceil(0.25 * count(*))) AS needed FROM pages GROUP BY doc_id)
+SELECT told.doc_id, page, line_no, number FROM told JOIN needed USING (doc_id) LEFT JOIN often USING (doc_id, top, norm) WHERE (number IS NOT NULL AND norm = '') OR apart OR coalesce(times, 0) >= needed""")
+def running_lines(spark, sf):
+    """Running heads and feet of the pages, with heads and page numbers put in."""
+    docs = table(spark, sf, "documents")
+    pages = adapter.layouts(docs)
+    base = pages.select("doc_id", "page")
+
+    def put(no: int, y: float, t) -> DataFrame:
+        span = F.array(F.struct(t.alias("text"), F.lit(False).alias("sup"), F.lit(False).alias("i"), F.lit(False).alias("b")))
+        return base.select("doc_id", "page", F.lit(no).alias("line_no"), span.alias("spans"), F.lit(72.0).alias("x0"), F.lit(y).alias("y0"), F.lit(540.0).alias("x1"), F.lit(y + 9).alias("y1"), F.lit(9.0).alias("size"), F.lit(90.0).alias("conf"), F.lit(None).cast("bigint").alias("para"))
+
+    lines = adapter.lines(docs).unionByName(put(1000, 40.0, F.lit("THE RUNNING HEAD"))).unionByName(put(1001, 770.0, (F.col("page") + 17).cast("string")))
+    return layout.running_lines(lines, pages).select("doc_id", "page", "line_no", "number")
