@@ -1,6 +1,11 @@
 """Exact top-k search by inner product with norm buckets.
 
-A vector's components x become floor(scale * x). Candidates are dealt over groups by a hash of their id, and each group is read in order of falling
+A vector's components x become floor(scale * x). Candidates are grouped by length into bands, whose lengths lie within a factor of each other. The
+longest bands, GROUP_ROWS rows or more, are searched first, for all queries; each query's k-th best score there is its threshold. A query goes on
+to a shorter band only if the product of the band's greatest length and its own reaches the threshold; so a band's rows are sent only to blocks of queries that
+may find something in it.
+
+A band's rows are dealt over groups by a hash of their id, and each group is read in order of falling
 length. A group's rows fall into buckets: runs of at most BUCKET_ROWS rows whose lengths lie within a factor of each other.
 For each query and bucket, the query's k-th best score so far over the product of lengths is the least cosine that still counts, the local threshold:
 - over 1, no row of this or any later bucket can enter, and the group is done for the query (length pruning);
@@ -8,16 +13,17 @@ For each query and bucket, the query's k-th best score so far over the product o
   (coordinate pruning);
 - else all rows long enough are taken.
 What is left is verified by whole inner products. Each group gives k rows a query at most; the best k of all groups are the result.
-Queries meet the candidates in blocks of at most QUERY_ROWS, joined by block number.
+Queries meet the candidates in blocks of about QUERY_ROWS.
 
 Vectors that are null or hold null or non-finite components take no part, as queries or candidates. Rows without an id take no part. Shorter
-vectors count as filled up with zeros. A query's own id is no candidate for it. Repeated rows with one id and equal vectors count once; an id
-with several vectors is several candidates, and several queries, whose results stand together. Scores beyond a long are set to its ends.
-Ties go to the smaller id. A query without any candidate has no row. Other columns are ignored.
+vectors count as filled up with zeros, however long others are. A row is known by its id: a query's own id is no candidate for it, repeated rows with one id and equal
+vectors count once, and an id with several vectors is several candidates, and several queries, whose results stand together. Scores beyond a long are set to its ends.
+Ties go to the smaller id. A query without any candidate has no row. An empty table gives an empty one. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,12 +31,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_arrow
+from quire.llm.common import map_arrow, saved
 from quire.shipping import ship
 
 QUERY_ROWS = 2048
 #: Candidates of a group, about.
-GROUP_ROWS = 1 << 15
+GROUP_ROWS = 1 << 13
+#: A band ends where lengths fall below this part of its upper end.
+BAND_RATIO = 0.9
 BUCKET_ROWS = 1024
 #: Buckets end where lengths fall below this part of their first row's.
 BUCKET_RATIO = 0.9
@@ -151,7 +159,7 @@ def _searches(k: int, scale: float):
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in range(3)], names=["query_id", "vec_id", "score"])
 
         for batch in batches:
-            tasks = batch.column(0).to_numpy()
+            tasks = batch.column(0).to_numpy(zero_copy_only=False)
             for start, end in _runs(tasks):
                 if tasks[start] != task:
                     yield results()
@@ -189,25 +197,56 @@ def _sound(vector: Column) -> Column:
     return vector.isNotNull() & F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf")))
 
 
+def _search(rows: DataFrame, asking: DataFrame, groups: DataFrame, k: int, scale: float) -> DataFrame:
+    """query_id, vec_id, score: the best k of each group of the bands (groups: band, groups) that queries (asking: id, value, band, block) go to."""
+    placed = asking.join(groups, "band")
+    sent = placed.select("band", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)).alias("group"), "block", "id", "value")
+    # as many numbers a band as there are blocks of queries, not one a query
+    blocks = asking.groupBy("band").agg(F.collect_set("block").alias("blocks"))
+    dealt = rows.join(groups, "band").withColumn("group", F.pmod(F.xxhash64("id"), "groups").cast("int"))
+    met = dealt.join(blocks, "band").select("band", "group", F.explode("blocks").alias("block"), "id", "value", "length")
+    task = F.concat_ws(":", F.col("band").cast("string"), F.col("group").cast("string"), F.col("block").cast("string")).alias("task")
+    both = sent.select(task, F.lit(True).alias("query"), "id", "value", F.lit(0.0).alias("length")).unionByName(met.select(task, F.lit(False).alias("query"), "id", "value", "length"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ordered = both.repartition(parts, "task").sortWithinPartitions(F.col("task"), F.col("query").desc(), F.col("length").desc(), F.col("id"))
+    return map_arrow(ordered.select("task", "query", "id", "value"), _searches(k, scale), "query_id long, vec_id long, score long")
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
+    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
 def top_k(vectors: DataFrame, queries: Column, k: int = 10, scale: float = 1024.0, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score: the k highest inner products of each row for which `queries` holds."""
+    spark = vectors.sparkSession
     value = F.col(vector_col).cast("array<double>")
     rows = vectors.where(F.col(id_col).isNotNull() & _sound(value)).select(F.col(id_col).cast("long").alias("id"), value.alias("value"), queries.alias("asks")).dropDuplicates(["id", "value"])
     whole = F.transform("value", lambda x: F.floor(x * scale).cast("double"))
-    rows = rows.withColumn("length", F.aggregate(whole, F.lit(0.0), lambda a, x: a + x * x))
-    size = rows.agg(F.count("*").alias("all"), F.count(F.when(F.col("asks"), 1)).alias("asking")).first()
-    groups, blocks = max(1, -(-size["all"] // GROUP_ROWS)), max(1, -(-size["asking"] // QUERY_ROWS))
-    spread = lambda n, seed: F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(n))
-    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
-    asking = rows.where("asks").select((spread(blocks, 1)).alias("block"), "id", "value", each(groups).alias("group"))
-    others = rows.select(spread(groups, 2).alias("group"), "id", "value", "length", each(blocks).alias("block"))
-    task = (F.col("block") * groups + F.col("group")).alias("task")
-    both = asking.select(task, F.lit(True).alias("query"), "id", "value", F.lit(0.0).alias("length")).unionByName(others.select(task, F.lit(False).alias("query"), "id", "value", "length"))
-    parts = max(groups * blocks, 1)
-    ordered = both.repartition(parts, "task").sortWithinPartitions(F.col("task"), F.col("query").desc(), F.col("length").desc(), F.col("id"))
-    found = map_arrow(ordered.select("task", "query", "id", "value"), _searches(k, scale), "query_id long, vec_id long, score long")
-    ranked = found.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
-    return ranked.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    rows = rows.withColumn("length", F.sqrt(F.aggregate(whole, F.lit(0.0), lambda a, x: a + x * x)))
+    # zero, and lengths beyond a double, are the last and the first band
+    band = F.when(F.col("length") == 0, 1_000_000).when(F.col("length") == float("inf"), -1_000_000).otherwise(F.floor(F.log("length") / math.log(BAND_RATIO)))
+    rows = saved(rows.withColumn("band", band.cast("int")))
+    # some 14,000 bands at most, whatever the table
+    bands = sorted((r["band"], r["n"], r["asking"], r["most"]) for r in rows.groupBy("band").agg(F.count("*").alias("n"), F.count_if("asks").alias("asking"), F.max("length").alias("most")).collect())
+    held, first = 0, 0
+    while first < len(bands) and held < GROUP_ROWS:
+        held += bands[first][1]
+        first += 1
+    sizes = spark.createDataFrame([(b, max(1, -(-n // GROUP_ROWS))) for b, n, _, _ in bands], "band int, groups int")
+    blocks = max(1, -(-sum(x[2] for x in bands) // QUERY_ROWS))
+    asking = rows.where("asks").select("id", "value", "length", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)).cast("int").alias("block"))
+    to = lambda part: F.explode(F.from_json(F.lit(str([x[0] for x in part])), "array<int>")).alias("band")
+    found = saved(_search(rows, asking.select("id", "value", "block", to(bands[:first])), sizes, k, scale))
+    if first < len(bands):
+        least = _ranked(found, k).groupBy("query_id").agg(F.when(F.count("*") == k, F.min("score")).alias("least"))
+        ends = F.from_json(F.lit(str([{"band": b, "most": m} for b, _, _, m in bands[first:]]).replace("'", '"')), "array<struct<band:int,most:double>>")
+        told = asking.join(least, asking["id"] == least["query_id"], "left")
+        # the same slack as in Best
+        near = F.filter(ends, lambda x: F.col("least").isNull() | (F.col("least") <= F.col("length") * x["most"] * (1 + 1e-9)))
+        further = told.select("id", "value", "block", F.explode(F.transform(near, lambda x: x["band"])).alias("band"))
+        found = found.union(_search(rows, further, sizes, k, scale))
+    return _ranked(found, k)
 
 
 #: The rows of op1, over all pairs of a query and a row.

@@ -1,3 +1,4 @@
+import random
 import sys
 from collections import Counter
 from pathlib import Path
@@ -10,7 +11,7 @@ sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 from against_sql import SF, same
 
 import corpus_pipeline
-from quire.llm import registry
+from quire.llm import decontaminate, registry
 from quire.llm.common import table
 from quire.llm.ngram_join import ngram_components
 
@@ -33,11 +34,19 @@ def test_held_out_languages(spark):
     assert right >= 0.95 * got.count() > 0
 
 
+def ranked_right(good, bad):
+    """The share of pairs of a good and a bad row in which the good one has the higher score; ties count half."""
+    return sum((g > b) + (g == b) / 2 for g in good for b in bad) / (len(good) * len(bad))
+
+
 def test_held_out_quality(spark):
     labels = table(spark, SF, "labels").select("doc_id", "quality")
-    got = registry.op6_quality_classifier(spark, SF).join(labels, "doc_id").collect()
-    good = [r for r in got if r["quality"] == 1]
+    got = registry.op6_quality_classifier(spark, SF).join(labels, "doc_id").where("held_out").collect()
+    good, bad = ([r for r in got if r["quality"] == k] for k in (1, 0))
+    assert len(good) > 10 and len(bad) > 3
     assert sum(r["predicted"] for r in good) >= 0.97 * len(good)
+    assert sum(1 - r["predicted"] for r in bad) >= 0.6 * len(bad)
+    assert ranked_right([r["score"] for r in good], [r["score"] for r in bad]) >= 0.9
 
 
 def test_verbatim_benchmark_items_are_found(spark):
@@ -48,6 +57,28 @@ def test_verbatim_benchmark_items_are_found(spark):
     assert want and want <= got and len(got - want) <= 2
 
 
+def test_reordered_and_edited_benchmark_passages_are_found(spark):
+    """Every item with its sentences or halves in another order, or with single words replaced, set into a document."""
+    rng = random.Random(11)
+    docs = [r["text"] for r in table(spark, SF, "documents").orderBy("doc_id").collect() if r["text"] and len(r["text"].split()) > 40]
+    items = [(r["item_id"], r["text"].split()) for r in table(spark, SF, "benchmark").collect() if len(r["text"].split()) >= 20]
+    rows, want = [], set()
+    for k, (item, words) in enumerate(items):
+        third = len(words) // 3
+        moved = words[2 * third :] + ["and", "then"] + words[:third] + ["or", "else"] + words[third : 2 * third]
+        edited = [f"edit{k}x{j}" if j % 12 == 11 else w for j, w in enumerate(words)]
+        for way, passage in enumerate((moved, edited)):
+            around = docs[(2 * k + way) % len(docs)].split()
+            at = rng.randrange(len(around))
+            rows.append((10_000 + 2 * k + way, " ".join([*around[:at], *passage, *around[at:]])))
+            want.add((rows[-1][0], item))
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaks(made, table(spark, SF, "benchmark")).collect()}
+    found = len(want & got) / len(want)
+    print(f"recall of reordered and edited passages: {found:.3f} of {len(want)}")
+    assert found >= 0.98
+
+
 def test_pipeline(spark, tmp_path):
     docs = table(spark, SF, "documents")
     columns, seen = docs.columns, []

@@ -158,29 +158,29 @@ def test_components_equal_brute_force(documents, seed, monkeypatch):
     if seed == 2:  # blocks cut into chunks
         monkeypatch.setattr(ngram_join, "BLOCK_SETS", 2)
     rows = corpus(seed)
-    got = ngram_join.ngram_components(documents(*rows), order_bits=10).collect()
+    got = ngram_join.ngram_components(documents(*rows)).collect()
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == brute_components(rows)
 
 
 def test_components_of_odd_rows(documents, odd):
-    got = ngram_join.ngram_components(odd.withColumn("size", F.lit("clash")).withColumn("node", F.lit(1)), order_bits=10).collect()
+    got = ngram_join.ngram_components(odd.withColumn("size", F.lit("clash")).withColumn("node", F.lit(1))).collect()
     by = {}
     for r in got:
         by.setdefault(r["doc_id"], []).append((r["n_shingles"], r["component_id"]))
     assert by[1] == [(0, 1)] and by[2] == [(0, 2)] and by[3] == [(0, 3)] and by[4] == [(1, 4)] and by[7] == [(1, 7)]
     assert by[5] == [(977, 5)] * 2 and by[None] == [(2, None)]
     twice = documents((1, "a b c d e f g"), (1, "quite another text that shares nothing"), (2, "a b c d e f g"))
-    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.ngram_components(twice, order_bits=10).collect()) == [(1, 1), (1, 1), (2, 1)]
+    assert sorted((r["doc_id"], r["component_id"]) for r in ngram_join.ngram_components(twice).collect()) == [(1, 1), (1, 1), (2, 1)]
 
 
 def test_components_of_an_empty_table(documents):
-    assert ngram_join.ngram_components(documents(), order_bits=10).count() == 0
+    assert ngram_join.ngram_components(documents()).count() == 0
 
 
 def test_one_of_each_component_stays(documents):
     rows = corpus(4)
     want = {root for _, root in brute_components(rows).values()}
-    kept = ngram_join.representatives(documents(*rows, rows[0], (None, "no id")), order_bits=10)
+    kept = ngram_join.representatives(documents(*rows, rows[0], (None, "no id")))
     assert kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert Counter(r["doc_id"] for r in kept.collect()) == Counter([*want, None])
 
@@ -193,7 +193,7 @@ def test_large_group_of_near_copies_is_linear(documents):
         words = base.copy()
         words[rng.randrange(120)] = f"x{k}"
         rows.append((k, " ".join(words)))
-    assert {r["component_id"] for r in ngram_join.ngram_components(documents(*rows), order_bits=12).collect()} == {0}
+    assert {r["component_id"] for r in ngram_join.ngram_components(documents(*rows)).collect()} == {0}
     calls = 0
     sets = [np.unique(grams(WordHasher().words(pa.array([t]))[0], 5)) for _, t in rows]
     search = PrefixTree.search

@@ -51,13 +51,25 @@ def test_profile_against_counting():
     want = sorted(grams, key=lambda g: (-grams[g], code(g)))
     assert language_id.profile(language_id.ngrams(language_id.letters(text, table))).tolist() == [code(g) for g in want]
     known = language_id.Profiles({"x": [5, 7, 9], "y": [9, 5]}, n=3)
-    assert known.nearest(np.array([9, 4, 5])) == ("y", 1 - (0 + 3 + 1) / (2 + 3 + 2))
+    near = known.two_nearest(np.array([9, 4, 5]))
+    assert near == [(0 + 3 + 1, "y"), (2 + 3 + 2, "x")] and language_id.decided(near, 9) == ("y", 1 - 4 / 7)
+    assert language_id.decided([(4, "y")], 9) == ("y", 1 - 4 / 9)
 
 
 def test_languages_without_training(documents):
     profiles = language_id.train(documents())
-    assert profiles == {} and [tuple(r) for r in language_id.predict(documents((1, "text")), profiles).collect()] == [(1, "und", 0.0)]
-    assert language_id.train(documents((1, "a", None), (2, None, "x"))) == {}
+    assert profiles == [] and [tuple(r) for r in language_id.predict(documents((1, "text")), profiles).collect()] == [(1, "und", 0.0)]
+    assert language_id.train(documents((1, "a", None), (2, None, "x"))) == []
+
+
+def test_languages_in_blocks_are_the_same_as_at_once(documents):
+    rng = random.Random(7)
+    rows = [(k, " ".join("".join(rng.choices("abcdefgh", weights=[1 + (k * j) % 7 for j in range(8)], k=5)) for _ in range(8)), f"l{k % 11:02d}") for k in range(60)]
+    docs = documents(*rows)
+    at_once, in_blocks = language_id.train(docs), language_id.train(docs, block=3)
+    assert len(at_once) == 1 and len(in_blocks) == 4 and {k: v for x in in_blocks for k, v in x.value.items()} == at_once[0].value
+    rows_of = lambda profiles: sorted(tuple(r) for r in language_id.predict(docs, profiles).collect())
+    assert rows_of(at_once) == rows_of(in_blocks)
 
 
 # quality
@@ -274,6 +286,15 @@ def test_no_source_strays_a_block(documents):
             assert all(abs(given_[s] - full[s] * t / total) < 1 for s in full)
 
 
+def test_rows_of_one_id_keep_their_places(spark, documents):
+    docs = documents(*((5, f"text {k}", "en", "a") for k in range(40)), *((None, f"none {k}", "en", "a") for k in range(9)))
+    places = lambda df: {(r["doc_id"], r["text"]): (r["mix_slot"], r["mix_place"]) for r in mixing.mix(df, {"a": 2}, block=4).collect()}
+    first = places(docs)
+    assert first == places(docs.repartition(7, "text").orderBy(F.rand(3))) and len(set(first.values())) == 49
+    with pytest.raises(ValueError, match="whole numbers"):
+        mixing.mix(docs, {"a": 0})
+
+
 def test_mix_of_odd_tables(documents, odd):
     clash = ("_doc", "_bin", "_rank", "_nth", "at", "a.b")
     got = mixing.mix(odd.withColumns({c: F.lit("clash") for c in clash}), {"s": 2, "t": 1}, other=1, block=2)

@@ -27,3 +27,31 @@ def test_runs_equal_brute_force(documents):
             if share >= 0.7:
                 want[label] = share
         assert got[k] == want
+
+
+def wrapped(text, rng):
+    """As comments of source code have it: capitals, marks, and line ends anywhere."""
+    out = "/*\n * "
+    for word in text.split():
+        out += (word.capitalize() if rng.random() < 0.2 else word) + rng.choice((" ", " ", " ", ", ", "\n * ", ". "))
+    return out + "\n */"
+
+
+def test_whole_notices_that_wrap(documents):
+    rng = random.Random(3)
+    longest = {label: max(texts, key=len) for label, texts in license_scan.TEMPLATES.items()}
+    rows = [(k, "int x;\n" + wrapped(text, rng) + "\nint main() {}") for k, text in enumerate(longest.values())]
+    cut = [(100 + k, wrapped(" ".join(w for j, w in enumerate(text.split()) if j % 3), rng)) for k, text in enumerate(longest.values()) if len(text.split()) > 100]
+    found = {r["doc_id"]: {x["label"]: x["share"] for x in r["runs"]} for r in license_scan.scan_licenses(documents(*rows, *cut)).collect()}
+    for k, label in enumerate(longest):
+        assert found[k][label] == 1.0
+    assert cut and all(label not in found[k] or found[k][label] >= 0.8 for k, _ in cut for label in longest)
+
+
+def test_no_share_is_lost_to_rounding(documents):
+    for n in (149, 158):
+        words = [f"w{k}" for k in range(n)]
+        needed = license_scan._needed(n, 0.8)
+        docs = documents((1, " ".join(words[:needed])), (2, " ".join(words[: needed - 1])))
+        got = {r["doc_id"]: [x["label"] for x in r["blocks"]] for r in license_scan.scan_licenses(docs, {"t": [" ".join(words)]}).collect()}
+        assert got == {1: ["t"], 2: []}
