@@ -8,12 +8,14 @@ from pyspark.sql import DataFrame
 
 
 def saved(df: DataFrame) -> DataFrame:
-    """df with its lineage cut by checkpoint(), in the folder that the session names.
+    """df with its lineage cut by checkpoint(), in the folder that the session names in spark.checkpoint.dir.
 
-    Only where spark.checkpoint.dir is unset (single-machine tests) a folder of our own is taken.
+    Without one, executors on other machines could not read what is saved, so only a session on this machine alone gets a folder of our own.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if named is None and not (context.master == "local" or context.master.startswith("local[")):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="quire-checkpoint-"))
     return df.checkpoint(eager=True)
