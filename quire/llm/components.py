@@ -24,20 +24,18 @@ def _stars(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("u <> v").distinct()
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """edges: columns a, b of type long, in any direction, repeats and loops allowed.
+def components(edges: DataFrame) -> DataFrame:
+    """edges: columns a, b of type long, in any direction, repeats and loops allowed. Rounds go on until nothing changes.
 
     Returns node, root (the smallest node of its component) for every node with an edge to another; no rows for no edges.
     """
     now = saved(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     seen = None
-    for _ in range(rounds):
+    while True:
         now = saved(_stars(_stars(now, large=True), large=False))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(state) == seen:
             break
         seen = tuple(state)
-    else:
-        raise RuntimeError("components did not settle")
     nodes = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return nodes.union(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 from quire.shipping import ship
@@ -107,19 +109,59 @@ class PrefixTree:
         return self.live[node] > sum(self.live[c] for c in self.children[node])
 
 
-def linked(sets: list[np.ndarray], num: int = 4, den: int = 5) -> list[tuple[int, int]]:
+def meeting(codes: np.ndarray, lengths: np.ndarray, num: int, den: int) -> list[np.ndarray]:
+    """Groups of two and more of the sets (codes, one set after the other) that a link may hold together.
+
+    Ordered by their counts here, the rarest first, two sets that link share a token of both prefixes; the sets at such a token, by size, hang together
+    while sizes allow a link.
+    """
+    counts = np.bincount(codes)
+    owner = np.repeat(np.arange(len(lengths)), lengths)
+    order = np.lexsort((codes, counts[codes], owner))
+    place = np.arange(len(codes)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    kept = order[place < np.repeat(lengths - -(-num * lengths // den) + 1, lengths)]
+    kept = kept[counts[codes[kept]] > 1]
+    kept = kept[np.lexsort((owner[kept], lengths[owner[kept]], codes[kept]))]
+    a, b = owner[kept[:-1]], owner[kept[1:]]
+    near = (codes[kept[:-1]] == codes[kept[1:]]) & (den * lengths[a] >= num * lengths[b])
+    up = list(range(len(lengths)))
+
+    def top(k: int) -> int:
+        while up[k] != k:
+            up[k] = up[up[k]]
+            k = up[k]
+        return k
+
+    if near.any():
+        for x, y in np.unique(np.stack([a[near], b[near]], axis=1), axis=0).tolist():
+            up[top(y)] = top(x)
+    tops = np.array([top(k) for k in range(len(lengths))])
+    by_top = np.argsort(tops, kind="stable")
+    parts = np.split(by_top, np.flatnonzero(np.diff(tops[by_top])) + 1)
+    return [x for x in parts if len(x) > 1]
+
+
+def linked(sets: list[np.ndarray], num: int = 4, den: int = 5, ranks_of: Callable[[np.ndarray], np.ndarray] | None = None) -> list[tuple[int, int]]:
     """A spanning forest of the links among distinct sets of tokens: pairs of places in sets.
 
-    Two sets link if their intersection is at least num/den of their union. A set leaves the tree once it is reached, so a
-    group of near copies costs one walk, not one per pair.
+    Tokens are ordered by ranks_of(tokens), equal ranks by the token, so all trees have one order. Two sets link if their intersection is at least
+    num/den of their union. A set leaves the tree once it is reached, so a group of near copies costs one walk, not one per pair.
     """
     if len(sets) < 2:
         return []
-    tokens, places, counts = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    tokens, places = np.unique(np.concatenate(sets), return_inverse=True)
     rank = np.empty(len(tokens), np.int32)
-    rank[np.lexsort((tokens, -counts))] = np.arange(len(tokens), dtype=np.int32)
-    ranks = np.split(rank[places], np.cumsum([len(x) for x in sets])[:-1])
-    tree = PrefixTree([np.sort(x) for x in ranks])
+    rank[np.lexsort((tokens, ranks_of(tokens))) if ranks_of else slice(None)] = np.arange(len(tokens), dtype=np.int32)
+    lengths = np.array([len(x) for x in sets])
+    ranks = np.split(rank[places], np.cumsum(lengths)[:-1])
+    out: list[tuple[int, int]] = []
+    for group in meeting(places, lengths, num, den):
+        out += [(int(group[a]), int(group[b])) for a, b in _forest([np.sort(ranks[k]) for k in group], num, den)]
+    return out
+
+
+def _forest(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    tree = PrefixTree(sets)
     out, reached = [], np.zeros(len(sets), bool)
     for start in range(len(sets)):
         if reached[start]:
