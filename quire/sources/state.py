@@ -30,6 +30,11 @@ def load(spark: SparkSession, path: str, name: str, version: int) -> DataFrame:
     return bundle.restored(df) if name == "readings" else df
 
 
+def cleared(spark: SparkSession) -> dict[str, DataFrame]:
+    """All tables without rows: what save() takes to start over. Settings stay."""
+    return {name: spark.createDataFrame([], schemas.struct(ddl)) for name, ddl in TABLES.items()}
+
+
 def settings_from(stored: dict) -> BundleSettings:
     """Settings as stored, with defaults for what older states lack; what isn't known any more is left out."""
     known = {f.name for f in fields(BundleSettings)}
