@@ -410,6 +410,26 @@ def dominant_font_size(spark, sf):
 # Rendering
 
 
+#: Each document's reading as the SQL sees it: pieces of markup, dealt into files by the same limits.
+_RENDERED_SQL = rf"""{LINES_SQL},
+e AS (SELECT doc_id, 'r' || printf('%02d', doc_id::BIGINT + 1) AS r, idx, page, n, text, replace(replace(replace(replace(regexp_replace(text, '[\x00-\x08\x0B\x0C\x0E-\x1F]', '', 'g'), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;') AS t,
+  row_number() OVER (PARTITION BY doc_id, page ORDER BY idx) = 1 AS opens, sum(CASE WHEN n < 12 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY idx) AS h FROM lines),
+m AS (SELECT *, CASE WHEN opens THEN '<span class="pg" epub:type="pagebreak" role="doc-pagebreak" id="' || r || '-pg' || (page + 1) || '" title="' || (page + 1) || '" aria-label="' || (page + 1) || '">[p.&#160;' || (page + 1) || ']</span>' ELSE '' END AS mark,
+  regexp_replace(t, '\s{{2,}}', ' ', 'g') AS body FROM e),
+html AS (SELECT *, CASE WHEN n < 12 THEN CASE WHEN opens THEN '<p class="pgline">' || mark || '</p>' || chr(10) ELSE '' END || '<h2 id="' || r || '-h' || h || '">' || body || '</h2>'
+  WHEN opens OR trim(body) <> '' THEN '<p>' || mark || CASE WHEN opens AND trim(body) <> '' THEN ' ' ELSE '' END || trim(body) || '</p>' ELSE '' END AS html FROM m),
+piece AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS k FROM html WHERE html <> ''),
+head AS (SELECT doc_id::VARCHAR AS doc_id, 'r' || printf('%02d', doc_id + 1) AS r, '<header class="reading-head">' || chr(10) || CASE WHEN coalesce(source, '') <> '' THEN '<p class="course">' || source || '</p>' || chr(10) ELSE '' END || '<h1 id="r' || printf('%02d', doc_id + 1) || '-title">Document ' || doc_id || '</h1>' || chr(10)
+  || '<p class="source">' || doc_id || '.txt</p>' || chr(10) || '</header>' || chr(10) AS head FROM documents),
+dealt AS (SELECT p.doc_id, p.k, 1 AS seq, length(head) + length(p.html) AS size FROM piece p JOIN head USING (doc_id) WHERE p.k = 1
+  UNION ALL SELECT p.doc_id, p.k, d.seq + CASE WHEN d.size + length(p.html) > 250000 OR (p.n < 12 AND d.size > 120000) THEN 1 ELSE 0 END, CASE WHEN d.size + length(p.html) > 250000 OR (p.n < 12 AND d.size > 120000) THEN 0 ELSE d.size END + length(p.html)
+  FROM dealt d JOIN piece p ON p.doc_id = d.doc_id AND p.k = d.k + 1),
+body AS (SELECT h.doc_id, h.r, coalesce(seq, 1) AS seq, CASE WHEN coalesce(seq, 1) = 1 THEN any_value(head) ELSE '' END || coalesce(string_agg(html, chr(10) ORDER BY p.k), '') AS body
+  FROM head h LEFT JOIN dealt USING (doc_id) LEFT JOIN piece p ON p.doc_id = h.doc_id AND p.k = dealt.k GROUP BY h.doc_id, h.r, coalesce(seq, 1)),
+file AS (SELECT doc_id, seq::INT AS seq, 'text/' || r || '-' || printf('%02d', seq) || '.xhtml' AS path, array_to_string(['<?xml version="1.0" encoding="utf-8"?>', '<!DOCTYPE html>', '<html xmlns="http://www.w3.org/1999/xhtml" xmlns:epub="http://www.idpf.org/2007/ops" lang="en" xml:lang="en">',
+  '<head><meta charset="utf-8"/><title>Document ' || doc_id || '</title><link rel="stylesheet" type="text/css" href="../css/style.css"/></head>', '<body>' || chr(10) || body || chr(10) || '</body>', '</html>' || chr(10)], chr(10)) AS text FROM body)"""
+
+
 def _as_readings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Every document as a reading of one paragraph a line. Places come from the ids, so that nothing is numbered in one task."""
     docs = table(spark, sf, "documents")
@@ -421,13 +441,14 @@ def _as_readings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Da
     return readings, spark.createDataFrame([], struct(BLOCKS)).unionByName(made, allowMissingColumns=True), spark.createDataFrame([], struct(NOTES)), adapter.layouts(docs).withColumn("label", F.lit(""))
 
 
-@query()
+@query(f"WITH RECURSIVE {_RENDERED_SQL} SELECT doc_id, seq, path, length(text)::INT AS n_chars, md5(text) AS digest FROM file")
 def xhtml_render(spark, sf):
     rows = render.rendered(render.gathered(*_as_readings(spark, sf)), BundleSettings())
     return rows.where("part = 'file'").select("doc_id", "seq", "path", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {_RENDERED_SQL}, part AS (SELECT 'file' AS part, doc_id FROM file UNION ALL SELECT 'toc', doc_id FROM head UNION ALL SELECT 'toc', doc_id FROM piece WHERE n < 12 AND trim(text) <> '' UNION ALL SELECT 'page', doc_id FROM piece WHERE opens)
+SELECT part, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS n_readings FROM part GROUP BY part""")
 def bundle_manifest(spark, sf):
     rows = render.rendered(render.gathered(*_as_readings(spark, sf)), BundleSettings())
     return rows.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_readings"))
