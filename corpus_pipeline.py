@@ -1,4 +1,14 @@
-"""A training corpus from raw documents, in five stages, each by one operator of quire.llm."""
+"""A training corpus from raw documents, in five stages, each by one operator of quire.llm.
+
+What happens to odd rows, stage by stage; an empty table gives an empty one everywhere, very long texts are worked on whole, further columns pass through, and columns
+of the mix's names are replaced by its own:
+
+1. Null and empty texts are scored like any other (all statistics zero). Rows without an id are scored, never learned from. Equal texts have equal scores.
+2. Null and empty texts stay. Repeated rows are one document and get the same result; of equal ids the text with the smaller hash comes first; rows without an id come first of all.
+3. Null and empty texts link with nothing and stay, each id once. Of rows of equal id and text one stays; of several texts of an id in one component one does. Rows without an id stay.
+4. Null and empty texts leak nothing and stay. Equal documents stay or go alike, with or without an id.
+5. Every row gets a place. Rows of one id stand side by side in the order of a hash of the row; rows without an id come last in their source; null sources are pooled with the unknown ones.
+"""
 
 from __future__ import annotations
 
