@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import decontaminate, language_id, license_scan, line_dedup, mixing, ngram_join, quality, secrets, token_counts, topk
+from quire.llm import decontaminate, hard_negatives, language_id, license_scan, line_dedup, merkle, mixing, neighbours, ngram_join, quality, secrets, token_counts, topk
 from quire.llm.common import bucket_of, table
 
 
@@ -65,8 +65,22 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", F.col("_n_lines").alias("n_lines"), F.col("_n_deleted").alias("n_deleted"), F.md5("text").alias("text_md5"))
 
 
+def op11_hard_negative_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = F.col("vec_id")
+    label = F.when(own % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.hard_negatives(table(spark, sf_dir, "embeddings"), own % 100 == 0, label, positives=5, negatives=10, window=(30, 90), scale=256.0)
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.manifest(table(spark, sf_dir, "documents"), bucket_of("doc_id", 5, 0), merkle.lower_ascii(F.col("text")))
+
+
+def op13_approximate_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.neighbours(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0, k=20)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_topk_search, op2_benchmark_decontamination, op3_ngram_jaccard_join, op4_source_mixing, op5_language_id, op6_quality_classifier, op7_token_counts, op8_secret_scans, op9_license_scans, op10_line_dedup)}
+    return {f.__name__: f for f in (op1_topk_search, op2_benchmark_decontamination, op3_ngram_jaccard_join, op4_source_mixing, op5_language_id, op6_quality_classifier, op7_token_counts, op8_secret_scans, op9_license_scans, op10_line_dedup, op11_hard_negative_mining, op12_merkle_manifest, op13_approximate_neighbours)}
 
 
 def oracle_sql() -> dict[str, str]:
@@ -77,4 +91,6 @@ def oracle_sql() -> dict[str, str]:
         "op5_language_id": language_id.ORACLE_SQL,
         "op9_license_scans": license_scan.oracle_sql(),
         "op10_line_dedup": line_dedup.ORACLE_SQL,
+        "op11_hard_negative_mining": hard_negatives.ORACLE_SQL,
+        "op12_merkle_manifest": merkle.oracle_sql(),
     }
