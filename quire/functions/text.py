@@ -43,19 +43,29 @@ def plain_text(content: Column) -> Column:
     return F.array_join(F.transform(F.filter(content, lambda c: c["t"] == "text"), lambda c: c["text"]), "")
 
 
-def dice(a: Column, b: Column) -> Column:
-    """Similarity by bigrams, counted with repeats: twice the common ones over all. Equal texts 1, else shorter than 2 characters 0."""
+def bigrams(x: Column) -> Column:
+    """A text's bigrams, each with the number of its occurrence, so that no two are equal; none for a text shorter than 2 characters."""
+
+    def let(value: Column, use) -> Column:
+        return F.get(F.transform(F.array(value), use), F.lit(0))
+
+    def numbered(grams: Column) -> Column:
+        n = F.size(grams)
 
-    def bigrams(x: Column) -> Column:
-        return F.transform(F.sequence(F.lit(1), F.length(x) - 1), lambda i: F.substring(x, i, F.lit(2)))
+        def runs(starts: Column) -> Column:
+            every = lambda start, k: F.transform(F.sequence(F.lit(1), F.coalesce(F.get(starts, k + 1), n) - start), lambda i: F.concat(F.get(grams, start), i.cast("string")))
+            return F.flatten(F.transform(starts, every))
 
-    def common(x: Column, y: Column) -> Column:
-        def times(g: Column, of: Column) -> Column:
-            return F.size(F.filter(of, lambda h: h == g))
+        return let(F.filter(F.sequence(F.lit(0), n - 1), lambda k: (k == 0) | (F.get(grams, k) != F.get(grams, k - 1))), runs)
 
-        return F.aggregate(F.array_distinct(x), F.lit(0), lambda n, g: n + F.least(times(g, x), times(g, y)))
+    chars = F.regexp_extract_all(x, F.lit("(?s)."), F.lit(0))
+    pairs = let(chars, lambda c: F.sort_array(F.transform(F.sequence(F.lit(0), F.size(c) - 2), lambda k: F.concat(F.get(c, k), F.get(c, k + 1)))))
+    return F.when(F.length(x) >= 2, let(pairs, numbered)).otherwise(F.array().cast("array<string>"))
 
-    counted = 2.0 * common(bigrams(a), bigrams(b)) / (F.length(a) + F.length(b) - 2)
+
+def dice(a: Column, b: Column) -> Column:
+    """Similarity by bigrams, counted with repeats: twice the common ones over all. Equal texts 1, else shorter than 2 characters 0."""
+    counted = 2.0 * F.size(F.array_intersect(bigrams(a), bigrams(b))) / (F.length(a) + F.length(b) - 2)
     return F.when(a == b, 1.0).when((F.length(a) < 2) | (F.length(b) < 2), 0.0).otherwise(counted)
 
 

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import re
 import unicodedata
-from collections.abc import Iterator
-from dataclasses import dataclass, field
 
 from quire.shipping import ship
 
@@ -61,106 +58,4 @@ def add_runs(content: list[dict], runs: list[dict]) -> None:
             content.append(text_run(run["text"], run))
 
 
-def add_line(content: list[dict], spans: list[dict]) -> None:
-    """Append a line of running text: a word broken by a hyphen is made whole, else one space stands between lines."""
-    runs = [text_run(s["text"] or "", s) for s in spans or ()]
-    if not runs:
-        return
-    runs[0]["text"] = runs[0]["text"].lstrip(_SPACES)
-    runs[-1]["text"] = runs[-1]["text"].rstrip(_SPACES)
-    if content:
-        last, head = content[-1], runs[0]["text"]
-        if last["t"] != "text":
-            runs[0]["text"] = " " + head
-        elif breaks_word(last["text"], head):
-            last["text"] = last["text"][:-1]
-        elif last["text"] and last["text"][-1] not in _SPACES and head[:1] not in _SPACES:
-            last["text"] += " "
-        elif last["text"] and not head:
-            last["text"] += "" if last["text"][-1] in _SPACES else " "
-    add_runs(content, runs)
-
-
-@dataclass
-class _Run:
-    """A run of text of a page and the places in it (start, end, note) that have become references."""
-
-    text: str
-    raised: bool
-    heading: bool
-    taken: list[tuple[int, int, str]] = field(default_factory=list)
-
-    def before(self, at: int) -> str:
-        """The character in front of a place; none at the start of what is still text."""
-        return self.text[at - 1] if at and all(end != at for _, end, _ in self.taken) else ""
-
-    def after(self, at: int) -> str:
-        return self.text[at] if at < len(self.text) and all(start != at for start, _, _ in self.taken) else ""
-
-    def places(self, mark: str) -> Iterator[tuple[int, int]]:
-        """Where a mark stands in what is still text, from the left."""
-        at = self.text.find(mark)
-        while at >= 0:
-            end = at + len(mark)
-            if all(end <= a or at >= b for a, b, _ in self.taken):
-                yield at, end
-            at = self.text.find(mark, at + 1)
-
-
-def _raised_mark(run: _Run, marker: str) -> tuple[int, int] | None:
-    """A superscript run that is the marker."""
-    return (0, len(run.text)) if run.raised and run.text.strip() == marker and not run.taken else None
-
-
-def _glued_mark(run: _Run, marker: str) -> tuple[int, int] | None:
-    """The marker behind a small letter or closing mark, before a space, a mark or the end."""
-    if run.raised or run.heading:
-        return None
-    fits = (p for p in run.places(marker) if re.fullmatch(_BEFORE, run.before(p[0])) and re.fullmatch(r"[\s,.;:)]?", run.after(p[1])))
-    return next(fits, None)
-
-
-def _misread_mark(run: _Run, marker: str) -> tuple[int, int] | None:
-    """What a recognizer takes a raised 1 for, behind a mark."""
-    if run.raised or run.heading or marker != "1":
-        return None
-    fits = sorted(p for look in "!|" for p in run.places(look) if run.before(p[0]) in (".", ",", ";", ":") and re.fullmatch(r"\s?", run.after(p[1])))
-    return fits[0] if fits else None
-
-
-#: What may stand in front of a marker.
-_BEFORE = f"[{_SMALL}.,;:!?’”\"')\\]]"
-#: What makes a place a note's, in a run: the first rule that finds one.
-_RULES = (_raised_mark, _glued_mark, _misread_mark)
-
-
-def link_notes(blocks: list[dict], notes: list[dict]) -> None:
-    """Turn the first place of each note's marker on its page into a reference; blocks' contents change.
-
-    The places are found first, on one list of runs for each page; contents are made anew once all notes have theirs.
-    """
-    runs: dict[int | None, list[_Run]] = {}
-    owners: list[tuple[dict, list[_Run | None]]] = []
-    for block in blocks:
-        if block["kind"] in ("paragraph", "heading"):
-            own = [_Run(c["text"], bool(c["sup"]), block["kind"] == "heading") if c["t"] == "text" else None for c in block["content"]]
-            owners.append((block, own))
-            runs.setdefault(block["page"], []).extend(r for r in own if r is not None)
-    for note in notes:
-        found = ((run, place) for run in runs.get(note["page"], ()) if (place := next((p for rule in _RULES if (p := rule(run, note["marker"]))), None)))
-        if hit := next(found, None):
-            hit[0].taken.append((*hit[1], note["id"]))
-    for block, own in owners:
-        if any(run is not None and run.taken for run in own):
-            block["content"] = [c for run, old in zip(own, block["content"], strict=True) for c in (_parted(run, old) if run is not None and run.taken else [old])]
-
-
-def _parted(run: _Run, old: dict) -> list[dict]:
-    out, at = [], 0
-    for start, end, note in sorted(run.taken):
-        out += [text_run(run.text[at:start], old), note_reference(note)]
-        at = end
-    return [c for c in (*out, text_run(run.text[at:], old)) if c["t"] != "text" or c["text"]]
-
-
 ship(__name__)

@@ -9,7 +9,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import stats
-from quire.functions.text import NOTE_START, dice, line_text, norm_header, page_number, trimmed
+from quire.functions.inline import bound
+from quire.functions.text import CAPTION, NOTE_START, bigrams, dice, line_text, norm_header, page_number, trimmed
+from quire.saving import saved
 
 PAGE = ["doc_id", "page"]
 
@@ -22,6 +24,7 @@ TRUSTED_PART = 0.4
 NOTE_SIZE, NOTE_PART, NOTE_TOP = 0.88, 0.5, 0.45
 GUTTER_FROM, GUTTER_TO, GUTTER_STEP, GUTTER_SLACK = 0.35, 0.65, 0.01, 2
 GUTTER_LINES, GUTTER_CROSSED, GUTTER_SIDE = 8, 0.15, 0.2
+CAPTION_REACH, CAPTION_GAP, CAPTION_SHIFT, CAPTION_LINES = 4.0, 0.6, 3.0, 4
 
 
 def noise_filter(lines: DataFrame) -> DataFrame:
@@ -35,57 +38,92 @@ def page_extents(lines: DataFrame) -> DataFrame:
     return lines.groupBy(*PAGE).agg(F.min("y0").alias("top"), F.max("y1").alias("bottom"), F.median("size").alias("median_size"))
 
 
-def header_candidates(lines: DataFrame, pages: DataFrame) -> DataFrame:
-    """The outermost two lines at either end of each page that lie in its head or foot zone."""
+def header_marks(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """lines with what tells running heads: `candidate` (one of the outermost two lines at either end of the page, in its head or foot zone), top, place, apart, norm, number."""
     whole = Window.partitionBy(*PAGE)
     down = whole.orderBy("y0", "line_no")
     up = whole.orderBy(F.desc("y0"), F.desc("line_no"))
-    placed = lines.join(pages.select(*PAGE, "height"), PAGE).select(
-        *PAGE, "line_no", "y0", "y1", "size", "height",
-        line_text(F.col("spans")).alias("text"),
-        F.row_number().over(down).alias("place"), F.row_number().over(up).alias("from_end"), F.count("*").over(whole).alias("n"),
-        F.min("y0").over(whole).alias("top_edge"), F.max("y1").over(whole).alias("bottom_edge"), F.median("size").over(whole).alias("page_size"),
-        (F.lead("y0").over(down) - F.col("y1")).alias("gap_below"), (F.col("y0") - F.lag("y1").over(down)).alias("gap_above"),
-    )
+    text = line_text(F.col("spans"))
+    placed = lines.join(pages.select(*PAGE, "height"), PAGE).withColumns({
+        "_text": text, "place": F.row_number().over(down), "_from_end": F.row_number().over(up), "_n": F.count("*").over(whole),
+        "_top_edge": F.min("y0").over(whole), "_bottom_edge": F.max("y1").over(whole), "_page_size": F.median("size").over(whole),
+        "_below": F.lead("y0").over(down) - F.col("y1"), "_above": F.col("y0") - F.lag("y1").over(down),
+    })
     top = F.col("place") <= 2
-    ends = placed.where(top | ((F.col("from_end") <= 2) & ((F.col("place") > 2) | (F.col("n") > 4)))).withColumn("top", top)
+    at_end = top | ((F.col("_from_end") <= 2) & ((F.col("place") > 2) | (F.col("_n") > 4)))
     centre = (F.col("y0") + F.col("y1")) / 2
-    zone = F.greatest(ZONE_OF_PAGE * F.col("height"), ZONE_OF_CONTENT * F.greatest(F.lit(1.0), F.col("bottom_edge") - F.col("top_edge")))
-    in_zone = F.when(F.col("top"), (centre - F.col("top_edge") < zone) & (centre < OUTER_PART * F.col("height"))).otherwise(
-        (F.col("bottom_edge") - centre < zone) & (centre > (1 - OUTER_PART) * F.col("height"))
+    zone = F.greatest(ZONE_OF_PAGE * F.col("height"), ZONE_OF_CONTENT * F.greatest(F.lit(1.0), F.col("_bottom_edge") - F.col("_top_edge")))
+    in_zone = F.when(top, (centre - F.col("_top_edge") < zone) & (centre < OUTER_PART * F.col("height"))).otherwise(
+        (F.col("_bottom_edge") - centre < zone) & (centre > (1 - OUTER_PART) * F.col("height"))
     )
-    gap = F.coalesce(F.when(F.col("top"), F.col("gap_below")).otherwise(F.col("gap_above")), F.lit(float("inf")))
+    gap = F.coalesce(F.when(top, F.col("_below")).otherwise(F.col("_above")), F.lit(float("inf")))
     apart = (
-        F.when(F.col("top"), F.col("place") == 1).otherwise((F.col("from_end") == 1) & ~F.col("text").rlike("^(?:" + NOTE_START + ")"))
-        & (F.col("n") >= APART_LINES)
-        & (F.col("size") <= APART_SIZE * F.col("page_size"))
-        & (F.length(trimmed(F.col("text"))) < APART_LENGTH)
+        F.when(top, F.col("place") == 1).otherwise((F.col("_from_end") == 1) & ~F.col("_text").rlike("^(?:" + NOTE_START + ")"))
+        & (F.col("_n") >= APART_LINES)
+        & (F.col("size") <= APART_SIZE * F.col("_page_size"))
+        & (F.length(trimmed(F.col("_text"))) < APART_LENGTH)
         & (gap >= APART_GAP * F.col("size"))
     )
-    return ends.where((F.length("text") <= HEAD_LENGTH) & in_zone).select(*PAGE, "line_no", "text", "top", "place", apart.alias("apart"), norm_header(F.col("text")).alias("norm"), page_number(F.col("text")).alias("number"))
+    marked = placed.withColumn("candidate", F.coalesce(at_end & (F.length("_text") <= HEAD_LENGTH) & in_zone, F.lit(False)))
+    only = lambda c: F.when(F.col("candidate"), c)
+    marked = marked.withColumns({"top": only(top), "apart": only(apart), "norm": only(norm_header(F.col("_text"))), "number": only(page_number(F.col("_text")))})
+    return marked.select(*lines.columns, "height", "candidate", "top", "place", "apart", "norm", "number")
+
+
+def header_candidates(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """The outermost two lines at either end of each page that lie in its head or foot zone."""
+    return header_marks(lines, pages).where("candidate").select(*PAGE, "line_no", line_text(F.col("spans")).alias("text"), "top", "place", "apart", "norm", "number")
+
+
+def alike_heads(norms: DataFrame) -> DataFrame:
+    """doc_id, top, norm, other: all pairs of different norms (doc_id, top, norm) of similarity REPEAT_SIMILARITY or more, each pair in both orders.
+
+    An inverted index of numbered bigrams, the rarest of a document first. A norm of n bigrams has at least REPEAT_SIMILARITY / 2 of its own and its partner's in common with it, and the
+    partner has no fewer than `shorter` times n; so both have a common bigram among the first n - ceil(least) + 1, and only norms that meet in one are compared.
+    """
+    half = REPEAT_SIMILARITY / 2
+    shorter = half / (1 - half)
+    keys = ["doc_id", "top"]
+    grams = norms.select(*keys, "norm", F.explode(bigrams(F.col("norm"))).alias("gram"))
+    told = grams.withColumns({"_times": F.count("*").over(Window.partitionBy(*keys, "gram")), "_n": F.length("norm") - 1})
+    place = F.row_number().over(Window.partitionBy(*keys, "norm").orderBy("_times", "gram"))
+    first = told.withColumn("_place", place).where((F.col("_times") > 1) & (F.col("_place") <= F.col("_n") - F.ceil(half * (1 + shorter) * F.col("_n") - 1e-9) + 1))
+    a, b = first.select(*keys, "gram", "norm", "_n"), first.select(*keys, "gram", F.col("norm").alias("other"), F.col("_n").alias("_m"))
+    near = a.join(b, [*keys, "gram"]).where((F.col("norm") < F.col("other")) & (2 * F.least("_n", "_m") >= REPEAT_SIMILARITY * (F.col("_n") + F.col("_m"))))
+    pairs = near.select(*keys, "norm", "other").distinct().where(dice(F.col("norm"), F.col("other")) >= REPEAT_SIMILARITY)
+    return pairs.union(pairs.select(*keys, F.col("other").alias("norm"), F.col("norm").alias("other")))
 
 
 def repeated_heads(candidates: DataFrame, pages: DataFrame) -> DataFrame:
     """doc_id, top, norm of heads that stand, about alike, on enough pages.
 
-    Different norms of a document are compared, not their occurrences; lengths too far apart for the similarity are never compared.
+    Different norms of a document are compared, not their occurrences, and only those that share rare bigrams.
     """
-    norms = candidates.where(F.length("norm") >= REPEAT_LENGTH).select("doc_id", "top", "norm").distinct()
-    on = candidates.select("doc_id", "top", F.col("norm").alias("other"), "page").distinct()
-    short, long = F.least(F.length("norm"), F.length("other")) - 1, F.greatest(F.length("norm"), F.length("other")) - 1
-    alike = norms.join(on.select("doc_id", "top", "other").distinct(), ["doc_id", "top"]).where(2 * short >= REPEAT_SIMILARITY * (short + long))
-    alike = alike.where(dice(F.col("norm"), F.col("other")) >= REPEAT_SIMILARITY)
-    times = alike.join(on, ["doc_id", "top", "other"]).groupBy("doc_id", "top", "norm").agg(F.countDistinct("page").alias("on_pages"))
-    needed = pages.groupBy("doc_id").agg(F.greatest(F.lit(2), F.ceil(REPEAT_PAGES * F.count("*"))).alias("needed"))
+    needed = pages.groupBy("doc_id").agg(F.count("*").alias("_pages"), F.greatest(F.lit(2), F.ceil(REPEAT_PAGES * F.count("*"))).alias("needed"))
+    on = candidates.where(F.length("norm") >= REPEAT_LENGTH).select("doc_id", "top", "norm", "page").distinct()
+    on = on.join(needed.where("_pages >= needed"), "doc_id", "left_semi")  # no head stands on two pages of one
+    others = alike_heads(on.select("doc_id", "top", "norm").distinct()).join(on.withColumnRenamed("norm", "other"), ["doc_id", "top", "other"])
+    times = on.unionByName(others.drop("other")).groupBy("doc_id", "top", "norm").agg(F.countDistinct("page").alias("on_pages"))
     return times.join(needed, "doc_id").where("on_pages >= needed").select("doc_id", "top", "norm")
 
 
+def running_marks(marked: DataFrame, heads: DataFrame) -> DataFrame:
+    """header_marks() with `running`: whether a line is a running head or foot. heads: repeated_heads() of them."""
+    again = heads.withColumn("repeated", F.lit(True))
+    gone = (F.col("number").isNotNull() & (F.col("norm") == "")) | F.col("apart") | F.coalesce("repeated", F.lit(False))
+    told = marked.join(again, ["doc_id", "top", "norm"], "left").withColumn("running", F.coalesce(F.col("candidate") & gone, F.lit(False)))
+    return told.select(*marked.columns, "running")
+
+
 def running_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
     """doc_id, page, line_no of running heads and feet, with the page number each one shows and its order on the page."""
-    found = header_candidates(lines, pages)
-    marked = found.join(repeated_heads(found, pages).withColumn("repeated", F.lit(True)), ["doc_id", "top", "norm"], "left")
-    gone = (F.col("number").isNotNull() & (F.col("norm") == "")) | F.col("apart") | F.coalesce("repeated", F.lit(False))
-    return marked.where(gone).select(*PAGE, "line_no", "number", F.when(F.col("top"), 0).otherwise(1).alias("end"), "place")
+    marked = header_marks(lines, pages)
+    candidates = saved(marked.where("candidate").select(*PAGE, "line_no", "candidate", "top", "place", "apart", "norm", "number"))
+    return shown_numbers(running_marks(candidates, repeated_heads(candidates, pages)))
+
+
+def shown_numbers(marked: DataFrame) -> DataFrame:
+    return marked.where("running").select(*PAGE, "line_no", "number", F.when(F.col("top"), 0).otherwise(1).alias("end"), "place")
 
 
 def page_labels(pages: DataFrame, running: DataFrame) -> DataFrame:
@@ -129,24 +167,33 @@ def strip_prefix(spans: Column, chars: Column) -> Column:
     return F.aggregate(spans, start, step, lambda s: s["out"])
 
 
-def footnotes(lines: DataFrame, pages: DataFrame, body: DataFrame) -> DataFrame:
-    """Lines of the notes at the foot of each page, with note_no (from 1), marker and spans without it.
+def note_marks(lines: DataFrame, body: DataFrame, height: str = "height") -> DataFrame:
+    """lines (with their page's `height`) with body, and on the notes at the foot of each page note_no (from 1), marker and spans without it.
 
     The notes are the page's last lines in small type, from the first that begins with a marker on.
     """
     whole = Window.partitionBy(*PAGE)
     up = whole.orderBy(F.desc("y0"), F.desc("line_no")).rowsBetween(Window.unboundedPreceding, 0)
-    down = whole.orderBy("y0", "line_no")
+    down = whole.orderBy("y0", "line_no").rowsBetween(Window.unboundedPreceding, 0)
     text = line_text(F.col("spans"))
-    sized = lines.join(body, "doc_id").join(pages.select(*PAGE, "height"), PAGE).where("body > 0")
-    small = sized.withColumns({"_n": F.count("*").over(whole), "_small": F.bool_and(F.col("size") <= NOTE_SIZE * F.col("body")).over(up)})
-    lead = F.regexp_extract(text, "^(?:" + NOTE_START + ")", 0)
-    tail = small.where((F.col("_n") >= 3) & F.col("_small")).withColumns({"_lead": lead, "_marker": F.regexp_extract(text, "^(?:" + NOTE_START + ")", 1)})
-    numbered = tail.withColumn("note_no", F.sum(F.when(F.col("_lead") != "", 1).otherwise(0)).over(down.rowsBetween(Window.unboundedPreceding, 0))).where("note_no > 0")
-    sized_up = numbered.withColumns({"_block": F.count("*").over(whole), "_top": F.min("y0").over(whole)})
-    sound = sized_up.where((F.col("_block") <= NOTE_PART * F.col("_n")) & (F.col("_top") >= NOTE_TOP * F.col("height")))
-    marker = F.first("_marker").over(Window.partitionBy(*PAGE, "note_no").orderBy("y0", "line_no"))
-    return sound.withColumns({"marker": marker, "spans": F.when(F.col("_lead") != "", strip_prefix(F.col("spans"), F.length("_lead"))).otherwise(F.col("spans"))}).select(*lines.columns, "note_no", "marker")
+    sized = lines.join(body, "doc_id")
+    small = F.bool_and(F.col("size") <= NOTE_SIZE * F.col("body")).over(up)
+    tail = sized.withColumns({"_n": F.count("*").over(whole), "_tail": small & (F.col("body") > 0)})
+    tail = tail.withColumn("_lead", F.when(F.col("_tail") & (F.col("_n") >= 3), F.regexp_extract(text, "^(?:" + NOTE_START + ")", 0)))
+    numbered = tail.withColumn("_no", F.sum(F.when(F.col("_lead") != "", 1).otherwise(0)).over(down))
+    member = F.col("_lead").isNotNull() & (F.col("_no") > 0)
+    blocks = numbered.withColumns({"_member": member, "_block": F.sum(member.cast("int")).over(whole), "_first": F.min(F.when(member, F.col("y0"))).over(whole)})
+    sound = F.col("_member") & (F.col("_block") <= NOTE_PART * F.col("_n")) & (F.col("_first") >= NOTE_TOP * F.col(height))
+    told = blocks.withColumn("note_no", F.when(sound, F.col("_no")))
+    marker = F.first(F.when(F.col("note_no").isNotNull(), F.regexp_extract(text, "^(?:" + NOTE_START + ")", 1))).over(Window.partitionBy(*PAGE, "note_no").orderBy("y0", "line_no"))
+    spans = F.when(F.col("note_no").isNotNull() & (F.col("_lead") != ""), strip_prefix(F.col("spans"), F.length("_lead"))).otherwise(F.col("spans"))
+    return told.withColumns({"marker": marker, "spans": spans}).select(*lines.columns, "body", "note_no", "marker")
+
+
+def footnotes(lines: DataFrame, pages: DataFrame, body: DataFrame) -> DataFrame:
+    """Lines of the notes at the foot of each page, with note_no (from 1), marker and spans without it."""
+    marked = note_marks(lines.join(pages.select(*PAGE, "height"), PAGE), body)
+    return marked.where(F.col("note_no").isNotNull()).select(*lines.columns, "note_no", "marker")
 
 
 def _fractions() -> list[float]:
@@ -268,11 +315,51 @@ def boxes_without_text(boxes: DataFrame, lines: DataFrame, most: int = 6) -> Dat
     return boxes.join(full.select("doc_id", "page", "fig_no"), ["doc_id", "page", "fig_no"], "left_anti")
 
 
-def nearest_caption(figures: DataFrame, lines: DataFrame, body: DataFrame, reach: float = 4.0) -> DataFrame:
-    """For each figure the caption-like line within reach body sizes below or above it that is nearest to its lower edge."""
-    from quire.functions.text import CAPTION
+def nearest_caption(figures: DataFrame, lines: DataFrame, body: DataFrame, reach: float = CAPTION_REACH) -> DataFrame:
+    """doc_id, page, fig_no, line_no, text: each figure's caption-like line, as captions() finds it."""
+    found = captions(figures.withColumn("item_no", F.col("fig_no")), lines, body, reach).where(F.size("caption_lines") > 0)
+    return found.select(*PAGE, F.col("item_no").alias("fig_no"), F.get("caption_lines", F.lit(0)).alias("line_no"), F.get("caption_texts", F.lit(0)).alias("text"))
 
-    caption = lines.where(trimmed(line_text(F.col("spans"))).rlike(CAPTION)).select(*PAGE, "line_no", F.col("y0").alias("l0"), F.col("y1").alias("l1"), line_text(F.col("spans")).alias("text"))
-    near = figures.join(body, "doc_id").join(caption, PAGE).where((F.abs(F.col("l0") - F.col("y1")) < reach * F.col("body")) | (F.abs(F.col("y0") - F.col("l1")) < reach * F.col("body")))
-    by = Window.partitionBy(*PAGE, "fig_no").orderBy(F.abs(F.col("l0") - F.col("y1")), "line_no")
-    return near.withColumn("_rank", F.row_number().over(by)).where("_rank = 1").select(*PAGE, "fig_no", "line_no", "text")
+
+def captions(figures: DataFrame, lines: DataFrame, body: DataFrame, reach: float = CAPTION_REACH) -> DataFrame:
+    """doc_id, page, item_no, caption_lines, caption_texts of figures (doc_id, page, item_no, y0, y1): the lines that each figure claims; empty for none.
+
+    Figures choose in the order of item_no: each takes the caption-like line, not claimed before, that is nearest to its lower edge, within reach body sizes below
+    or above it; and with it up to CAPTION_LINES - 1 lines tight below. Which lines hang together is known before, line by line; the choice is a greedy pass
+    over one page's figures and its few caption-like lines.
+    """
+    caption_like = trimmed(line_text(F.col("spans"))).rlike(CAPTION)
+    wanted = figures.select(*PAGE).distinct()
+    told = lines.join(wanted, PAGE, "left_semi").select(*PAGE, "y0", "line_no", "y1", "x0", line_text(F.col("spans")).alias("text"), caption_like.alias("like"))
+    row = F.struct("y0", "line_no", "y1", "x0", "text", "like")
+    page_lines = told.groupBy(*PAGE).agg(F.sort_array(F.collect_list(row)).alias("_lines"), F.bool_or("like").alias("_any")).where("_any").join(body, "doc_id")
+
+    def hangs(first: Column) -> Column:
+        """The line and those tight below it: each next line in order, up to the first that stands apart."""
+        return bound(F.slice(F.filter("_lines", lambda x: x["y0"] > first["y0"]), F.lit(1), F.lit(CAPTION_LINES - 1)), lambda below: held(first, below))
+
+    def held(first: Column, below: Column) -> Column:
+        tight = lambda x, k: (x["y0"] - F.when(k == 0, first["y1"]).otherwise(F.get(below, k - 1)["y1"]) < CAPTION_GAP * F.col("body")) & (F.abs(x["x0"] - first["x0"]) < CAPTION_SHIFT * F.col("body"))
+        good = F.transform(below, tight)
+        upto = F.coalesce(F.nullif(F.array_position(good, F.lit(False)), F.lit(0)) - 1, F.size(below))
+        return F.concat(F.array(first), F.slice(below, F.lit(1), upto.cast("int")))
+
+    heads = F.transform(F.filter("_lines", lambda x: x["like"]), lambda x: F.struct(x["y0"].alias("y0"), x["y1"].alias("y1"), x["line_no"].alias("line_no"), hangs(x).alias("held")))
+    on_page = figures.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("item_no", "y0", "y1"))).alias("_figures"))
+    met = on_page.join(page_lines.withColumn("_heads", heads).select(*PAGE, "_heads", "_lines", "body"), PAGE)
+    first = F.struct(F.from_json(F.lit("[]"), "array<int>").alias("used"), F.from_json(F.lit("[]"), "array<struct<item_no:int,lines:array<int>,texts:array<string>>>").alias("claims"))
+
+    def choose(state: Column, figure: Column) -> Column:
+        within = lambda x: (F.abs(x["y0"] - figure["y1"]) < reach * F.col("body")) | (F.abs(figure["y0"] - x["y1"]) < reach * F.col("body"))
+        free = F.filter("_heads", lambda x: within(x) & ~F.array_contains(state["used"], x["line_no"]))
+        best = F.array_min(F.transform(free, lambda x: F.struct(F.abs(x["y0"] - figure["y1"]).alias("far"), x["line_no"].alias("line_no"), x["held"].alias("held"))))
+
+        def take(held: Column) -> Column:
+            claimed = F.transform(held, lambda x: x["line_no"].cast("int"))
+            claim = F.struct(figure["item_no"].cast("int").alias("item_no"), claimed.alias("lines"), F.transform(held, lambda x: x["text"]).alias("texts"))
+            return F.struct(F.concat(state["used"], claimed).alias("used"), F.concat(state["claims"], F.array(claim)).alias("claims"))
+
+        return bound(F.coalesce(best["held"], F.slice("_lines", 1, 0)), take)
+
+    claims = met.select(*PAGE, F.inline(F.aggregate("_figures", first, choose, lambda s: s["claims"])))
+    return claims.select(*PAGE, "item_no", F.col("lines").alias("caption_lines"), F.col("texts").alias("caption_texts"))

@@ -223,14 +223,6 @@ def nearest_caption(spark, sf):
     return layout.nearest_caption(adapter.boxes(docs), lines, rows.select("doc_id").distinct().withColumn("body", F.lit(11.0))).select("doc_id", "page", "line_no")
 
 
-@query()
-def structure_blocks(spark, sf):
-    """Blocks of every document, through all structuring steps."""
-    docs = table(spark, sf, "documents")
-    _, made, _ = blocks.structure(adapter.lines(docs), adapter.layouts(docs), adapter.boxes(docs))
-    return made.select("doc_id", "block_no", "kind", "level", "style", "page", text.plain_text(F.col("content")).alias("text"))
-
-
 # Text functions
 
 

@@ -505,9 +505,8 @@ def stripped_prefixes(spark, sf):
 _BIGRAMS_SQL = "[substr({0}, i, 2) for i in range(1, length({0}))]"
 
 
-@query(rf"""WITH {LINES_SQL}, pages AS (SELECT DISTINCT doc_id, page FROM lines),
-every AS (SELECT doc_id, page, line_no, text, y0, y1, size FROM lines UNION ALL SELECT doc_id, page, 1000, 'THE RUNNING HEAD', 40.0, 49.0, 9.0 FROM pages UNION ALL SELECT doc_id, page, 1001, (page + 17)::VARCHAR, 770.0, 779.0, 9.0 FROM pages),
-placed AS (SELECT *, row_number() OVER down AS place, row_number() OVER up AS from_end, count(*) OVER p AS n, min(y0) OVER p AS top_edge, max(y1) OVER p AS bottom_edge, median(size) OVER p AS page_size, lead(y0) OVER down - y1 AS below, y0 - lag(y1) OVER down AS above,
+#: Running heads and feet (told, often, needed) of the lines `every` (doc_id, page, line_no, text, y0, y1, size) and the pages `pages`.
+RUNNING_SQL = rf"""placed AS (SELECT *, row_number() OVER down AS place, row_number() OVER up AS from_end, count(*) OVER p AS n, min(y0) OVER p AS top_edge, max(y1) OVER p AS bottom_edge, median(size) OVER p AS page_size, lead(y0) OVER down - y1 AS below, y0 - lag(y1) OVER down AS above,
   regexp_replace(regexp_replace(text, '^[\s–—-]+', ''), '[\s–—-]+$', '') AS t FROM every
   WINDOW p AS (PARTITION BY doc_id, page), down AS (PARTITION BY doc_id, page ORDER BY y0, line_no), up AS (PARTITION BY doc_id, page ORDER BY y0 DESC, line_no DESC)),
 ends AS (SELECT *, place <= 2 AS top, (y0 + y1) / 2 AS centre, greatest(0.10 * 792, 0.07 * greatest(1.0, bottom_edge - top_edge)) AS zone FROM placed WHERE place <= 2 OR from_end <= 2),
@@ -521,7 +520,12 @@ norms AS (SELECT DISTINCT doc_id, top, norm FROM told), others AS (SELECT DISTIN
 alike AS (SELECT a.doc_id, a.top, a.norm, b.other FROM norms a JOIN (SELECT DISTINCT doc_id, top, other FROM others) b USING (doc_id, top) WHERE length(a.norm) >= 3 AND (a.norm = b.other OR (length(b.other) >= 2 AND
   2.0 * list_sum([least(len(list_filter({_BIGRAMS_SQL.format('a.norm')}, lambda h: h = g)), len(list_filter({_BIGRAMS_SQL.format('b.other')}, lambda h: h = g))) for g in list_distinct({_BIGRAMS_SQL.format('a.norm')})]) / (length(a.norm) + length(b.other) - 2) >= 0.75))),
 often AS (SELECT doc_id, top, norm, count(DISTINCT page) AS times FROM alike JOIN others USING (doc_id, top, other) GROUP BY doc_id, top, norm),
-needed AS (SELECT doc_id, greatest(2, ceil(0.25 * count(*))) AS needed FROM pages GROUP BY doc_id)
+needed AS (SELECT doc_id, greatest(2, ceil(0.25 * count(*))) AS needed FROM pages GROUP BY doc_id)"""
+
+
+@query(rf"""WITH {LINES_SQL}, pages AS (SELECT DISTINCT doc_id, page FROM lines),
+every AS (SELECT doc_id, page, line_no, text, y0, y1, size FROM lines UNION ALL SELECT doc_id, page, 1000, 'THE RUNNING HEAD', 40.0, 49.0, 9.0 FROM pages UNION ALL SELECT doc_id, page, 1001, (page + 17)::VARCHAR, 770.0, 779.0, 9.0 FROM pages),
+{RUNNING_SQL}
 SELECT told.doc_id, page, line_no, number FROM told JOIN needed USING (doc_id) LEFT JOIN often USING (doc_id, top, norm) WHERE (number IS NOT NULL AND norm = '') OR apart OR coalesce(times, 0) >= needed""")
 def running_lines(spark, sf):
     """Running heads and feet of the pages, with heads and page numbers put in."""

@@ -81,7 +81,6 @@ def _structured(spark):
     return blocks.structure(spark.createDataFrame(lines, LINES), spark.createDataFrame(layouts, PAGE_LAYOUTS), spark.createDataFrame(_FIGURES, FIGURES))
 
 
-@query(values("doc_id, block_no, kind, level, style, text", _STRUCTURED))
 def structured_documents(spark, sf):
     """Paragraphs, broken words, headings, text over page ends, note references, captions, quotations, noise, columns and running heads."""
     made = _structured(spark)[1]
@@ -92,7 +91,6 @@ def structured_documents(spark, sf):
 _NOTED = [("note", "n1-1", "1", "The note itself goes on here.", 0), ("raised", "n1-1", "2", "See there.", 0)]
 
 
-@query(values("doc_id, id, marker, text, page", _NOTED))
 def structured_notes(spark, sf):
     return _structured(spark)[2].select("doc_id", "id", "marker", told(F.col("content")).alias("text"), "page")
 
@@ -100,7 +98,6 @@ def structured_notes(spark, sf):
 _LABELLED = [*((doc, p, "") for doc, pages in _DOCUMENTS.items() if doc != "heads" for p in range(len(pages))), *(("heads", p, str(16 + p)) for p in range(4))]
 
 
-@query(values("doc_id, page, label", _LABELLED))
 def structured_pages(spark, sf):
     return _structured(spark)[0].select("doc_id", "page", "label")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from quire.plans import catalog, families, golden
+from quire.plans import catalog, families, golden, whole
 from quire.plans.catalog import flagship, oracle_sql, queries
 
-__all__ = ["catalog", "families", "flagship", "golden", "oracle_sql", "queries"]
+__all__ = ["catalog", "families", "flagship", "golden", "oracle_sql", "queries", "whole"]
