@@ -435,12 +435,12 @@ def _as_readings(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, Da
 
 @query(f"WITH RECURSIVE {_RENDERED_SQL} SELECT doc_id, seq, path, length(text)::INT AS n_chars, md5(text) AS digest FROM file")
 def xhtml_render(spark, sf):
-    rows = render.rendered(render.gathered(*_as_readings(spark, sf)), BundleSettings())
+    rows = render.rendered(*_as_readings(spark, sf), None, BundleSettings())
     return rows.where("part = 'file'").select("doc_id", "seq", "path", F.length("text").alias("n_chars"), F.md5("text").alias("digest"))
 
 
 @query(f"""WITH RECURSIVE {_RENDERED_SQL}, part AS (SELECT 'file' AS part, doc_id FROM file UNION ALL SELECT 'toc', doc_id FROM head UNION ALL SELECT 'toc', doc_id FROM piece WHERE n < 12 AND trim(text) <> '' UNION ALL SELECT 'page', doc_id FROM piece WHERE opens)
 SELECT part, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS n_readings FROM part GROUP BY part""")
 def bundle_manifest(spark, sf):
-    rows = render.rendered(render.gathered(*_as_readings(spark, sf)), BundleSettings())
+    rows = render.rendered(*_as_readings(spark, sf), None, BundleSettings())
     return rows.groupBy("part").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("n_readings"))

@@ -239,7 +239,7 @@ def rendered_readings(spark, sf):
     readings, made, notes, pages, _ = _shelf(spark)
     shown = spark.createDataFrame([("i1", "images/img1.png", 30, 20)], "id string, href string, width int, height int")
     listed = readings.where("status = 'done'").withColumn("place", F.col("seq"))
-    files = render.rendered(render.gathered(listed, made, notes, pages, shown), BundleSettings()).where("part = 'file'")
+    files = render.rendered(listed, made, notes, pages, shown, BundleSettings()).where("part = 'file'")
     body = F.when(F.col("path").contains("notes"), F.regexp_extract("text", r"(?s)(<li id=.*</li>)", 1)).otherwise(F.regexp_extract("text", r"(?s)<body>\n(.*)\n</body>", 1))
     return files.select("path", body.alias("body"))
 
@@ -252,7 +252,7 @@ def rendered_targets(spark, sf):
     """Table of contents and page list of the readings."""
     readings, made, notes, pages, _ = _shelf(spark)
     listed = readings.where("status = 'done'").withColumn("place", F.col("seq"))
-    return render.rendered(render.gathered(listed, made, notes, pages), BundleSettings()).where("part in ('toc', 'page')").select("part", "seq", "label", "href")
+    return render.rendered(listed, made, notes, pages, None, BundleSettings()).where("part in ('toc', 'page')").select("part", "seq", "label", "href")
 
 
 _NAV = ['<li><a href="text/title.xhtml">Contents</a></li>', '<li><a href="text/r01-01.xhtml">Liberty</a><ol><li><a href="text/r01-01.xhtml#r01-h1">Part &lt;one&gt;</a></li></ol></li>', '<li><a href="text/r02-01.xhtml">Other</a></li>']

@@ -8,7 +8,7 @@ from quire.functions.hashing import crc32_hex, dos_datetime, fingerprint
 from quire.operators import bundle, editing
 from quire.operators.bundle import BundleSettings
 from quire.operators.inlines import note_reference, page_break, text_run
-from quire.operators.render import gathered, rendered, sentence_parts
+from quire.operators.render import rendered
 from quire.schemas import BLOCKS, IMAGES, NOTES, PAGES, READINGS
 from quire.sources import epub, files
 
@@ -63,7 +63,7 @@ def test_archive(spark, one, tmp_path):
 
 def test_options_off(one):
     readings, blocks, notes, pages, _ = one
-    rows = rendered(gathered(bundle.ordered(readings), blocks, notes, pages), BundleSettings(page_markers=False, sections_in_toc=False, kepub=True)).collect()
+    rows = rendered(bundle.ordered(readings), blocks, notes, pages, None, BundleSettings(page_markers=False, sections_in_toc=False, kepub=True)).collect()
     text = next(r["text"] for r in rows if r["part"] == "file")
     ids = [x.split('"')[0] for x in text.split('id="kobo.')[1:]]
     assert "[p." not in text and "pagebreak" in text and len(ids) == len(set(ids)) > 5
@@ -74,7 +74,7 @@ def test_long_reading_is_split(spark):
     readings = spark.createDataFrame([reading("a", 0)], READINGS)
     blocks = spark.createDataFrame([block("a", k, "heading" if k % 20 == 0 else "paragraph", [text_run("Words " * 100)], level=1, page=k // 20) for k in range(600)], BLOCKS)
     pages = spark.createDataFrame([("a", k, "", None, "text", None) for k in range(30)], PAGES)
-    rows = rendered(gathered(bundle.ordered(readings), blocks, spark.createDataFrame([], NOTES), pages), BundleSettings()).where("part = 'file'").collect()
+    rows = rendered(bundle.ordered(readings), blocks, spark.createDataFrame([], NOTES), pages, None, BundleSettings()).where("part = 'file'").collect()
     assert len(rows) > 1 and all(len(r["text"]) < 300_000 for r in rows)
 
 
@@ -136,9 +136,3 @@ def test_editable_round_trip(spark):
     assert editing.decoded(shown, content, shown, notes, labels) is content
     changed = editing.decoded(shown.replace("two", "three ⟦note 9⟧"), content, shown, notes, labels)
     assert [(c["t"], c["text"] or c["note"] or c["page"]) for c in changed] == [("text", "One"), ("noteref", "n1"), ("text", " "), ("pb", 1), ("text", " three")]
-
-
-def test_sentences_lose_nothing():
-    assert sentence_parts('One. Two? "Three!" Four') == ["One. ", "Two? ", '"Three!" ', "Four"]
-    for text in ("", "...", "a", "?! b. c", "end… "):
-        assert "".join(sentence_parts(text)) == text

@@ -1,11 +1,8 @@
 import pytest
-from hypothesis import given
-from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from quire.functions import stats, text
 from quire.operators import layout
-from quire.operators.render import sentence_parts
 from quire.streaming.intake import intake, new_files
 
 
@@ -55,9 +52,13 @@ def test_small_ones(spark):
     assert apply(spark, lambda c: F.array_join(text.sentences(c), "|"), ('One. Two? "Three!" Four',), ("...",)) == ['One. |Two? |"Three!" |Four', "..."]
 
 
-@given(st.text(alphabet="ab .!?…”)\n"))
-def test_sentences_are_lossless(value):
-    assert "".join(sentence_parts(value)) == value
+def test_sentences_are_lossless(spark):
+    import random
+
+    rng = random.Random(2)
+    values = ["".join(rng.choices("ab .!?…”)\n", k=rng.randint(0, 20))) for _ in range(500)]
+    df = spark.createDataFrame([(v,) for v in values], "v string")
+    assert df.where(F.array_join(text.sentences(F.col("v")), "") != F.col("v")).count() == 0
 
 
 def test_labels(spark):
