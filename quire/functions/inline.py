@@ -13,7 +13,7 @@ BROKEN, GOES_ON = r"\p{L}-$", r"^\p{Ll}"
 
 
 def empty(kind: str = INLINE) -> Column:
-    return F.from_json(F.lit("[]"), f"array<{kind}>")
+    return F.array().cast(f"array<{kind}>")
 
 
 def bound(value: Column, use) -> Column:
@@ -103,7 +103,7 @@ def joined_pages(pieces: Column) -> Column:
         ends = F.struct(F.rtrim(last["text"], F.lit(SPACES)).alias("bare"), F.ltrim(head["text"], F.lit(SPACES)).alias("begun"))
 
         def whole(x: Column) -> Column:
-            word = F.when(after_text & before_text & x["bare"].rlike(BROKEN) & x["begun"].rlike(GOES_ON), F.regexp_extract(x["begun"], f"^[^{SPACES}]+", 0))
+            word = F.when(after_text & before_text & x["bare"].rlike(BROKEN) & x["begun"].rlike(GOES_ON), F.regexp_extract(x["begun"], f"^(?:(?!{WS}).)+", 0))
             ending = F.coalesce(F.concat(F.substring(x["bare"], F.lit(1), F.length(x["bare"]) - 1), word), F.concat(x["bare"], F.lit(" ")))
             opening = F.coalesce(F.substring(x["begun"], F.length(word) + 1, F.length(x["begun"])), x["begun"])
             before = F.when(after_text, F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(inline("text", ending, last)))).otherwise(done)

@@ -13,7 +13,8 @@ from quire.shipping import ship
 
 #: White space as browsers see it; Java's \s is ASCII only.
 SPACES = "".join(map(chr, (*range(9, 14), 32, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288, 65279)))
-WS = f"[{SPACES}]"
+#: The same as a class of ranges: one of single characters is tried one by one.
+WS = "[" + "".join(chr(a) if a == b else f"{chr(a)}-{chr(b)}" for a, b in ((9, 13), (32, 32), (160, 160), (5760, 5760), (8192, 8202), (8232, 8233), (8239, 8239), (8287, 8287), (12288, 12288), (65279, 65279))) + "]"
 #: A roman numeral below 4000, any case; empty input excluded.
 ROMAN = r"(?i)^(?=[ivxlcdm])m{0,3}(cm|cd|d?c{0,3})(xc|xl|l?x{0,3})(ix|iv|v?i{0,3})$"
 #: How a finished sentence ends.

@@ -347,7 +347,7 @@ def captions(figures: DataFrame, lines: DataFrame, body: DataFrame, reach: float
     heads = F.transform(F.filter("_lines", lambda x: x["like"]), lambda x: F.struct(x["y0"].alias("y0"), x["y1"].alias("y1"), x["line_no"].alias("line_no"), hangs(x).alias("held")))
     on_page = figures.groupBy(*PAGE).agg(F.sort_array(F.collect_list(F.struct("item_no", "y0", "y1"))).alias("_figures"))
     met = on_page.join(page_lines.withColumn("_heads", heads).select(*PAGE, "_heads", "_lines", "body"), PAGE)
-    first = F.struct(F.from_json(F.lit("[]"), "array<int>").alias("used"), F.from_json(F.lit("[]"), "array<struct<item_no:int,lines:array<int>,texts:array<string>>>").alias("claims"))
+    first = F.struct(F.array().cast("array<int>").alias("used"), F.array().cast("array<struct<item_no:int,lines:array<int>,texts:array<string>>>").alias("claims"))
 
     def choose(state: Column, figure: Column) -> Column:
         within = lambda x: (F.abs(x["y0"] - figure["y1"]) < reach * F.col("body")) | (F.abs(figure["y0"] - x["y1"]) < reach * F.col("body"))
