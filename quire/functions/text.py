@@ -143,13 +143,8 @@ def match_key(c: Column) -> Column:
 
 
 def sentences(c: Column) -> Column:
-    """The text in sentences with their closing marks and spaces; joined they give the text again."""
-    text = F.coalesce(c, F.lit(""))
-    found = F.regexp_extract_all(text, F.lit(r"([^.!?…]+(?:[.!?…]+[\"'”’)\]]*" + WS + r"*|$))"), F.lit(1))
-    head = F.regexp_extract(text, r"^([.!?…]+)", 1)  # marks that no sentence opens
-    covered = F.aggregate(found, F.length(head), lambda n, s: n + F.length(s))
-    rest = F.substring(text, covered + 1, F.length(text))
-    return F.filter(F.concat(F.array(head), found, F.array(rest)), lambda s: s != "")
+    """The text in sentences with their closing marks and spaces, and marks that no sentence opens; joined they give the text again."""
+    return F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"([^.!?…]+(?:[.!?…]+[\"'”’)\]]*" + WS + r"*|$)|[.!?…]+)"), F.lit(1))
 
 
 def toc_label(c: Column) -> Column:

@@ -226,8 +226,7 @@ def nearest_caption(spark, sf):
 # Text functions
 
 
-@query(r"""WITH s AS (SELECT doc_id, text, regexp_extract_all(text, '([^.!?…]+(?:[.!?…]+["''”’)\]]*\s*|$))') AS parts, length(regexp_extract(text, '^[.!?…]+')) AS head FROM documents)
-SELECT doc_id, (len(parts) + CASE WHEN head > 0 THEN 1 ELSE 0 END + CASE WHEN head + coalesce(list_sum([length(p) for p in parts]), 0) < length(text) THEN 1 ELSE 0 END)::INT AS n_sentences FROM s""")
+@query(r"""SELECT doc_id, len(regexp_extract_all(text, '([^.!?…]+(?:[.!?…]+["''”’)\]]*\s*|$)|[.!?…]+)'))::INT AS n_sentences FROM documents""")
 def sentence_split(spark, sf):
     return table(spark, sf, "documents").select("doc_id", F.size(text.sentences(F.col("text"))).alias("n_sentences"))
 
