@@ -233,11 +233,16 @@ g AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY idx) AS nth FROM
 SELECT doc_id, CASE WHEN regexp_matches(t, '^(chapter|part|book|section|lecture)\\s+[0-9ivxlcdm]+\\.?$', 'i') AND length(following) BETWEEN 3 AND 120 THEN t || ': ' || following ELSE t END AS title FROM g WHERE nth = 1""")
 def first_headings(spark, sf):
     """Titles by the first headings, some of them of a chapter."""
+    return blocks.first_heading(headed_blocks(spark, sf)).select("doc_id", "title")
+
+
+def headed_blocks(spark, sf) -> DataFrame:
+    """A block a line of all documents; short lines and every third one are headings."""
     rows, idx = adapter.text_lines(table(spark, sf, "documents")), F.col("idx")
     told = F.when(idx == 1, "chapter i").when(idx % 3 == 1, "— part 2.").otherwise(F.lower("text"))
     run = F.array(F.struct(F.lit("text").alias("t"), told.alias("text"), *(F.lit(False).alias(k) for k in ("i", "b", "sup")), F.lit(None).cast("string").alias("note"), F.lit(None).cast("int").alias("page")))
     made = rows.select("doc_id", idx.alias("block_no"), F.when((F.col("n") < 12) | (idx % 3 == 1), "heading").otherwise("paragraph").alias("kind"), run.alias("content"))
-    return blocks.first_heading(spark.createDataFrame([], struct(BLOCKS)).unionByName(made, allowMissingColumns=True)).select("doc_id", "title")
+    return spark.createDataFrame([], struct(BLOCKS)).unionByName(made, allowMissingColumns=True)
 
 
 #: Headings as they are read and as they should be.

@@ -13,7 +13,7 @@ from quire.operators import blocks, editing, process, render
 from quire.operators.bundle import BundleSettings
 from quire.operators.inlines import note_reference, page_break, text_run
 from quire.plans.catalog import query
-from quire.schemas import BLOCKS, FIGURES, IMAGES, LINES, NOTES, PAGE_LAYOUTS, PAGES, PDF_ITEMS, READINGS
+from quire.schemas import BLOCKS, FIGURES, IMAGES, LINES, NOTES, PAGE_LAYOUTS, PAGES, READINGS
 from quire.sources import epub, html
 
 
@@ -165,7 +165,6 @@ def word_documents(spark, sf):
 
 
 _EDITED = [(0, "Text 0^n1^"), (1, "New ^n1^ end |0|"), (2, "Text 2^n1^"), (3, "^n2^ and gone"), (4, "Text 4^n1^")]
-_SHOWN = [(k, f"Text {k}⟦note 1⟧") for k in range(5)]
 
 
 def _editable(spark) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -182,12 +181,6 @@ def edited_texts(spark, sf):
     return editing.apply_edits(made, edits, notes, pages).select("block_no", told(F.col("content")).alias("text"))
 
 
-@query(values("block_no, text", _SHOWN))
-def editable_texts(spark, sf):
-    made, _, _ = _editable(spark)
-    return made.select("block_no", editing.editable(F.col("content"), F.create_map(F.lit("n1"), F.lit("1")), F.create_map(F.lit(0), F.lit("5"))).alias("text"))
-
-
 @query(values("part, no, text", [("caption", 0, "A view"), ("caption", 1, None), ("note", 1, "a b"), ("note", 2, "Other")]))
 def edited_captions(spark, sf):
     made, notes, _ = _editable(spark)
@@ -282,28 +275,3 @@ def archive_files(spark, sf):
     return made.select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("seq")).alias("n"), "path", "store", holds.alias("holds"))
 
 
-_ROUTED = [("d", 0, "text", "This layer of text is long enough to be used as it stands."), ("d", 1, "ocr", None)]
-
-
-@query(values("doc_id, page, source, text", _ROUTED))
-def routed_pages(spark, sf):
-    """A page whose text layer is used, and one that is left to recognition."""
-    words = _ROUTED[0][3].split()
-    items = [("d", 0, k, w, 72.0 + 34 * k, 100.0, 30.0, 11.0, False, False) for k, w in enumerate(words)] + [("d", 1, 0, "short", 72.0, 100.0, 30.0, 11.0, False, False)]
-    layouts = spark.createDataFrame([("d", k, 612.0, 792.0, None, None, None, None) for k in range(2)], PAGE_LAYOUTS)
-    df = spark.createDataFrame(items, PDF_ITEMS)
-    made = process.from_items(df, layouts, spark.createDataFrame([], FIGURES), spark.createDataFrame([], IMAGES))
-    return process.routed(layouts, df).select("doc_id", "page", "source").join(made.blocks.select("doc_id", "page", told(F.col("content")).alias("text")), ["doc_id", "page"], "left")
-
-
-_TITLED = [("a", "Own title", "An Author"), ("b", "Chapter II: Of Liberty", None), ("c", "Late heading", None)]
-
-
-@query(values("doc_id, title, author", _TITLED))
-def reading_titles(spark, sf):
-    """A file's own title if it is sound, else the first heading; an author of more than one letter."""
-    head = lambda d, no, t: (d, no, "heading", 1, None, None, 0, [text_run(t)], None, None, None, None, None)
-    made = spark.createDataFrame([head("a", 0, "First heading"), head("b", 0, "CHAPTER I1"), head("b", 1, "Of Liberty"), head("c", 11, "Late heading"), head("c", 12, "Too late")], BLOCKS)
-    none = lambda ddl: spark.createDataFrame([], ddl)
-    metadata = spark.createDataFrame([("a", "Microsoft Word - Own title.doc", " An Author "), ("b", "untitled", "x"), ("c", None, None)], "doc_id string, title string, author string")
-    return process.titles(process.Structured(none(PAGES), made, none(NOTES), none(IMAGES), none("doc_id string, error string")), metadata).select("doc_id", "title", "author")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.functions.inline import inline
 from quire.functions.text import plain_text
-from quire.operators import blocks
+from quire.operators import blocks, editing, process
 from quire.plans import adapter
 from quire.plans.adapter import LINES_SQL
-from quire.plans.catalog import query, table
-from quire.plans.families import RUNNING_SQL
+from quire.plans.catalog import oracle_sql, query, table
+from quire.plans.families import RUNNING_SQL, headed_blocks
+from quire.schemas import IMAGES, NOTES, PAGES
 
 #: Lines of a page by their number: headings, figures' captions, quotations, and the notes' marks and texts.
 _TITLES, _HEADING, _CAPTIONS, _QUOTED, _MARKED, _RAISED, _NOTES = (0, 1), 12, (18, 21), (28, 31), 5, 9, 37
@@ -172,3 +174,32 @@ def structure_blocks(spark, sf):
     docs = table(spark, sf, "documents")
     _, made, _ = blocks.structure(adapter.lines(docs), adapter.layouts(docs), adapter.boxes(docs))
     return made.select("doc_id", "block_no", "kind", "level", "style", "page", plain_text(F.col("content")).alias("text"))
+
+
+@query(f"WITH {LINES_SQL} SELECT doc_id, page, CASE WHEN sum(length(trim(text))) >= 40 THEN 'text' ELSE 'ocr' END AS source FROM lines GROUP BY doc_id, page")
+def routed_pages(spark, sf):
+    """Pages whose text layer is used, and those that are left to recognition."""
+    docs = table(spark, sf, "documents")
+    return process.routed(adapter.layouts(docs), adapter.text_lines(docs).select("doc_id", "page", F.col("text").alias("str"))).select("doc_id", "page", "source")
+
+
+@query(f"""WITH heads AS ({oracle_sql()["first_headings"]})
+SELECT d.doc_id::VARCHAR AS doc_id, coalesce(CASE WHEN d.doc_id % 3 = 0 THEN 'Own title ' || d.doc_id END, title) AS title, CASE WHEN d.doc_id % 2 = 0 THEN 'An Author' END AS author FROM documents d LEFT JOIN heads ON heads.doc_id::VARCHAR = d.doc_id::VARCHAR""")
+def reading_titles(spark, sf):
+    """A file's own title if it is sound, else the first heading; an author of more than one letter."""
+    key = F.col("doc_id")
+    own = F.when(key % 3 == 0, F.concat(F.lit("Microsoft Word - Own title "), key.cast("string"), F.lit(".doc"))).when(key % 3 == 1, F.lit("untitled"))
+    known = table(spark, sf, "documents").select(key.cast("string").alias("doc_id"), own.alias("title"), F.when(key % 2 == 0, F.lit(" An Author ")).otherwise(F.lit("x")).alias("author"))
+    none = lambda ddl: spark.createDataFrame([], ddl)
+    return process.titles(process.Structured(none(PAGES), headed_blocks(spark, sf), none(NOTES), none(IMAGES), none("doc_id string, error string")), known).select("doc_id", "title", "author")
+
+
+@query("""SELECT conv_id, turn, trim(regexp_replace(text || CASE WHEN turn % 3 = 0 THEN '⟦note ' || (turn + 1) || '⟧' ELSE '' END || CASE WHEN turn % 2 = 0 THEN ' ⟦p. ' || (turn + 40) || '⟧ ' ELSE ' ⟦p. ' || (turn + 1) || '⟧ ' END, ' {2,}', ' ', 'g'), ' ') AS text FROM conversations""")
+def editable_texts(spark, sf):
+    """Turns as text to edit: each with a reference, known or not, and the mark of a page with or without a printed label."""
+    turn = F.col("turn")
+    note = F.concat(F.lit("n"), turn.cast("string"))
+    content = F.array(inline("text", F.col("text")), inline("noteref", note=note), inline("pb", page=turn))
+    markers = F.when(turn % 3 == 0, F.create_map(note, (turn + 1).cast("string"))).otherwise(F.create_map(F.lit("other"), F.lit("1")))
+    labels = F.create_map(turn.cast("int"), F.when(turn % 2 == 0, (turn + 40).cast("string")).otherwise(F.lit("")))
+    return table(spark, sf, "conversations").select("conv_id", "turn", editing.editable(content, markers, labels).alias("text"))
