@@ -9,11 +9,11 @@ import zipfile
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.operators import blocks, editing, process, render
+from quire.operators import editing, process, render
 from quire.operators.bundle import BundleSettings
 from quire.operators.inlines import note_reference, page_break, text_run
 from quire.plans.catalog import query
-from quire.schemas import BLOCKS, FIGURES, IMAGES, LINES, NOTES, PAGE_LAYOUTS, PAGES, READINGS
+from quire.schemas import BLOCKS, IMAGES, NOTES, PAGES, READINGS
 from quire.sources import epub, html
 
 
@@ -26,82 +26,11 @@ def values(names: str, rows: list[tuple]) -> str:
     return f"SELECT * FROM (VALUES {', '.join('(' + ', '.join(map(_quoted, r)) + ')' for r in rows)}) AS t({names})"
 
 
-def _line(text, y, *, size=11.0, x0=72.0, x1=540.0, conf=None, spans=None):
-    return spans or [(text, False, False, False)], float(x0), float(y), float(x1), float(y + size), float(size), conf, None
-
-
-def _body(texts, start=100, *, new=(0,), last=300.0):
-    """Lines at pitch 14; those in `new` are indented, the one before each and the last are short."""
-    ends = {len(texts) - 1, *(k - 1 for k in new)}
-    return [_line(t, start + 14 * k, x0=90.0 if k in new else 72.0, x1=last if k in ends else 540.0) for k, t in enumerate(texts)]
-
-
-_FILL = [f"text of line {k} goes on and on" for k in range(7)]
-_OPENED = ["It was late in autumn when we met,", "Nobody had asked the harbour master,", "Seven lanterns burned along a quay,", "Before dawn every ship had gone,"]
-_RAISED = [("A claim", False, False, False), ("2", True, False, False), (" that stands", False, False, False)]
-#: Documents as pages of lines.
-_DOCUMENTS = {
-    "broken": [_body(["The sociological imagi-", "nation enables us.", "A second one begins", "and ends here."], new=(0, 2))],
-    "headings": [[_line("Great heading", 60, size=20, x1=300), _line("Lesser heading", 100, size=14, x1=300), *_body([f"Body text number {k} that is long enough" for k in range(8)], 140)]],
-    "over": [_body(["It runs over the page of soci-"], last=540.0), _body(["ety it is said."], new=())],
-    "apart": [_body(["It ends here."]), _body(["New one begins."])],
-    "note": [[*_body(["A stated fact.1 And more", *_FILL]), _line("1. The note itself", 700, size=8.5), _line("goes on here.", 711, size=8.5)]],
-    "raised": [[_line("", 100, spans=_RAISED), *_body(_FILL, 114, new=()), _line("2 See there.", 700, size=8)]],
-    "caption": [[*_body(["Text before it."]), _line("Figure 1. A caption", 420, size=9, x1=300), *_body(["Text after it."], 460)]],
-    "quote": [[*_body(["Plain text goes first and fills", "lines.", "More plain text that fills it", "up."], new=(0, 2)), *[_line(f"quoted words {k}", 170 + 14 * k, x0=100, x1=500) for k in range(3)]]],
-    "noise": [[_line("~", 50, conf=12.0), *_body(["Sound text here."])]],
-    "columns": [[_line("The title of it all", 60, size=18), *[_line(f"Left {k} goes here and on", 100 + 14 * k, x1=295) for k in range(6)], *[_line(f"right {k} goes here and on", 100 + 14 * k, x0=317) for k in range(6)]]],
-    "heads": [[_line("THE SOCIOLOGICAL IMAGINATION" if p % 2 else "C. Wright Mills", 40, size=9), *_body([_OPENED[p], *_FILL[:6], "and ends."]), _line(str(16 + p), 750, size=9)] for p in range(4)],
-}
-_FIGURES = [("caption", 0, 0, 72.0, 130.0, 540.0, 410.0, "img", None)]
-_BODY = " ".join(_FILL)
-_STRUCTURED = [
-    ("broken", 0, "paragraph", None, None, "The sociological imagination enables us."), ("broken", 1, "paragraph", None, None, "A second one begins and ends here."),
-    ("headings", 0, "heading", 1, None, "Great heading"), ("headings", 1, "heading", 2, None, "Lesser heading"), ("headings", 2, "paragraph", None, None, " ".join(f"Body text number {k} that is long enough" for k in range(8))),
-    ("over", 0, "paragraph", None, None, "It runs over the page of society|1| it is said."),
-    ("apart", 0, "paragraph", None, None, "It ends here."), ("apart", 1, "paragraph", None, None, "New one begins."),
-    ("note", 0, "paragraph", None, None, f"A stated fact.^n1-1^ And more {_BODY}"),
-    ("raised", 0, "paragraph", None, None, f"A claim^n1-1^ that stands {_BODY}"),
-    ("caption", 0, "paragraph", None, None, "Text before it."), ("caption", 1, "figure", None, None, "[Figure 1. A caption]"), ("caption", 2, "paragraph", None, None, "Text after it."),
-    ("quote", 0, "paragraph", None, None, "Plain text goes first and fills lines."), ("quote", 1, "paragraph", None, None, "More plain text that fills it up."), ("quote", 2, "paragraph", None, "quote", "quoted words 0 quoted words 1 quoted words 2"),
-    ("noise", 0, "paragraph", None, None, "Sound text here."),
-    ("columns", 0, "heading", 1, None, "The title of it all"), ("columns", 1, "paragraph", None, None, " ".join(f"Left {k} goes here and on" for k in range(6))), ("columns", 2, "paragraph", None, None, " ".join(f"right {k} goes here and on" for k in range(6))),
-    *(("heads", p, "paragraph", None, None, " ".join([_OPENED[p], *_FILL[:6], "and ends."])) for p in range(4)),
-]
-
-
 def told(content: Column) -> Column:
     """Inline content as text, page breaks as |n|, references as ^id^."""
     return F.array_join(F.transform(content, lambda c: F.when(c["t"] == "text", c["text"]).when(c["t"] == "pb", F.concat(F.lit("|"), c["page"].cast("string"), F.lit("|"))).otherwise(F.concat(F.lit("^"), c["note"], F.lit("^")))), "")
 
 
-def _structured(spark):
-    lines = [(doc, p, k, *line) for doc, pages in _DOCUMENTS.items() for p, own in enumerate(pages) for k, line in enumerate(own)]
-    layouts = [(doc, p, 612.0, 792.0, None, "ocr", 80.0, None) for doc, pages in _DOCUMENTS.items() for p in range(len(pages))]
-    return blocks.structure(spark.createDataFrame(lines, LINES), spark.createDataFrame(layouts, PAGE_LAYOUTS), spark.createDataFrame(_FIGURES, FIGURES))
-
-
-def structured_documents(spark, sf):
-    """Paragraphs, broken words, headings, text over page ends, note references, captions, quotations, noise, columns and running heads."""
-    made = _structured(spark)[1]
-    text = F.when(F.col("kind") == "figure", F.concat(F.lit("["), "caption", F.lit("]"))).otherwise(told(F.col("content")))
-    return made.select("doc_id", "block_no", "kind", "level", "style", text.alias("text"))
-
-
-_NOTED = [("note", "n1-1", "1", "The note itself goes on here.", 0), ("raised", "n1-1", "2", "See there.", 0)]
-
-
-def structured_notes(spark, sf):
-    return _structured(spark)[2].select("doc_id", "id", "marker", told(F.col("content")).alias("text"), "page")
-
-
-_LABELLED = [*((doc, p, "") for doc, pages in _DOCUMENTS.items() if doc != "heads" for p in range(len(pages))), *(("heads", p, str(16 + p)) for p in range(4))]
-
-
-def structured_pages(spark, sf):
-    return _structured(spark)[0].select("doc_id", "page", "label")
-
-
 _HTML = {
     "plain": "<nav><a>x</a></nav><h1>Head <i>one</i></h1><p>First<p>Second <b>bold</b><ul><li>a<li>b <i>c</i></ul><script>var x='</p>';</script><h5>Low</h5>",
     "rich": '<p>Text<sup><a href="#footnote-1">[1]</a></sup> on</p><blockquote><p>Quoted</p></blockquote><table><tr><td>x</td><th>y</th></tr><tr><td>z</td></tr></table>'
