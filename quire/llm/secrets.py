@@ -8,7 +8,7 @@ walks and brute-force spans, by dynamic programming over its characters, as log1
 - walk: three neighbours or more on a keyboard row, either way;
 - brute force: each character by its class.
 Every span of every kind, wherever it starts and ends, is a candidate. Walks and repeats are kept as the stretches in which all their spans lie,
-and the program looks at these; a value of n characters takes about n log n steps to find them. Values above a threshold are reported as
+and the program looks at these; finding them takes about n log n steps for a value of n characters; the program's own time grows with the square of the longest walk or repeat. Values above a threshold are reported as
 spans of kind `cred`, besides the pattern's own spans.
 
 The dictionary is the fixed list of words that guessers try first, and then the words of a vocabulary file, in its order, which is by frequency.
@@ -76,7 +76,7 @@ def _char_cost(c: str) -> float:
 
 
 def vocabulary(path: str) -> list[str]:
-    """The whole words of a tokenizer's vocabulary file (.json), lower-cased, in its order."""
+    """The pieces of a tokenizer's vocabulary file (.json) that follow a space, lower-cased, in its order: words, most frequent first by and large, and some beginnings of words."""
     known = json.loads(Path(path).read_text())["model"]["vocab"]
     words = (k[1:].lower() for k in sorted(known, key=known.get) if k[:1] == "\u0120")
     return [w for w in words if len(w) >= WORD_LEAST and w.isascii() and w.isalpha()]
