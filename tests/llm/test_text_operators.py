@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -183,20 +184,45 @@ def test_guess_costs():
     assert len(large.rank) > 20_000 and large.cost("correcthorse") < secrets.STRONG < cost("correcthorse")
 
 
+MONTHS = "january february march april may june july august september october november december".split()
+MONTHS += [x[:3] for x in MONTHS] + ["sept"]
+
+
+def is_year(x):
+    return x.isascii() and x.isdigit() and (len(x) == 2 or len(x) == 4 and x[:2] in ("19", "20"))
+
+
+def is_date(x):
+    """By every way to part it into three."""
+    number = lambda p, most, least: p.isascii() and p.isdigit() and least <= len(p) <= 2 and 1 <= int(p) <= most
+    if len(x) > 20:
+        return False
+    for sign in ("", *"-/._ "):
+        cuts = [x.split(sign)] if sign else [[x[:i], x[i:j], x[j:]] for i in range(1, len(x)) for j in range(i + 1, len(x))]
+        for parts in cuts:
+            if len(parts) != 3:
+                continue
+            for d, m, y in ((0, 1, 2), (1, 0, 2), (2, 1, 0)):
+                named = parts[m] in MONTHS
+                short = 1 if sign or named else 2
+                if number(parts[d], 31, short) and (named or number(parts[m], 12, short)) and is_year(parts[y]):
+                    return True
+    return False
+
+
 def brute_cost(value, words):
     """By every span of value and every way to cut it; spans are told one by one, from what they hold."""
     char = lambda c: 1.0 if c.isdigit() else math.log10(26) if c.isalpha() else math.log10(33)
     rows = [x for row in secrets.KEYBOARD for x in (row, row[::-1])]
-    dates = {"year": r"(19|20)\d\d", "ymd": r"(19|20)\d\d[-/.]?(0[1-9]|1[0-2])[-/.]?(0[1-9]|[12]\d|3[01])", "dmy": r"(0[1-9]|[12]\d|3[01])[-/.]?(0[1-9]|1[0-2])[-/.]?(19|20)\d\d"}
-
     def span(x):
         low, costs = x.lower(), [sum(map(char, x))]
         for word, rank in ((low, words.get(low)), (None, 2 * words.get(low.translate(secrets.LEET), 0))):
             if rank:
                 costs.append(math.log10(rank + 1) + (0 if x == word or x == low and word is None else math.log10(2)))
-        for kind, pattern in dates.items():
-            if re.fullmatch(pattern, x):
-                costs.append(math.log10(120 if kind == "year" else 365 * 120))
+        if len(x) == 4 and is_year(x):
+            costs.append(math.log10(120))
+        if is_date(low):
+            costs.append(math.log10(365 * 120))
         for u in range(1, len(x) // 3 + 1):
             if len(x) % u == 0 and x[:u] * (len(x) // u) == x:
                 costs.append(sum(map(char, x[:u])) + math.log10(len(x) // u))
@@ -211,10 +237,50 @@ def brute_cost(value, words):
 
 
 @settings(max_examples=150, deadline=None)
-@given(st.lists(st.sampled_from(["abcde", "football", "zxcvb", "monkey", "2024-01-15", "1998", "aab", "qwe", "P4ss", "love", "x", "9", "$", "abab", "ewq", "31122001", "Z"]), max_size=7).map("".join))
+@given(st.lists(st.sampled_from(["abcde", "football", "zxcvb", "monkey", "2024-01-15", "1998", "aab", "qwe", "P4ss", "love", "x", "9", "$", "abab", "ewq", "31122001", "Z", "of", "to", "1.1.1990", "010190", "4july", "Sept-03-99", "a", "12", "1212"]), max_size=7).map("".join))
 def test_guess_cost_is_the_least_of_all_cuts(value):
-    words = {w: k + 1 for k, w in enumerate(secrets.WORDS)}
-    assert abs(secrets.Guesser().cost(value) - brute_cost(value, words)) < 1e-9
+    words = {w: k + 1 for k, w in enumerate((*secrets.WORDS, "of", "to", "p4s"))}
+    assert abs(secrets.Guesser(["of", "to", "p4s"]).cost(value) - brute_cost(value, words)) < 1e-9
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.text(st.sampled_from("ab1"), max_size=40), st.integers(1, 6))
+def test_guess_cost_of_long_repeats_and_walks(unit, times):
+    value = unit * times
+    if len(value) <= 60:
+        words = {w: k + 1 for k, w in enumerate(secrets.WORDS)}
+        assert abs(secrets.Guesser().cost(value) - brute_cost(value, words)) < 1e-9
+    whole = {(a, b, u) for u in range(1, len(value) // 3 + 1) for a, b in stretches(value, u)}
+    found = set(secrets.periodic(value))
+    assert found <= whole
+    # what is left out repeats a shorter unit that is found
+    assert all(x in found or any(a <= x[0] and x[1] <= b and x[2] % u == 0 for a, b, u in found) for x in whole)
+
+
+def stretches(value, u):
+    alike = [x == y for x, y in zip(value, value[u:])]
+    edges = [k for k in range(len(alike) + 1) if (k < len(alike) and alike[k]) != (k > 0 and alike[k - 1])]
+    return [(a, b + u) for a, b in zip(edges[::2], edges[1::2]) if b - a >= 2 * u]
+
+
+@pytest.mark.parametrize("sizes", [[5, 3, 8, 1, 9, 2, 7, 4, 6, 0] * 8, list(range(60)), list(range(60, 0, -1)), [3, 3, 3, 3.5] * 15])
+def test_cheapest_starts(sizes):
+    starts = [k / 10 for k in sizes]
+    kept = secrets.Cheapest()
+    for x in range(3, len(starts) + 3):
+        kept.add(x - 3, starts[x - 3], x)
+        assert abs(kept.at(x) - min(c + math.log10(x - i) for i, c in enumerate(starts[: x - 2]))) < 1e-12
+
+
+@pytest.mark.parametrize("name", ["12", "a", "random", "mostly a", "abc"])
+def test_long_values_take_no_square(name):
+    rng = np.random.default_rng(5)
+    n = 200_000
+    value = {"12": "12" * (n // 2), "a": "a" * n, "abc": "abcdefghij" * (n // 10)}.get(name) or "".join(rng.choice(list("0123456789abcdef") if name == "random" else list("a" * 500 + "b"), n))
+    begun = time.process_time()
+    secrets.Guesser().cost(value)
+    assert time.process_time() - begun < 20
+
 
 
 # licenses
