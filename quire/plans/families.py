@@ -10,6 +10,7 @@ from quire.operators import blocks, bundle, layout
 from quire.plans import adapter
 from quire.plans.adapter import LINES_SQL
 from quire.plans.catalog import _NUMBER_SQL, query, table
+from quire.saving import new_folder
 from quire.schemas import BLOCKS, struct
 from quire.sources import files, ocr, pdf_items, state
 
@@ -210,6 +211,20 @@ def edited_blocks(spark, sf):
     return made.select("doc_id", "block_no", "kind", "level", "style", F.md5(text.plain_text(F.col("content"))).alias("digest"))
 
 
+@query("""SELECT conv_id::VARCHAR AS doc_id, turn::INT AS block_no, CASE WHEN conv_id % 50 = 7 AND turn = 0 THEN 'heading' WHEN turn % 5 = 4 THEN 'figure' ELSE 'paragraph' END AS kind,
+CASE WHEN conv_id % 50 = 7 AND turn = 0 THEN 2 END::INT AS level, md5(text) AS digest FROM conversations WHERE conv_id % 50 <> 8""")
+def edited_state(spark, sf):
+    """Blocks saved, edited twice in the buckets of some documents alone (headings set, documents removed), and read again as the last version."""
+    path = new_folder(spark, "state")
+    state.save({"blocks": _plain_blocks(spark, sf)}, path, 1)
+    every = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("doc_id")).distinct()
+    some = lambda k: F.col("doc_id").cast("long") % 50 == k
+    first = some(7) & (F.col("block_no") == 0)
+    state.edit(spark, path, {"blocks": (every.where(some(7)), lambda b: b.withColumns({"kind": F.when(first, "heading").otherwise(F.col("kind")), "level": F.when(first, 2).otherwise(F.col("level"))}))})
+    last = state.edit(spark, path, {"blocks": (every.where(some(8)), lambda b: b.where(~some(8)))})
+    return state.load(spark, path, "blocks", last).select("doc_id", "block_no", "kind", "level", F.md5(text.plain_text(F.col("content"))).alias("digest"))
+
+
 @query("""WITH f AS (SELECT 'p' || conv_id % 40 AS id, min(conv_id::VARCHAR || ':' || printf('%06d', turn)) AS place FROM conversations WHERE turn % 5 = 4 GROUP BY 1), i AS (SELECT 'p' || s_suppkey AS id FROM supplier)
 SELECT id, row_number() OVER (ORDER BY split_part(place, ':', 1), split_part(place, ':', 2))::INT AS number FROM f JOIN i USING (id)""")
 def used_images(spark, sf):
