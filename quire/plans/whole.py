@@ -12,7 +12,7 @@ from quire.plans import adapter
 from quire.plans.adapter import LINES_SQL
 from quire.plans.catalog import oracle_sql, query, table
 from quire.plans.families import RUNNING_SQL, headed_blocks
-from quire.schemas import IMAGES, NOTES, PAGES
+from quire.schemas import BLOCKS, IMAGES, NOTES, PAGES, struct
 
 #: Lines of a page by their number: headings, figures' captions, quotations, and the notes' marks and texts.
 _TITLES, _HEADING, _CAPTIONS, _QUOTED, _MARKED, _RAISED, _NOTES = (0, 1), 12, (18, 21), (28, 31), 5, 9, 37
@@ -203,3 +203,25 @@ def editable_texts(spark, sf):
     markers = F.when(turn % 3 == 0, F.create_map(note, (turn + 1).cast("string"))).otherwise(F.create_map(F.lit("other"), F.lit("1")))
     labels = F.create_map(turn.cast("int"), F.when(turn % 2 == 0, (turn + 40).cast("string")).otherwise(F.lit("")))
     return table(spark, sf, "conversations").select("conv_id", "turn", editing.editable(content, markers, labels).alias("text"))
+
+
+_EDIT = " ⟦note 0⟧ mid   dle ⟦p. 41⟧⟦ note x ⟧ end\n⟦p. 40⟧ "
+
+
+@query(r"""WITH n AS (SELECT conv_id, min(turn) FILTER (turn % 4 = 0) AS note, min(turn) FILTER (turn % 6 = 3 OR turn % 3 <> 0 AND turn = 40) AS p41, min(turn) FILTER (turn % 6 = 0 OR turn % 3 <> 0 AND turn = 39) AS p40 FROM conversations GROUP BY 1),
+o AS (SELECT conv_id, turn, CASE WHEN turn % 4 = 0 THEN turn ELSE note END AS note, p41, CASE WHEN turn % 6 = 0 THEN turn ELSE p40 END AS p40, regexp_replace(text, '\s+', ' ', 'g') AS t, text FROM conversations JOIN n USING (conv_id))
+SELECT conv_id, turn, md5(CASE WHEN turn % 2 = 1 THEN text || '^n' || turn || '^|' || turn || '|' ELSE ltrim(t || ' ') || coalesce('^n' || note || '^', '') || ' mid dle ' || coalesce('|' || p41 || '|', '') || ' end ' || coalesce('|' || p40 || '|', '') END) AS digest FROM o""")
+def edited_turns(spark, sf):
+    """Turns as blocks with a reference and a page break, edited: some as they were shown, some with tokens for notes and pages of their own, of the document, of none."""
+    turns = table(spark, sf, "conversations").select(F.col("conv_id").cast("string").alias("doc_id"), F.col("turn").cast("int").alias("block_no"), "text")
+    no = F.col("block_no")
+    note, marker = F.concat(F.lit("n"), no), (no % 4).cast("string")
+    label = F.when(no % 3 == 0, (no % 2 + 40).cast("string"))
+    content = F.array(inline("text", F.col("text")), inline("noteref", note=note), inline("pb", page=no))
+    made = spark.createDataFrame([], struct(BLOCKS)).unionByName(turns.select("doc_id", "block_no", F.lit("paragraph").alias("kind"), content.alias("content")), allowMissingColumns=True)
+    notes = spark.createDataFrame([], struct(NOTES)).unionByName(turns.where(no % 2 == 0).select("doc_id", no.alias("note_no"), note.alias("id"), marker.alias("marker"), no.alias("page")), allowMissingColumns=True)
+    pages = spark.createDataFrame([], struct(PAGES)).unionByName(turns.select("doc_id", no.alias("page"), label.alias("label")), allowMissingColumns=True)
+    as_shown = editing.editable(content, F.create_map(F.lit(""), F.lit("")), F.create_map(no, label))
+    edits = turns.where(no % 4 != 3).select("doc_id", "block_no", F.when(no % 2 == 1, as_shown).otherwise(F.concat("text", F.lit(_EDIT))).alias("text"))
+    done = editing.apply_edits(made, edits, notes, pages)
+    return done.select(F.col("doc_id").cast("long").alias("conv_id"), F.col("block_no").cast("long").alias("turn"), F.md5(told(F.col("content"))).alias("digest"))
