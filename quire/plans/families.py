@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.functions import hashing, text
@@ -419,6 +419,32 @@ def item_lines(spark, sf):
     return made.select("doc_id", "page", "line_no", F.md5(text.line_text(F.col("spans"))).alias("digest"))
 
 
+@query(f"""WITH {LINES_SQL}, wl AS (SELECT doc_id, page, line_no, list_filter(string_split(text, ' '), lambda x: x <> '') AS ws FROM lines),
+w AS (SELECT doc_id, page, line_no, unnest(ws) AS s, unnest(range(len(ws)))::INT AS k FROM wl),
+g AS (SELECT *, CASE WHEN k % 7 = 0 THEN 30.0 WHEN k % 5 = 0 THEN 0.5 ELSE 3.0 END AS gap, k % 6 = 3 AND length(s) <= 3 AS raised, k % 11 >= 8 AS b, k // 7 AS part FROM w),
+d AS (SELECT doc_id, page, line_no, part, sum(CASE WHEN raised THEN length(s) ELSE 0 END) AS r, sum(length(s)) AS n, arg_min(raised, k) AS head, min(k) FILTER (raised) AS r0, min(k) FILTER (NOT raised) AS o0 FROM g GROUP BY 1, 2, 3, 4),
+z AS (SELECT *, 2 * r > n OR 2 * r = n AND head AS small FROM d),
+l AS (SELECT g.*, raised AND NOT small AS sup, CASE WHEN small THEN 6.0 WHEN line_no % 10 = 0 THEN 14.0 ELSE 10.0 END AS size, 100 + 14 * line_no + CASE WHEN small THEN -4.0 WHEN o0 % 3 = 1 THEN 0.4 ELSE 0.0 END AS base FROM g JOIN z USING (doc_id, page, line_no, part)),
+q AS (SELECT *, lag(k) OVER p AS before, coalesce(lag(sup) OVER p <> sup OR lag(b) OVER p <> b, true) AS new FROM l WINDOW p AS (PARTITION BY doc_id, page, line_no, part ORDER BY k)),
+t AS (SELECT doc_id, page, line_no, part, any_value(size) AS size, any_value(base) AS base, string_agg(CASE WHEN new THEN '[' || sup::INT || b::INT || ']' ELSE '' END || CASE WHEN before IS NOT NULL AND gap > 1 THEN ' ' ELSE '' END || s, '' ORDER BY k) AS t FROM q GROUP BY 1, 2, 3, 4)
+SELECT doc_id, page, row_number() OVER (PARTITION BY doc_id, page ORDER BY line_no, part)::INT - 1 AS line_no, size::DOUBLE AS size, round(10 * (base - 0.8 * size))::BIGINT AS y0_tenths, md5(t) AS digest FROM t""")
+def item_sizes_and_signs(spark, sf):
+    """Words as text items of three sizes: large lines, raised small signs, baselines a little off, gaps of words and columns, and runs of bold."""
+    rows = adapter.text_lines(table(spark, sf, "documents")).select("doc_id", "page", "line_no", F.filter(F.split("text", " "), lambda x: x != "").alias("ws"))
+    gap = lambda k: F.when(k % 7 == 0, 30.0).when(k % 5 == 0, 0.5).otherwise(3.0)
+    words = rows.select("doc_id", "page", "line_no", F.posexplode("ws").alias("k", "str"))
+    k, length = F.col("k"), F.length("str")
+    before = Window.partitionBy("doc_id", "page", "line_no").orderBy("k").rowsBetween(Window.unboundedPreceding, 0)
+    raised = (k % 6 == 3) & (length <= 3)
+    items = words.select(
+        "doc_id", "page", (F.col("line_no") * 100_000 + k).alias("item_no"), "str", (72.0 + F.sum(gap(k) + length * 5.0).over(before) - length * 5.0).alias("x"),
+        (100 + 14.0 * F.col("line_no") + F.when(raised, -4.0).when(k % 3 == 1, 0.4).otherwise(0.0)).alias("y"), (length * 5.0).alias("w"),
+        F.when(raised, 6.0).when(F.col("line_no") % 10 == 0, 14.0).otherwise(10.0).alias("size"), (k % 11 >= 8).alias("b"), F.lit(False).alias("i"),
+    )
+    told = F.array_join(F.transform("spans", lambda x: F.concat(F.lit("["), x["sup"].cast("int").cast("string"), x["b"].cast("int").cast("string"), F.lit("]"), x["text"])), "")
+    return pdf_items.lines_from_items(items).select("doc_id", "page", "line_no", "size", F.round((F.col("y0") * 10)).cast("long").alias("y0_tenths"), F.md5(told).alias("digest"))
+
+
 # Layout
 
 

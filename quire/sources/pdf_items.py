@@ -2,15 +2,12 @@
 
 from __future__ import annotations
 
-from collections import Counter
-
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions.inline import inline, merged_runs
 from quire.functions.stats import half_up
-from quire.grouping import fold_groups
-from quire.schemas import LINES, struct
-from quire.shipping import ship
+from quire.functions.text import trimmed
 
 #: Fixed values, in sizes of the items: how far a baseline may be off, the gap of a column, of a word, and what a superscript is.
 BASELINE, COLUMN_GAP, WORD_GAP = 0.55, 1.6, 0.15
@@ -35,65 +32,74 @@ def text_pages(items: DataFrame) -> DataFrame:
     return items.groupBy("doc_id", "page").agg(F.sum(F.length(F.trim("str"))).alias("chars")).withColumn("text_layer", F.col("chars") >= TEXT_LAYER)
 
 
-def _clusters(items: list[dict]) -> list[list[dict]]:
-    """Items of one baseline; the largest so far sets it."""
-    out: list[list[dict]] = []
-    base: dict | None = None
-    for item in items:
-        if base is not None and abs(item["y"] - base["y"]) <= BASELINE * max(item["size"], base["size"]):
-            out[-1].append(item)
-            if (item["size"], item["y"]) > (base["size"], base["y"]):
-                base = item
-        else:
-            out.append([item])
-            base = item
-    return out
-
-
-def _parts(cluster: list[dict]) -> list[list[dict]]:
-    """A baseline's items from left to right, parted where a column's gap is."""
-    ordered = sorted(cluster, key=lambda x: (x["x"], x["item_no"]))
-    out = [[ordered[0]]]
-    for before, item in zip(ordered, ordered[1:], strict=False):
-        if item["x"] - (before["x"] + before["w"]) > COLUMN_GAP * max(before["size"], item["size"]):
-            out.append([])
-        out[-1].append(item)
-    return out
-
-
-def _line(items: list[dict]) -> dict:
-    weights: Counter[float] = Counter()
-    for x in items:
-        weights[int(x["size"] * 2 + 0.5) / 2] += len(x["str"])
-    size = max(weights, key=weights.__getitem__)
-    baseline = next((x["y"] for x in items if abs(x["size"] - size) <= NEAR), items[0]["y"])
-    spans: list[dict] = []
-    end: float | None = None
-    for x in items:
-        raised = x["size"] < SMALL * size and baseline - x["y"] > RAISED * size and len(x["str"].strip()) <= SUP_LENGTH
-        text = x["str"]
-        gap = end is not None and x["x"] - end > WORD_GAP * size
-        if gap and spans and not spans[-1]["text"].endswith(" ") and not text.startswith(" "):
-            text = " " + text
-        look = (raised, bool(x["i"]), bool(x["b"]))
-        if spans and (spans[-1]["sup"], spans[-1]["i"], spans[-1]["b"]) == look:
-            spans[-1]["text"] += text
-        else:
-            spans.append({"text": text, "sup": look[0], "i": look[1], "b": look[2]})
-        end = x["x"] + x["w"]
-    left, right = min(x["x"] for x in items), max(x["x"] + x["w"] for x in items)
-    return {"spans": spans, "x0": left, "y0": baseline - ASCENT * size, "x1": right, "y1": baseline + DESCENT * size, "size": size, "conf": None, "para": None}
-
-
-def _page(items: list[dict]) -> list[dict]:
-    parts = [part for cluster in _clusters(items) for part in _parts(cluster)]
-    first = items[0]
-    return [{"doc_id": first["doc_id"], "page": first["page"], "line_no": k, **_line(part)} for k, part in enumerate(parts)]
+def _cluster_numbers(runs: Column) -> Column:
+    """For each of a page's (y, size), in order of y, the number of its baseline, from 1: it is that of the one before if it lies near the largest item so far of it."""
+
+    def step(done: Column, item: Column) -> Column:
+        near = F.coalesce(F.abs(item["y"] - done["y"]) <= BASELINE * F.greatest(item["size"], done["size"]), F.lit(False))
+        larger = F.struct(item["size"], item["y"]) > F.struct(done["size"], done["y"])
+        base = F.when(near & ~larger, F.struct(done["y"].alias("y"), done["size"].alias("size"))).otherwise(F.struct(item["y"].alias("y"), item["size"].alias("size")))
+        no = done["no"] + F.when(near, 0).otherwise(1)
+        return F.struct(base["y"].alias("y"), base["size"].alias("size"), no.alias("no"), F.concat(done["all"], F.array(no)).alias("all"))
+
+    null = F.lit(None).cast("double")
+    start = F.struct(null.alias("y"), null.alias("size"), F.lit(0).alias("no"), F.array().cast("array<int>").alias("all"))
+    return F.aggregate(runs, start, step, lambda done: done["all"])
 
 
 def lines_from_items(items: DataFrame) -> DataFrame:
-    """Lines of each page, from items with y downwards: clustered by baseline, parted at column gaps, put together."""
-    return fold_groups(items.where(F.trim("str") != ""), ["doc_id", "page"], ["y", "x", "item_no"], _page, struct(LINES))
+    """Lines of each page, from items with y downwards: clustered by baseline, parted at column gaps, put together.
+
+    Which baseline an item belongs to hangs on all above it on the page, so a page's distinct places (y, size), as they follow one another, are read in order, in
+    one row of numbers; all else are windows over the page and functions of one line's items. Items without a place or size are lines of their own. Blank
+    items are left out; items that are alike all stay.
+    """
+    page = ["doc_id", "page"]
+    down = Window.partitionBy(*page).orderBy("y", "x", "item_no", "str")
+    place = F.struct("y", "size")
+    items = items.where(F.trim("str") != "")
+    runs = items.withColumn("_starts", ~F.lag(place).over(down).eqNullSafe(place)).withColumn("_run", F.count_if("_starts").over(down.rowsBetween(Window.unboundedPreceding, 0)).cast("int"))
+    of_page = runs.where("_starts").groupBy(F.col("doc_id").alias("_doc"), F.col("page").alias("_page")).agg(F.sort_array(F.collect_list(F.struct("_run", "y", "size"))).alias("_runs"))
+    numbers = of_page.select("_doc", "_page", _cluster_numbers(F.col("_runs")).alias("_numbers"))
+    clustered = runs.join(numbers, F.col("doc_id").eqNullSafe(F.col("_doc")) & F.col("page").eqNullSafe(F.col("_page"))).withColumn("_cluster", F.get("_numbers", F.col("_run") - 1))
+    along = Window.partitionBy(*page, "_cluster").orderBy("x", "item_no", "str")
+    last = F.lag(F.struct("x", "w", "size")).over(along)
+    parted = clustered.withColumn("_apart", F.coalesce(F.col("x") - (last["x"] + last["w"]) > COLUMN_GAP * F.greatest(last["size"], F.col("size")), F.lit(False)))
+    parted = parted.withColumn("_part", F.count_if("_apart").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    lines = parted.groupBy(*page, "_cluster", "_part").agg(F.sort_array(F.collect_list(F.struct("x", "item_no", "str", "y", "w", "size", "b", "i"))).alias("_items"))
+    numbered = lines.withColumn("line_no", (F.row_number().over(Window.partitionBy(*page).orderBy("_cluster", "_part")) - 1).cast("int"))
+    own = F.col("_items")
+    sized = numbered.withColumn("size", _main_size(own))
+    based = sized.withColumn("_base", F.coalesce(F.get(F.filter(own, lambda x: F.abs(x["size"] - F.col("size")) <= NEAR), 0)["y"], F.get(own, 0)["y"]))
+    return based.select(
+        *page, "line_no", _spans(own, F.col("size"), F.col("_base")).alias("spans"),
+        F.array_min(F.transform(own, lambda x: x["x"])).alias("x0"), (F.col("_base") - ASCENT * F.col("size")).alias("y0"),
+        F.array_max(F.transform(own, lambda x: x["x"] + x["w"])).alias("x1"), (F.col("_base") + DESCENT * F.col("size")).alias("y1"),
+        "size", F.lit(None).cast("double").alias("conf"), F.lit(None).cast("bigint").alias("para"),
+    )
+
+
+def _main_size(own: Column) -> Column:
+    """The size, to the half point, that most characters of these items have; of two, the one that comes first."""
+    half = lambda x: half_up(x["size"] * 2) / 2
+
+    def weighed(size: Column, k: Column) -> Column:
+        n = F.aggregate(F.filter(own, lambda x: half(x).eqNullSafe(size)), F.lit(0), lambda a, x: a + F.length(x["str"]))
+        return F.struct(n.alias("n"), (-k).alias("k"), size.alias("size"))
+
+    return F.array_max(F.transform(F.array_distinct(F.transform(own, half)), weighed))["size"]
+
+
+def _spans(own: Column, size: Column, base: Column) -> Column:
+    """A line's items as spans: raised if small and above the baseline, with a space where there is a word's gap; neighbours of one look put together."""
+
+    def one(x: Column, k: Column) -> Column:
+        before = F.get(own, k - 1)
+        raised = (x["size"] < SMALL * size) & (base - x["y"] > RAISED * size) & (F.length(trimmed(x["str"])) <= SUP_LENGTH)
+        gap = (k > 0) & (x["x"] - (before["x"] + before["w"]) > WORD_GAP * size) & ~F.endswith(before["str"], F.lit(" ")) & ~F.startswith(x["str"], F.lit(" "))
+        return inline("text", F.concat(F.when(gap, " ").otherwise(""), x["str"]), F.struct(raised.alias("sup"), x["i"].alias("i"), x["b"].alias("b")))
+
+    return F.transform(merged_runs(F.transform(own, one)), lambda r: F.struct(r["text"].alias("text"), r["sup"].alias("sup"), r["i"].alias("i"), r["b"].alias("b")))
 
 
 def dominant_sizes(items: DataFrame) -> DataFrame:
@@ -102,5 +108,3 @@ def dominant_sizes(items: DataFrame) -> DataFrame:
     counted = halved.groupBy("doc_id", "page", "half").agg(F.sum(F.length("str")).alias("n"), F.min("item_no").alias("first"))
     return counted.groupBy("doc_id", "page").agg(F.max_by("half", F.struct("n", -F.col("first"))).alias("size"))
 
-
-ship(__name__)
