@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import filter_arrow, map_arrow, saved
-from quire.llm.wordhash import LETTER_OR_DIGIT, WordHasher, grams
+from quire.llm.wordhash import LETTER_OR_DIGIT, RunHashes, WordHasher, grams
 from quire.shipping import ship
 
 SEED, COVERAGE = 5, 0.6
@@ -39,15 +39,16 @@ def tiles(doc: np.ndarray, item: np.ndarray, least: int) -> list[tuple[int, int,
     Among common runs of one length the first in doc, then the first in item, are marked first.
     """
     free_doc, free_item = np.ones(len(doc), bool), np.ones(len(item), bool)
+    of_doc, of_item = RunHashes(doc), RunHashes(item)
     out = []
 
     def unmarked(length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Of doc and of item: places where unmarked runs of this length begin, and the runs' hashes."""
         out = []
-        for words, free in ((doc, free_doc), (item, free_item)):
+        for hashes, free in ((of_doc, free_doc), (of_item, free_item)):
             taken = np.concatenate([[0], np.cumsum(~free)])
-            at = np.flatnonzero(taken[length:] == taken[:-length]) if length <= len(words) else np.zeros(0, np.int64)
-            out += [at, grams(words, length)[at]]
+            at = np.flatnonzero(taken[length:] == taken[:-length]) if length <= len(free) else np.zeros(0, np.int64)
+            out += [at, hashes.of(at, length)]
         return tuple(out)
 
     def common(length: int) -> bool:

@@ -103,4 +103,18 @@ def grams(words: np.ndarray, n: int) -> np.ndarray:
     return mixed(total)
 
 
+class RunHashes:
+    """Karp-Rabin hashes of the runs of an array of words, of any length, read off running sums."""
+
+    def __init__(self, words: np.ndarray):
+        powers = lambda base: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(words), base, np.uint64)]), dtype=np.uint64)
+        self.sums = np.zeros(len(words) + 1, np.uint64)
+        np.cumsum(words * powers(BASE)[:-1], dtype=np.uint64, out=self.sums[1:])
+        self.down = powers(pow(BASE, -1, 1 << 64))
+
+    def of(self, at: np.ndarray, length: int) -> np.ndarray:
+        """The hashes of the runs of this length that begin at these places."""
+        return mixed((self.sums[at + length] - self.sums[at]) * self.down[at])
+
+
 ship(__name__)

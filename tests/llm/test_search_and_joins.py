@@ -1,4 +1,5 @@
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -232,6 +233,15 @@ def test_tiles_are_greedy_and_disjoint():
     assert decontaminate.tiles(code("a b"), code("c d"), 1) == []
 
 
+def test_long_texts_are_tiled_in_seconds():
+    words = np.random.default_rng(4).integers(0, 1 << 62, 200_000).astype(np.uint64)
+    begun = time.process_time()
+    assert decontaminate.tiles(words, words, 5) == [(0, 0, 200_000)]
+    swapped = np.concatenate([words[120_000:], words[:120_000]])
+    assert decontaminate.tiles(words, swapped, 5) == [(0, 80_000, 120_000), (120_000, 0, 80_000)]
+    assert time.process_time() - begun < 30
+
+
 def brute_tiles(doc, item, least):
     """Greedy string tiling by looking at every pair of places."""
     free_doc, free_item, out = [True] * len(doc), [True] * len(item), []
