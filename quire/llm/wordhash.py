@@ -110,7 +110,7 @@ class RunHashes:
         powers = lambda base: np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(len(words), base, np.uint64)]), dtype=np.uint64)
         self.sums = np.zeros(len(words) + 1, np.uint64)
         np.cumsum(words * powers(BASE)[:-1], dtype=np.uint64, out=self.sums[1:])
-        self.down = powers(pow(BASE, -1, 1 << 64))
+        self.down = powers(INVERSE)
 
     def of(self, at: np.ndarray, length: int) -> np.ndarray:
         """The hashes of the runs of this length that begin at these places."""
