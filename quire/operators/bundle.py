@@ -93,9 +93,10 @@ def page_ranges(pages: DataFrame) -> DataFrame:
     return ends.select("doc_id", page_range(F.col("a"), F.col("b")).alias("range"))
 
 
-def used_images(blocks: DataFrame, images: DataFrame) -> DataFrame:
-    """Images that figures show, with their number by first use."""
-    first = blocks.where("kind = 'figure' and image is not null").groupBy("image").agg(F.min(F.struct("doc_id", "block_no")).alias("at"))
+def used_images(blocks: DataFrame, images: DataFrame, place: Column | None = None) -> DataFrame:
+    """Images that figures show, with their number by first use: that of the least place (document and block by default); these uses are numbered by document and block."""
+    use = F.struct("doc_id", "block_no")
+    first = blocks.where("kind = 'figure' and image is not null").groupBy("image").agg(F.min_by(use, use if place is None else place).alias("at"))
     shown = images.join(first, images["id"] == first["image"]).drop("image")
     return shown.withColumn("number", F.row_number().over(Window.orderBy("at"))).drop("at")
 
