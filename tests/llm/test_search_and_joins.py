@@ -296,3 +296,18 @@ def test_leaks_of_empty_tables(spark, documents, odd):
     some = spark.createDataFrame([(1, ITEM)], "item_id long, text string")
     assert decontaminate.leaks(odd, none).count() == 0 and decontaminate.leaks(documents(), some).count() == 0
     assert decontaminate.clean(odd, none).count() == odd.count() and decontaminate.leaks(odd, some).count() == 0
+
+
+def test_components_of_few_edges_take_few_tasks(spark):
+    """A chain of 300 over 64 partitions: each round's tables have as many parts as the edges need, not as the session has."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "64")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = components(spark.range(300).repartition(64).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+        stars = found.where("node <> root")
+        assert {tuple(r) for r in found.collect()} == {(k, 0) for k in range(301)}
+        assert stars.where("root = 0").select(F.spark_partition_id().alias("p")).distinct().count() == 1
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
