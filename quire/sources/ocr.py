@@ -41,43 +41,42 @@ def extract(sources: DataFrame, engine: Callable[[], Callable[[dict], Iterator[d
     return sources.mapInArrow(work, schema)
 
 
-def trim_edge_junk(words: Column) -> Column:
-    """words without leading and trailing ones that are marks of dirt: blank, doubtful symbols, doubtful single characters."""
-
-    def junk(w: Column) -> Column:
-        text = F.trim(w["text"])
-        symbols = ~text.rlike(r"[\p{L}\p{N}]")
-        single = (F.length(text) == 1) & ~text.isin("a", "A", "I")
-        return (text == "") | (symbols & ((w["confidence"] < SYMBOL_SURE) | (F.length(text) <= 1))) | (single & (w["confidence"] < CHARACTER_SURE))
-
-    flags = F.transform(words, lambda w: F.when(junk(w), 1).otherwise(0))
-    first = F.array_position(flags, 0).cast("int")
-    last = F.size(words) - F.array_position(F.reverse(flags), 0).cast("int") + 1
-    return F.when(first == 0, F.slice(words, 1, 0)).otherwise(F.slice(words, F.greatest(first, F.lit(1)), F.greatest(last - first + 1, F.lit(0))))
+def edge_junk(text: Column, confidence: Column) -> Column:
+    """Whether a word is a mark of dirt where it stands at a line's edge: blank, a doubtful symbol, a doubtful single character."""
+    bare = F.trim(text)
+    symbols = ~bare.rlike(r"[\p{L}\p{N}]")
+    single = (F.length(bare) == 1) & ~bare.isin("a", "A", "I")
+    return F.coalesce((bare == "") | (symbols & ((confidence < SYMBOL_SURE) | (F.length(bare) <= 1))) | (single & (confidence < CHARACTER_SURE)), F.lit(False))
 
 
 def superscript_tail(symbols: Column) -> Column:
-    """How many symbols at a word's end are superscripts; 0 if all are."""
-    from_end = F.reverse(symbols)
-    tail = F.aggregate(from_end, F.struct(F.lit(0).alias("n"), F.lit(True).alias("on")), lambda a, s: F.struct((a["n"] + F.when(a["on"] & s["is_superscript"], 1).otherwise(0)).alias("n"), (a["on"] & s["is_superscript"]).alias("on")), lambda a: a["n"])
-    return F.when(tail == F.size(symbols), 0).otherwise(tail)
+    """How many symbols at a word's end are superscripts; 0 if all are. Only words that end in one are looked through."""
+    from_end = F.reverse(F.transform(symbols, lambda s: F.coalesce(s["is_superscript"], F.lit(False))))
+    tail = F.greatest(F.array_position(from_end, False).cast("int") - 1, F.lit(0))
+    return F.when(F.try_element_at(symbols, F.lit(-1))["is_superscript"], tail).when(symbols.isNotNull(), 0)
 
 
 def word_spans(words: DataFrame) -> DataFrame:
-    """doc_id, page, para, line_no, spans, conf of each line of recognized words; superscript tails are spans of their own."""
-    rows = F.sort_array(F.collect_list(F.struct("word_no", "text", "confidence", "symbols")))
-    lines = words.groupBy("doc_id", "page", "para", "line_no").agg(rows.alias("words"))
-    kept = lines.withColumn("words", trim_edge_junk(F.col("words"))).where(F.size("words") > 0)
+    """doc_id, page, para, line_no, spans, conf of each line of recognized words, without the marks of dirt at either end; superscript tails are spans of their own.
+
+    What is asked of a word is found on its own row, so that its symbols never leave their task. Words of one number stand by text, confidence and tail.
+    """
+    told = words.withColumns({"junk": edge_junk(F.col("text"), F.col("confidence")), "tail": F.coalesce(superscript_tail(F.col("symbols")), F.lit(0))})
+    rows = F.sort_array(F.collect_list(F.struct("word_no", "text", "confidence", "tail", "junk")))
+    lines = told.groupBy("doc_id", "page", "para", "line_no").agg(rows.alias("words"))
+    junk = F.col("words.junk")
+    first = F.array_position(junk, False).cast("int")
+    last = F.size("words") - F.array_position(F.reverse(junk), False).cast("int") + 1
+    kept = lines.where(F.array_contains(junk, False)).withColumn("words", F.slice("words", first, last - first + 1))
 
     def spans(w: Column, k: Column) -> Column:
-        n = F.coalesce(superscript_tail(w["symbols"]), F.lit(0))
-        lead = F.when(k > 0, " ").otherwise("")
-        whole = F.length(w["text"])
         span = lambda text, sup: F.struct(text.alias("text"), F.lit(sup).alias("sup"), F.lit(False).alias("i"), F.lit(False).alias("b"))
-        plain = span(F.concat(lead, F.substring(w["text"], F.lit(1), whole - n)), False)
-        return F.when(n > 0, F.array(plain, span(F.substring(w["text"], whole - n + 1, n), True))).otherwise(F.array(plain))
+        lead = lambda text: F.when(k > 0, F.concat(F.lit(" "), text)).otherwise(text)
+        whole = F.length(w["text"])
+        plain = span(lead(F.substring(w["text"], F.lit(1), whole - w["tail"])), False)
+        return F.when(w["tail"] > 0, F.array(plain, span(F.substring(w["text"], whole - w["tail"] + 1, w["tail"]), True))).otherwise(F.array(span(lead(w["text"]), False)))
 
-    mean = F.aggregate("words", F.lit(0.0), lambda a, w: a + w["confidence"]) / F.size("words")
+    mean = F.aggregate("words.confidence", F.lit(0.0), lambda a, c: a + c) / F.size("words")
     return kept.select("doc_id", "page", "para", "line_no", F.flatten(F.transform("words", spans)).alias("spans"), mean.alias("conf"))
 
 
@@ -87,6 +86,6 @@ def line_heights(lines: DataFrame) -> DataFrame:
     return lines.groupBy("doc_id", "page").agg(upper_middle(sure, DEFAULT_HEIGHT).alias("height"))
 
 
-__all__ = ["OCR_WORDS", "PDF_ITEMS", "extract", "line_heights", "superscript_tail", "trim_edge_junk", "word_spans"]
+__all__ = ["OCR_WORDS", "PDF_ITEMS", "edge_junk", "extract", "line_heights", "superscript_tail", "word_spans"]
 
 ship(__name__)

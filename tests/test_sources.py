@@ -76,6 +76,16 @@ def test_words_to_spans(spark):
     assert got[0]["spans"][-1]["sup"] and got[0]["spans"][-1]["text"] == "2"
 
 
+def test_symbols_stay_with_their_words(spark):
+    """No symbol is dealt out with its word; flags that are unknown are none, and no symbols no tail."""
+    flags = {"ab12": [False, False, True, True], "xy3": [True, None, True], "all": [True, True, True], "end": [False, True, None], "bare": None}
+    words = [("d", 0, 1, 0, k, t, 90.0, None if f is None else list(zip(t, f))) for k, (t, f) in enumerate(flags.items())]
+    got = ocr.word_spans(spark.createDataFrame(words, OCR_WORDS).repartition(3))
+    assert [(s["text"], s["sup"]) for s in got.first()["spans"]] == [("ab", False), ("12", True), (" xy", False), ("3", True), (" all", False), (" end", False), (" bare", False)]
+    grouped = [x for x in got._jdf.queryExecution().optimizedPlan().toString().split("\n") if "Aggregate" in x]
+    assert grouped and not any("symbols" in x for x in grouped)
+
+
 def test_engine_errors_are_rows(spark):
     def engine():
         def read(row):
