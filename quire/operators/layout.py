@@ -109,9 +109,10 @@ def repeated_heads(candidates: DataFrame, pages: DataFrame) -> DataFrame:
 
 def running_marks(marked: DataFrame, heads: DataFrame) -> DataFrame:
     """header_marks() with `running`: whether a line is a running head or foot. heads: repeated_heads() of them."""
-    again = heads.withColumn("repeated", F.lit(True))
-    gone = (F.col("number").isNotNull() & (F.col("norm") == "")) | F.col("apart") | F.coalesce("repeated", F.lit(False))
-    told = marked.join(again, ["doc_id", "top", "norm"], "left").withColumn("running", F.coalesce(F.col("candidate") & gone, F.lit(False)))
+    met = marked.where("candidate").select(*PAGE, "top", "norm").join(heads, ["doc_id", "top", "norm"]).groupBy(*PAGE).agg(F.collect_set(F.struct("top", "norm")).alias("_heads"))
+    repeated = F.coalesce(F.array_contains("_heads", F.struct("top", "norm")), F.lit(False))
+    gone = (F.col("number").isNotNull() & (F.col("norm") == "")) | F.col("apart") | repeated
+    told = marked.join(met, PAGE, "left").withColumn("running", F.coalesce(F.col("candidate") & gone, F.lit(False)))
     return told.select(*marked.columns, "running")
 
 
@@ -148,9 +149,19 @@ def page_infos(labelled: DataFrame) -> DataFrame:
     return labelled.select(*PAGE, "label", stats.half_up(F.col("confidence")).cast("int").alias("confidence"), "source", "preview")
 
 
+def line_weight(spans: Column) -> Column:
+    """What a line counts for its document's body size."""
+    return F.least(F.lit(80), F.ceil(F.length(line_text(spans)) / 10)).cast("int")
+
+
+def note_lead(spans: Column) -> Column:
+    """What a note's first line begins with: its marker and what stands before the text; '' for others."""
+    return F.regexp_extract(line_text(spans), "^(?:" + NOTE_START + ")", 0)
+
+
 def body_size(lines: DataFrame) -> DataFrame:
-    """doc_id, body: the median size of each document's lines, long lines counting more."""
-    weight = F.least(F.lit(80), F.ceil(F.length(line_text(F.col("spans"))) / 10)).cast("int")
+    """doc_id, body: the median size of each document's lines, long lines counting more (by `weight`, if the lines have it)."""
+    weight = F.col("weight") if "weight" in lines.columns else line_weight(F.col("spans"))
     return lines.groupBy("doc_id").agg(stats.weighted_median(F.col("size"), weight).alias("body"))
 
 
@@ -170,22 +181,25 @@ def strip_prefix(spans: Column, chars: Column) -> Column:
 def note_marks(lines: DataFrame, body: DataFrame, height: str = "height") -> DataFrame:
     """lines (with their page's `height`) with body, and on the notes at the foot of each page note_no (from 1), marker and spans without it.
 
-    The notes are the page's last lines in small type, from the first that begins with a marker on.
+    The notes are the page's last lines in small type, from the first that begins with a marker on. Sizes meet pages, not lines, and what a line begins with is asked before lines are
+    dealt (`lead`, if they have it), so that texts are dealt once.
     """
+    if "lead" not in lines.columns:
+        return note_marks(lines.withColumn("lead", note_lead(F.col("spans"))), body, height).drop("lead")
     whole = Window.partitionBy(*PAGE)
     up = whole.orderBy(F.desc("y0"), F.desc("line_no")).rowsBetween(Window.unboundedPreceding, 0)
     down = whole.orderBy("y0", "line_no").rowsBetween(Window.unboundedPreceding, 0)
-    text = line_text(F.col("spans"))
-    sized = lines.join(body, "doc_id")
+    sized = lines.join(lines.select(*PAGE).distinct().join(body, "doc_id"), PAGE)
     small = F.bool_and(F.col("size") <= NOTE_SIZE * F.col("body")).over(up)
     tail = sized.withColumns({"_n": F.count("*").over(whole), "_tail": small & (F.col("body") > 0)})
-    tail = tail.withColumn("_lead", F.when(F.col("_tail") & (F.col("_n") >= 3), F.regexp_extract(text, "^(?:" + NOTE_START + ")", 0)))
+    tail = tail.withColumn("_lead", F.when(F.col("_tail") & (F.col("_n") >= 3), F.col("lead")))
     numbered = tail.withColumn("_no", F.sum(F.when(F.col("_lead") != "", 1).otherwise(0)).over(down))
     member = F.col("_lead").isNotNull() & (F.col("_no") > 0)
     blocks = numbered.withColumns({"_member": member, "_block": F.sum(member.cast("int")).over(whole), "_first": F.min(F.when(member, F.col("y0"))).over(whole)})
     sound = F.col("_member") & (F.col("_block") <= NOTE_PART * F.col("_n")) & (F.col("_first") >= NOTE_TOP * F.col(height))
     told = blocks.withColumn("note_no", F.when(sound, F.col("_no")))
-    marker = F.first(F.when(F.col("note_no").isNotNull(), F.regexp_extract(text, "^(?:" + NOTE_START + ")", 1))).over(Window.partitionBy(*PAGE, "note_no").orderBy("y0", "line_no"))
+    begun = F.regexp_extract(F.concat("lead", F.lit("x")), "^(?:" + NOTE_START + ")", 1)  # a text follows what a note begins with
+    marker = F.first(F.when(F.col("note_no").isNotNull(), begun)).over(Window.partitionBy(*PAGE, "note_no").orderBy("y0", "line_no"))
     spans = F.when(F.col("note_no").isNotNull() & (F.col("_lead") != ""), strip_prefix(F.col("spans"), F.length("_lead"))).otherwise(F.col("spans"))
     return told.withColumns({"marker": marker, "spans": spans}).select(*lines.columns, "body", "note_no", "marker")
 
@@ -238,8 +252,8 @@ def reading_order(lines: DataFrame, figures: DataFrame) -> DataFrame:
     return banded.withColumn("item_no", F.row_number().over(read))
 
 
-def column_stats(items: DataFrame, body: DataFrame) -> DataFrame:
-    """items with their column's usual left and right edge, width and line pitch."""
+def column_stats(items: DataFrame, body: DataFrame | None = None) -> DataFrame:
+    """items with their column's usual left and right edge, width and line pitch. body: the documents' body sizes, if the items don't have them."""
     column = Window.partitionBy(*PAGE, "col")
     is_line = F.col("kind") == "line"
     in_line = Window.partitionBy(*PAGE, "col", "kind").orderBy("item_no")
@@ -251,7 +265,7 @@ def column_stats(items: DataFrame, body: DataFrame) -> DataFrame:
     last = F.coalesce(F.when(F.col("col") == 1, F.col("gutter")).otherwise(F.col("right")), F.lit(1.0))
     known = F.size("_x0s") > 0
     wide = edges.withColumns({"col_left": F.when(known, stats.nearest_rank(F.col("_x0s"), 0.15)).otherwise(first), "col_right": F.when(known, stats.nearest_rank(F.col("_x1s"), 0.85)).otherwise(last)})
-    sized = wide.join(body, "doc_id", "left")
+    sized = wide if body is None else wide.join(body, "doc_id", "left")
     return sized.withColumns({"col_width": F.greatest(F.lit(1.0), F.col("col_right") - F.col("col_left")), "pitch": F.coalesce("_pitch", 1.3 * F.col("body"))}).drop("_x0s", "_x1s", "_pitch", "_step", "left", "right", "gutter", "band", "no")
 
 

@@ -54,11 +54,6 @@ def told(content: Column) -> Column:
     return F.array_join(F.transform(content, one), "")
 
 
-def _structured(spark, sf):
-    docs = table(spark, sf, "documents")
-    return blocks.structure(page_lines(docs), adapter.layouts(docs), page_figures(docs))
-
-
 _NOTE = r"""^\s*[~_=·•''`"]?\s*([0-9]{1,3}|[*†‡§¶])([.)]\s*\S|\s+\S)"""
 _CAPTION = r"(?i)^(fig(ure)?|table|chart|map|plate|exhibit|illustration|graph)\.?\s*[0-9IVX]"
 _ENDED = r"""[.!?:;"”’)\]…]$"""
@@ -143,7 +138,8 @@ _BLOCKS = """SELECT doc_id, block_no, arg_min(kind, page) AS kind, arg_min(level
 {_BLOCKS}""")
 def structured_documents(spark, sf):
     """Blocks of all documents: headings, paragraphs, broken words, quotations, figures that compete for captions, note references, text over page ends; without noise and running heads."""
-    made = _structured(spark, sf)[1]
+    docs = table(spark, sf, "documents")
+    made = blocks.structure(page_lines(docs), adapter.layouts(docs), page_figures(docs))[1]
     text = F.when(F.col("kind") == "figure", F.concat(F.lit("["), F.coalesce("caption", F.lit("")), F.lit("]"))).otherwise(told(F.col("content")))
     return made.select("doc_id", "block_no", "kind", "level", "style", "page", text.alias("text"))
 
@@ -152,7 +148,8 @@ def structured_documents(spark, sf):
 SELECT doc_id, 'n' || (page + 1) || '-' || note_no AS id, arg_min(mark, line_no) AS marker, string_agg({_JOINED}, '' ORDER BY line_no) AS text, page FROM followed GROUP BY doc_id, page, note_no""")
 def structured_notes(spark, sf):
     """Notes at the foot of all documents' pages."""
-    return _structured(spark, sf)[2].select("doc_id", "id", "marker", told(F.col("content")).alias("text"), "page")
+    docs = table(spark, sf, "documents")
+    return blocks.structured_notes(page_lines(docs), adapter.layouts(docs)).select("doc_id", "id", "marker", told(F.col("content")).alias("text"), "page")
 
 
 @query(rf"""WITH {_lines_and_notes()}, shown AS (SELECT doc_id, page, arg_min(number, (CASE WHEN top THEN 0 ELSE 1 END, place)) AS shown FROM gone WHERE number IS NOT NULL GROUP BY doc_id, page),
@@ -164,7 +161,8 @@ SELECT p.doc_id, p.page, CASE WHEN shown IS NOT NULL AND NOT regexp_full_match(s
 FROM pages p JOIN how_many USING (doc_id) LEFT JOIN shown s USING (doc_id, page) LEFT JOIN best ON best.doc_id = p.doc_id AND best.r = 1""")
 def structured_pages(spark, sf):
     """Labels of all documents' pages, from the numbers that running lines show."""
-    return _structured(spark, sf)[0].select("doc_id", "page", "label")
+    docs = table(spark, sf, "documents")
+    return blocks.structured_pages(page_lines(docs), adapter.layouts(docs)).select("doc_id", "page", "label")
 
 
 @query(rf"""WITH {_lines_and_notes("put AS (SELECT doc_id, page, line_no, idx, conf, y0, text, size, x0, x1 FROM lines)")}, {_pieces("(0, 240.0::DOUBLE, 380.0::DOUBLE)")}, {_MERGED}, made AS ({_BLOCKS})
