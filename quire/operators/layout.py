@@ -335,6 +335,12 @@ def nearest_caption(figures: DataFrame, lines: DataFrame, body: DataFrame, reach
     return found.select(*PAGE, F.col("item_no").alias("fig_no"), F.get("caption_lines", F.lit(0)).alias("line_no"), F.get("caption_texts", F.lit(0)).alias("text"))
 
 
+def after_caption() -> Column:
+    """Whether a line or one above it on its page is like a caption: only these can belong to one."""
+    like = trimmed(line_text(F.col("spans"))).rlike(CAPTION)
+    return F.coalesce(F.bool_or(like).over(Window.partitionBy(*PAGE).orderBy("y0")), F.lit(False))
+
+
 def captions(figures: DataFrame, lines: DataFrame, body: DataFrame, reach: float = CAPTION_REACH) -> DataFrame:
     """doc_id, page, item_no, caption_lines, caption_texts of figures (doc_id, page, item_no, y0, y1): the lines that each figure claims; empty for none.
 
@@ -344,6 +350,8 @@ def captions(figures: DataFrame, lines: DataFrame, body: DataFrame, reach: float
     """
     caption_like = trimmed(line_text(F.col("spans"))).rlike(CAPTION)
     wanted = figures.select(*PAGE).distinct()
+    if "after_caption" in lines.columns:
+        lines = lines.where("after_caption")  # said before lines are dealt
     told = lines.join(wanted, PAGE, "left_semi").select(*PAGE, "y0", "line_no", "y1", "x0", line_text(F.col("spans")).alias("text"), caption_like.alias("like"))
     row = F.struct("y0", "line_no", "y1", "x0", "text", "like")
     page_lines = told.groupBy(*PAGE).agg(F.sort_array(F.collect_list(row)).alias("_lines"), F.bool_or("like").alias("_any")).where("_any").join(body, "doc_id")
